@@ -18,16 +18,19 @@ def _wrapped(line: Column, element: str) -> Column:
     return F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{element}>", _STRICT_JSON)
 
 
-def parse_object(line: Column) -> Column:
-    """The line as a map, or null unless it is exactly one JSON object."""
-    parsed = _wrapped(line, "map<string,string>")
+def parsed_array(line: Column) -> Column:
+    """``[line]`` as an array of maps; see :func:`parsed_object`."""
+    return _wrapped(line, "map<string,string>")
+
+
+def parsed_object(parsed: Column) -> Column:
+    """The single object of a parsed line, or null unless it is exactly one object."""
     return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
 def is_json(line: Column) -> Column:
     """True when the line holds exactly one JSON value of any kind."""
-    parsed = _wrapped(line, "string")
-    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+    return F.coalesce(F.size(_wrapped(line, "string")) == 1, F.lit(False))
 
 
 def last_wins(record: Column) -> Column:

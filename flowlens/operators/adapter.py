@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.numeric import strip
 from flowlens.functions.records import literal_array, literal_map, repeated_values
 from flowlens.operators.contract import FeatureContract, validate
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import (
     CONTRACT_ALIASES,
     CONTROLLED_EXTRAS,
@@ -119,14 +120,15 @@ def adapt(
         "__extra": _section(entries, {k: k for k in profile.extras}),
     }
     accepted = literal_array(profile.accepted_keys())
-    staged = df.withColumn("__keys", trimmed).withColumns({
+    staged = compute_once(compute_once(df, {"__keys": trimmed}), {
         "__blank": F.array_distinct(F.array_sort(F.filter(raw_keys, lambda k: strip(k) == ""))),
         "__collide": repeated_values(F.filter(F.col("__keys"), lambda k: k != "")),
-    }).withColumns(sections)
+        **sections,
+    })
     targets = F.flatten(F.array(*[
         F.transform(F.col(s), lambda e: e["key"]) for s in sections
     ]))
-    staged = staged.withColumns({
+    staged = compute_once(staged, {
         "__alias": repeated_values(targets),
         "__unmapped": F.array_sort(F.array_except(F.col("__keys"), accepted)),
     })
@@ -138,9 +140,9 @@ def adapt(
     )
     if keep_reason:
         early = F.coalesce(F.col(keep_reason), early)
-    staged = staged.withColumn("__early", early)
-    mapped = staged.withColumn(
-        "__canon", F.when(F.col("__early").isNull(), F.map_from_entries("__feature"))
+    staged = compute_once(staged, {"__early": early})
+    mapped = compute_once(
+        staged, {"__canon": F.when(F.col("__early").isNull(), F.map_from_entries("__feature"))}
     )
     checked = validate(
         mapped, FeatureContract(contract.features, {}), record="__canon", keep_reason="__early"

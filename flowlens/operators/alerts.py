@@ -17,6 +17,7 @@ from flowlens.functions.alerting import (
 from flowlens.functions.numeric import lenient_int, strict_number, strip
 from flowlens.functions.records import json_text
 from flowlens.operators.ordering import previous_value
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import DEFAULT_SENSOR_ID, TRIAGE_STATES
 
 MUTABLE = (
@@ -171,55 +172,64 @@ def hydrate(alerts: DataFrame, payload: str = "payload_json") -> DataFrame:
     Columns win over payload keys, which win over the parsed flow id; a port of
     0 counts as missing unless the flow id has nothing else.
     """
-    p = F.col(payload)
-    raw_flow_id = F.coalesce(
-        text_or_null(json_text(p, "passthrough", "source_flow_id")),
-        text_or_null(json_text(p, "source_flow_id")),
-        text_or_null(json_text(p, "flow_id")),
-    )
-    staged = alerts.withColumn("__flow_id", raw_flow_id)
+    # Key names differ only in case ("protocol", "Protocol"), so the payload is
+    # parsed once into a map, whose lookups are case sensitive.
+    strict = {"allowSingleQuotes": "false"}
+    parsed = compute_once(alerts, {"__p": F.from_json(payload, "map<string,string>", strict)})
+
+    def field(name: str) -> Column:
+        return F.try_element_at("__p", F.lit(name))
+
+    def passed(name: str) -> Column:
+        return F.try_element_at("__pp", F.lit(name))
+
+    parsed = compute_once(parsed, {"__pp": F.from_json(field("passthrough"), "map<string,string>", strict)})
+    staged = compute_once(parsed, {"__flow_id": F.coalesce(
+        text_or_null(passed("source_flow_id")),
+        text_or_null(field("source_flow_id")),
+        text_or_null(field("flow_id")),
+    )})
     flow = parse_flow_id(F.col("__flow_id"))
 
     def text(column: str | None, *keys: str) -> list[Column]:
         own = [text_or_null(F.col(column))] if column else []
-        return own + [text_or_null(json_text(p, k)) for k in keys]
+        return own + [text_or_null(field(k)) for k in keys]
 
     def ports(column: str, *keys: str) -> list[Column]:
-        return [_nonzero(F.col(column)), *[_nonzero(lenient_int(json_text(p, k))) for k in keys]]
+        return [_nonzero(F.col(column)), *[_nonzero(lenient_int(field(k))) for k in keys]]
 
     score = strict_number(F.coalesce(
-        F.when(~json_text(p, "attack_score").isin("0", "0.0", "", "false"), json_text(p, "attack_score")),
-        json_text(p, "score"),
+        F.when(~field("attack_score").isin("0", "0.0", "", "false"), field("attack_score")),
+        field("score"),
     ))
-    staged = staged.withColumns({
+    staged = compute_once(staged, {
         "src_ip": F.coalesce(*text("src_ip", "src_ip", "source_ip", "Src IP"), flow["src_ip"]),
         "dst_ip": F.coalesce(*text("dst_ip", "dst_ip", "destination_ip", "Dst IP"), flow["dst_ip"]),
         "src_port": F.coalesce(*ports("src_port", "src_port", "source_port", "Src Port"), flow["src_port"]),
         "dst_port": F.coalesce(*ports("dst_port", "dst_port", "destination_port", "Dst Port"), flow["dst_port"]),
         "protocol": F.coalesce(
             *text("protocol", "protocol", "Protocol"),
-            text_or_null(json_text(p, "passthrough", "transport_family")),
+            text_or_null(passed("transport_family")),
         ),
         "attack_score": score,
-        "predicted_label": text_or_null(json_text(p, "predicted_label")),
+        "predicted_label": text_or_null(field("predicted_label")),
         "fingerprint": F.coalesce(*text("fingerprint", "fingerprint"), flow["source_flow_id"]),
         "source_flow_id": flow["source_flow_id"],
         "flow_sequence": flow["flow_sequence"],
     })
-    staged = staged.withColumn(
-        "severity",
-        F.coalesce(text_or_null(F.col("severity")), severity_from_score(F.col("attack_score")), F.lit("unknown")),
-    )
     family = family_view(
-        json_text(p, "family_status"),
-        json_text(p, "attack_family"),
-        strict_number(json_text(p, "attack_family_confidence")),
-        strict_number(json_text(p, "attack_family_margin")),
+        field("family_status"),
+        field("attack_family"),
+        strict_number(field("attack_family_confidence")),
+        strict_number(field("attack_family_margin")),
     )
-    return staged.withColumns({
+    return compute_once(staged, {
+        "severity": F.coalesce(
+            text_or_null(F.col("severity")), severity_from_score(F.col("attack_score")), F.lit("unknown")
+        ),
         "flow_summary": flow_text(*[F.col(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")]),
         **family,
-    }).drop("__flow_id")
+    }).drop("__p", "__pp", "__flow_id")
 
 
 # ---- suppression -----------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import strict_number
 from flowlens.functions.records import literal_array, renamed_keys, repeated_values
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import CONTRACT_ALIASES, FEATURE_COLUMNS
 
 ALIAS_COLLISION = "alias_collision"
@@ -43,9 +44,8 @@ class FeatureContract:
                 raise ValueError(f"alias {alias!r} points to unknown feature {target!r}")
 
 
-def canonical_record(record: Column, contract: FeatureContract) -> Column:
-    """Renamed record keeping only features; use where keys do not collide."""
-    keys = renamed_keys(record, contract.aliases)
+def canonical_record(record: Column, keys: Column, contract: FeatureContract) -> Column:
+    """Record under renamed ``keys`` keeping only features; use where keys do not collide."""
     entries = F.filter(
         F.arrays_zip(keys.alias("key"), F.map_values(record).alias("value")),
         lambda e: F.array_contains(literal_array(contract.features), e["key"]),
@@ -68,19 +68,26 @@ def validate(
     that takes precedence; such rows carry no features.
     """
     source = F.col(record)
-    collisions = repeated_values(renamed_keys(source, contract.aliases))
-    staged = df.withColumn("__collisions", F.coalesce(collisions, F.expr(_NO_NAMES)))
+    none = F.expr(_NO_NAMES)
+    keyed = compute_once(df, {"__keys": renamed_keys(source, contract.aliases)})
+    checked = compute_once(keyed, {
+        "__collisions": F.coalesce(repeated_values(F.col("__keys")), none),
+        "passthrough": passthrough(source, contract),
+    })
     clean = F.size("__collisions") == 0
-    staged = staged.withColumn("__canon", F.when(clean, canonical_record(source, contract)))
+    mapped = compute_once(checked, {
+        "__canon": F.when(clean, canonical_record(source, F.col("__keys"), contract))
+    })
     canon = F.col("__canon")
-    names = literal_array(contract.features)
-    staged = staged.withColumn("__missing", F.array_except(names, F.map_keys(canon)))
-    numbers = [strict_number(F.try_element_at(canon, F.lit(f))).alias(f) for f in contract.features]
-    staged = staged.withColumn("features", F.struct(*numbers))
+    numbers = {f"__n{i}": strict_number(F.try_element_at(canon, F.lit(f))) for i, f in enumerate(contract.features)}
+    staged = compute_once(mapped, {
+        "__missing": F.array_except(literal_array(contract.features), F.map_keys(canon)),
+        **numbers,
+    })
     bad = F.array_compact(F.array(*[
-        F.when(F.col("features").getField(f).isNull(), F.lit(f)) for f in contract.features
+        F.when(F.col(n).isNull(), F.lit(f)) for n, f in zip(numbers, contract.features)
     ]))
-    staged = staged.withColumn("__bad", F.when(F.size("__missing") == 0, bad))
+    staged = compute_once(staged, {"__bad": F.when(F.size("__missing") == 0, bad)})
     reason = (
         F.when(~clean, ALIAS_COLLISION)
         .when(F.size("__missing") > 0, MISSING)
@@ -88,19 +95,18 @@ def validate(
     )
     if keep_reason:
         reason = F.coalesce(F.col(keep_reason), reason)
-    none = F.expr(_NO_NAMES)
 
     def only(wanted: str, values: str) -> Column:
         return F.when(F.col("reason") == wanted, F.col(values)).otherwise(none)
 
-    staged = staged.withColumn("reason", reason)
-    return staged.withColumns({
+    features = F.struct(*[F.col(n).alias(f) for n, f in zip(numbers, contract.features)])
+    routed = compute_once(staged, {"reason": reason})
+    return routed.withColumns({
         "alias_collisions": only(ALIAS_COLLISION, "__collisions"),
         "missing_features": only(MISSING, "__missing"),
         "non_numeric_features": only(NON_NUMERIC, "__bad"),
-        "passthrough": passthrough(source, contract),
-        "features": F.when(F.col("reason").isNull(), F.col("features")),
-    }).drop("__collisions", "__canon", "__missing", "__bad")
+        "features": F.when(F.col("reason").isNull(), features),
+    }).drop("__keys", "__collisions", "__canon", "__missing", "__bad", *numbers)
 
 
 def valid_records(validated: DataFrame) -> DataFrame:

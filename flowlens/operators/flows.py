@@ -346,7 +346,7 @@ def assemble_flows(
         fwd["port"].alias("src_port"),
         bwd["ip"].alias("dst_ip"),
         bwd["port"].alias("dst_port"),
-        F.col("protocol"),
+        F.col("protocol").alias("ip_protocol"),
         F.col("all_first_ts").alias("first_ts"),
         F.col("all_last_ts").alias("last_ts"),
         flow_id.alias("source_flow_id"),
@@ -362,5 +362,5 @@ def assemble_flows(
 def flow_order() -> list[Column]:
     """Deterministic output order of the flows of a window."""
     return [
-        F.col(c) for c in ("first_ts", "protocol", "src_ip", "src_port", "dst_ip", "dst_port")
+        F.col(c) for c in ("first_ts", "ip_protocol", "src_ip", "src_port", "dst_ip", "dst_port")
     ]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import strip
-from flowlens.functions.records import is_json, last_wins, parse_object
+from flowlens.functions.records import is_json, last_wins, parsed_array, parsed_object
 from flowlens.operators.ordering import number_rows
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import INGEST_ERROR_PREVIEW, MAX_JSONL_LINE_LENGTH
 
 TOO_LARGE = "jsonl_line_too_large"
@@ -60,12 +61,15 @@ def parse_lines(
     """
     text = F.col(value)
     short = F.when(F.length(text) <= max_length, text)
-    staged = lines.filter(strip(text) != "").withColumn("record", last_wins(parse_object(short)))
-    staged = staged.withColumn("parse_reason", parse_reason(text, F.col("record"), max_length))
-    return staged.withColumns({
+    lines = lines.filter(strip(text) != "")
+    parsed = compute_once(lines, {"__parsed": parsed_array(short)})
+    objects = compute_once(parsed, {"__object": parsed_object(F.col("__parsed"))})
+    return compute_once(objects, {
+        "record": last_wins(F.col("__object")),
+        "parse_reason": parse_reason(text, F.col("__object"), max_length),
         "raw_char_count": F.length(text).cast("long"),
-        value: F.when(F.col("parse_reason") == TOO_LARGE, F.lit("")).otherwise(text),
-    })
+        value: F.when(F.length(text) > max_length, F.lit("")).otherwise(text),
+    }).drop("__parsed", "__object")
 
 
 def parse_anomalies(parsed: DataFrame, stream_name: str, event_ts: Column, sensor_id: str) -> DataFrame:
