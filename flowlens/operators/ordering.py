@@ -265,7 +265,7 @@ def exact_percentiles(
     return (
         points.groupBy(*keys)
         .agg(*[F.max(F.when(F.col("__name") == n, F.col("__q"))).alias(n) for n in percentiles])
-        .drop(_EVERYTHING)
+        .select(*groups, *percentiles)
     )
 
 

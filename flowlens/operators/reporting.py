@@ -174,7 +174,8 @@ def summary_freshness(
     joined = sensors.select("sensor_id").join(latest, "sensor_id", "left")
     payload = F.col("payload")
     joined = joined.withColumn("event_time", parse_event_time(json_text(payload, "timestamp")))
-    age = F.greatest(now.cast("double") - F.col("event_time").cast("double"), F.lit(0.0))
+    seconds = now.cast("double") - F.col("event_time").cast("double")
+    age = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
     mismatch = F.lit(False)
     if activation is not None:
         for name in ACTIVATION_FIELDS:
