@@ -39,21 +39,27 @@ def severity_rank(severity: Column) -> Column:
     return ladder.otherwise(F.lit(0))
 
 
-def parse_flow_id(flow_id: Column) -> dict[str, Column]:
-    """Fields of a flow id; all null when the text does not have that shape."""
+FLOW_ID_PARTS = ("src_ip", "src_port", "dst_ip", "dst_port", "flow_sequence")
+
+
+def shaped_flow_id(flow_id: Column) -> Column:
+    """Trimmed flow id, null when it does not have the expected shape."""
     raw = strip(flow_id)
-    shaped = raw.rlike(FLOW_ID_PATTERN)
+    return F.when(raw.rlike(FLOW_ID_PATTERN), raw)
+
+
+def flow_id_parts(shaped: Column) -> dict[str, Column]:
+    """Raw text parts of a shaped flow id."""
+    return {
+        name: F.regexp_extract(shaped, FLOW_ID_PATTERN, i + 1) for i, name in enumerate(FLOW_ID_PARTS)
+    }
 
-    def part(group: int) -> Column:
-        return F.when(shaped, F.regexp_extract(raw, FLOW_ID_PATTERN, group))
 
+def clean_flow_parts(parts: dict[str, Column]) -> dict[str, Column]:
+    """Parts as trimmed text and whole-number ports."""
     return {
-        "source_flow_id": F.when(shaped, raw),
-        "src_ip": text_or_null(part(1)),
-        "src_port": integer_or_null(part(2)),
-        "dst_ip": text_or_null(part(3)),
-        "dst_port": integer_or_null(part(4)),
-        "flow_sequence": text_or_null(part(5)),
+        name: integer_or_null(part) if name.endswith("_port") else text_or_null(part)
+        for name, part in parts.items()
     }
 
 

@@ -29,34 +29,40 @@ def finite_or_null(value: Column) -> Column:
     return F.when(is_finite(value), value)
 
 
-def _parse(text: Column, grammar: str) -> Column:
-    bare = strip(text)
-    return finite_or_null(F.when(bare.rlike(grammar), bare.try_cast("double")))
-
-
-def strict_number(text: Column) -> Column:
-    """Value of a JSON field as a finite double, else null.
+def strict_parse(text: Column) -> Column:
+    """JSON field as a double by the strict grammar; may overflow to infinity.
 
-    Booleans, nulls, blanks, words, infinities and NaN give null; digit groups
-    with underscores are numbers.
+    Booleans, nulls, blanks and words give null; digit groups with underscores
+    are numbers.
     """
     bare = strip(text)
     digits = F.when(bare.contains("_"), F.regexp_replace(bare, "_", "")).otherwise(bare)
-    return finite_or_null(F.when(bare.rlike(STRICT_NUMBER), digits.try_cast("double")))
+    return F.when(bare.rlike(STRICT_NUMBER), digits.try_cast("double"))
+
+
+def lenient_parse(text: Column) -> Column:
+    """CSV cell as a double; may overflow to infinity."""
+    bare = strip(text)
+    return F.when(bare.rlike(LENIENT_NUMBER), bare.try_cast("double"))
+
+
+def strict_number(text: Column) -> Column:
+    """JSON field as a finite double, else null."""
+    return finite_or_null(strict_parse(text))
 
 
 def lenient_number(text: Column) -> Column:
     """CSV cell as a finite double, else null (words, blanks, infinities)."""
-    return _parse(text, LENIENT_NUMBER)
+    return finite_or_null(lenient_parse(text))
 
 
 def lenient_int(text: Column) -> Column:
     """Truncate numeric text towards zero; booleans count as 0 or 1, else null."""
-    bare = strip(text)
+    bare = F.lower(strip(text))
     return (
-        F.when(F.lower(bare) == "true", F.lit(1))
-        .when(F.lower(bare) == "false", F.lit(0))
-        .otherwise(strict_number(bare).try_cast("int"))
+        F.when(bare == "true", F.lit(1))
+        .when(bare == "false", F.lit(0))
+        .otherwise(strict_parse(text).try_cast("int"))
     )
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.alerting import (
+    clean_flow_parts,
     family_view,
+    flow_id_parts,
     flow_text,
-    parse_flow_id,
     severity_from_score,
+    shaped_flow_id,
     text_or_null,
 )
-from flowlens.functions.numeric import lenient_int, strict_number, strip
+from flowlens.functions.numeric import finite_or_null, lenient_int, strict_parse, strip
 from flowlens.functions.records import json_text
 from flowlens.operators.ordering import previous_value
 from flowlens.operators.staging import compute_once
@@ -166,70 +168,85 @@ def _nonzero(port: Column) -> Column:
     return F.when(port != 0, port)
 
 
+_PAYLOAD_KEYS = (
+    "src_ip", "source_ip", "Src IP", "dst_ip", "destination_ip", "Dst IP",
+    "src_port", "source_port", "Src Port", "dst_port", "destination_port", "Dst Port",
+    "protocol", "Protocol", "attack_score", "score", "predicted_label", "fingerprint",
+    "family_status", "attack_family", "attack_family_confidence", "attack_family_margin",
+    "source_flow_id", "flow_id",
+)
+_PORT_KEYS = tuple(k for k in _PAYLOAD_KEYS if k.lower().endswith("port"))
+_NUMBER_KEYS = ("attack_score", "score", "attack_family_confidence", "attack_family_margin")
+
+
 def hydrate(alerts: DataFrame, payload: str = "payload_json") -> DataFrame:
     """Fill address, score, severity and family fields from the payload.
 
     Columns win over payload keys, which win over the parsed flow id; a port of
     0 counts as missing unless the flow id has nothing else.
+
+    The payload is parsed once, and each round of text work reads the columns of
+    the round before, so nothing is evaluated twice. Some keys differ only in
+    case ("protocol", "Protocol"), hence a map with case-sensitive lookups.
     """
-    # Key names differ only in case ("protocol", "Protocol"), so the payload is
-    # parsed once into a map, whose lookups are case sensitive.
     strict = {"allowSingleQuotes": "false"}
+    slot = {k: f"__k{i}" for i, k in enumerate(_PAYLOAD_KEYS)}
     parsed = compute_once(alerts, {"__p": F.from_json(payload, "map<string,string>", strict)})
+    fields = compute_once(parsed, {
+        **{slot[k]: F.try_element_at("__p", F.lit(k)) for k in _PAYLOAD_KEYS},
+        "__pp": F.from_json(F.try_element_at("__p", F.lit("passthrough")), "map<string,string>", strict),
+    })
+    plain = [k for k in _PAYLOAD_KEYS if k not in _PORT_KEYS and k not in _NUMBER_KEYS]
+    typed = compute_once(fields, {
+        **{slot[k]: text_or_null(F.col(slot[k])) for k in plain},
+        **{slot[k]: lenient_int(F.col(slot[k])) for k in _PORT_KEYS},
+        "__zero": F.col(slot["attack_score"]).isin("0", "0.0", "", "false"),
+        **{slot[k]: strict_parse(F.col(slot[k])) for k in _NUMBER_KEYS},
+        "__flow_id": text_or_null(F.try_element_at("__pp", F.lit("source_flow_id"))),
+        "__transport": text_or_null(F.try_element_at("__pp", F.lit("transport_family"))),
+    })
+    flow = {f"__f_{n}": c for n, c in flow_id_parts(F.col("__flow_id")).items()}
+    shaped = compute_once(typed, {
+        "__flow_id": shaped_flow_id(F.coalesce("__flow_id", slot["source_flow_id"], slot["flow_id"]))
+    })
+    split = compute_once(shaped, flow)
+    parts = clean_flow_parts({n.removeprefix("__f_"): F.col(n) for n in flow})
 
-    def field(name: str) -> Column:
-        return F.try_element_at("__p", F.lit(name))
-
-    def passed(name: str) -> Column:
-        return F.try_element_at("__pp", F.lit(name))
-
-    parsed = compute_once(parsed, {"__pp": F.from_json(field("passthrough"), "map<string,string>", strict)})
-    staged = compute_once(parsed, {"__flow_id": F.coalesce(
-        text_or_null(passed("source_flow_id")),
-        text_or_null(field("source_flow_id")),
-        text_or_null(field("flow_id")),
-    )})
-    flow = parse_flow_id(F.col("__flow_id"))
-
-    def text(column: str | None, *keys: str) -> list[Column]:
-        own = [text_or_null(F.col(column))] if column else []
-        return own + [text_or_null(field(k)) for k in keys]
+    def texts(column: str, *keys: str) -> list[Column]:
+        return [text_or_null(F.col(column)), *[F.col(slot[k]) for k in keys]]
 
     def ports(column: str, *keys: str) -> list[Column]:
-        return [_nonzero(F.col(column)), *[_nonzero(lenient_int(field(k))) for k in keys]]
+        return [_nonzero(F.col(column)), *[_nonzero(F.col(slot[k])) for k in keys]]
 
-    score = strict_number(F.coalesce(
-        F.when(~field("attack_score").isin("0", "0.0", "", "false"), field("attack_score")),
-        field("score"),
+    # An attack score of zero falls back to the plain score.
+    score = finite_or_null(F.coalesce(
+        F.when(~F.col("__zero"), F.col(slot["attack_score"])), F.col(slot["score"])
     ))
-    staged = compute_once(staged, {
-        "src_ip": F.coalesce(*text("src_ip", "src_ip", "source_ip", "Src IP"), flow["src_ip"]),
-        "dst_ip": F.coalesce(*text("dst_ip", "dst_ip", "destination_ip", "Dst IP"), flow["dst_ip"]),
-        "src_port": F.coalesce(*ports("src_port", "src_port", "source_port", "Src Port"), flow["src_port"]),
-        "dst_port": F.coalesce(*ports("dst_port", "dst_port", "destination_port", "Dst Port"), flow["dst_port"]),
-        "protocol": F.coalesce(
-            *text("protocol", "protocol", "Protocol"),
-            text_or_null(passed("transport_family")),
-        ),
+    filled = compute_once(split, {
+        "src_ip": F.coalesce(*texts("src_ip", "src_ip", "source_ip", "Src IP"), parts["src_ip"]),
+        "dst_ip": F.coalesce(*texts("dst_ip", "dst_ip", "destination_ip", "Dst IP"), parts["dst_ip"]),
+        "src_port": F.coalesce(*ports("src_port", "src_port", "source_port", "Src Port"), parts["src_port"]),
+        "dst_port": F.coalesce(*ports("dst_port", "dst_port", "destination_port", "Dst Port"), parts["dst_port"]),
+        "protocol": F.coalesce(*texts("protocol", "protocol", "Protocol"), F.col("__transport")),
         "attack_score": score,
-        "predicted_label": text_or_null(field("predicted_label")),
-        "fingerprint": F.coalesce(*text("fingerprint", "fingerprint"), flow["source_flow_id"]),
-        "source_flow_id": flow["source_flow_id"],
-        "flow_sequence": flow["flow_sequence"],
+        "predicted_label": F.col(slot["predicted_label"]),
+        "fingerprint": F.coalesce(*texts("fingerprint", "fingerprint"), F.col("__flow_id")),
+        "source_flow_id": F.col("__flow_id"),
+        "flow_sequence": parts["flow_sequence"],
     })
     family = family_view(
-        field("family_status"),
-        field("attack_family"),
-        strict_number(field("attack_family_confidence")),
-        strict_number(field("attack_family_margin")),
+        F.col(slot["family_status"]),
+        F.col(slot["attack_family"]),
+        finite_or_null(F.col(slot["attack_family_confidence"])),
+        finite_or_null(F.col(slot["attack_family_margin"])),
     )
-    return compute_once(staged, {
+    return compute_once(filled, {
         "severity": F.coalesce(
             text_or_null(F.col("severity")), severity_from_score(F.col("attack_score")), F.lit("unknown")
         ),
         "flow_summary": flow_text(*[F.col(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")]),
         **family,
-    }).drop("__p", "__pp", "__flow_id")
+    }).drop("__p", "__pp", "__zero", "__flow_id", "__transport", *slot.values(), *flow)
 
 
 # ---- suppression -----------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.functions.numeric import finite_or_null, is_finite, lenient_number
+from flowlens.functions.numeric import finite_or_null, is_finite, lenient_parse
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import LEAKAGE_COLUMNS
 
 
@@ -25,15 +26,11 @@ def drop_leakage(df: DataFrame, leakage: Sequence[str] = LEAKAGE_COLUMNS) -> Dat
     return df.drop(*leakage)
 
 
-def _numeric(df: DataFrame, name: str):
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return lenient_number(quoted(name))
-    return finite_or_null(quoted(name).cast("double"))
-
-
 def coerce_numeric(df: DataFrame, features: Sequence[str], flag: str = "is_clean") -> DataFrame:
     """Features as finite doubles (else null) plus a flag that all are present."""
-    coerced = df.withColumns({name: _numeric(df, name) for name in features})
+    texts = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
+    parsed = compute_once(df, {c: lenient_parse(quoted(c)) for c in texts}) if texts else df
+    coerced = parsed.withColumns({c: finite_or_null(quoted(c).cast("double")) for c in features})
     complete = F.lit(True)
     for name in features:
         complete = complete & quoted(name).isNotNull()

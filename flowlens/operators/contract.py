@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.numeric import strict_number
+from flowlens.functions.numeric import finite_or_null, strict_parse
 from flowlens.functions.records import literal_array, renamed_keys, repeated_values
 from flowlens.operators.staging import compute_once
 from flowlens.schemas import CONTRACT_ALIASES, FEATURE_COLUMNS
@@ -79,11 +79,13 @@ def validate(
         "__canon": F.when(clean, canonical_record(source, F.col("__keys"), contract))
     })
     canon = F.col("__canon")
-    numbers = {f"__n{i}": strict_number(F.try_element_at(canon, F.lit(f))) for i, f in enumerate(contract.features)}
-    staged = compute_once(mapped, {
+    numbers = [f"__n{i}" for i in range(len(contract.features))]
+    texts = compute_once(mapped, {
         "__missing": F.array_except(literal_array(contract.features), F.map_keys(canon)),
-        **numbers,
+        **{n: F.try_element_at(canon, F.lit(f)) for n, f in zip(numbers, contract.features)},
     })
+    parsed = compute_once(texts, {n: strict_parse(F.col(n)) for n in numbers})
+    staged = parsed.withColumns({n: finite_or_null(F.col(n)) for n in numbers})
     bad = F.array_compact(F.array(*[
         F.when(F.col(n).isNull(), F.lit(f)) for n, f in zip(numbers, contract.features)
     ]))

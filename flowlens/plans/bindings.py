@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.sources.tables import read_table
+from flowlens.sources.tables import read_table, spread
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "events").withColumn(
+    return spread(read_table(spark, sf, "events")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.functions.alerting import parse_flow_id, severity_from_score, severity_rank
+from flowlens.functions.alerting import clean_flow_parts, flow_id_parts, severity_from_score, severity_rank, shaped_flow_id
 from flowlens.operators import alerts as al
 from flowlens.operators import incidents as inc
 from flowlens.operators import reporting as rp
@@ -51,7 +51,7 @@ def flow_id_parse(spark, sf):
         F.lit(" h"), F.col("user_id").cast("string"), F.lit(":"), F.when(k % 5 == 0, "x").otherwise(k.cast("string")),
         F.lit("-a-b:80-"), F.lpad(k.cast("string"), 5, "0"), F.lit(" "),
     ))
-    parts = parse_flow_id(F.col("flow_id"))
+    parts = clean_flow_parts(flow_id_parts(shaped_flow_id(F.col("flow_id"))))
     return b.events(spark, sf).select("event_id", text.alias("flow_id")).select(
         "event_id", *[parts[c].alias(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port", "flow_sequence")]
     )

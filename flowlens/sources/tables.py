@@ -18,6 +18,17 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for row-by-row work on an input with too few splits.
+
+    A parquet file of one row group is one task however costly the columns
+    built on it are. Inputs with at least one split per core are left alone, so
+    large tables never take this shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Parquet scan pruned to the given columns."""
     return spark.read.parquet(path).select(*[quoted(c) for c in columns])
