@@ -46,6 +46,8 @@ def quantile_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
 
 def with_value_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: str) -> DataFrame:
     """Index of the interval of ``bounds`` that holds ``value`` (non-null, not NaN)."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
     cuts = [float("-inf"), *bounds, float("inf")]
     widened = df.withColumn("__value", F.col(value).cast("double"))
     bucketed = Bucketizer(splits=cuts, inputCol="__value", outputCol=out).transform(widened)
