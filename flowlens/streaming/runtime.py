@@ -108,7 +108,7 @@ def ingest_stream(
             if "row_id" not in columns.columns:
                 columns = columns.withColumn("row_id", F.monotonically_increasing_id())
             _write(columns, f"{store}/{kind}", batch_id)
-            _write(parse_anomalies(parsed, kind, now, sensor_id), f"{store}/parse_errors", batch_id)
+            _write(parse_anomalies(parsed, kind, now, sensor_id), f"{store}/parse_errors/stream={kind}", batch_id)
         finally:
             parsed.unpersist()
 
