@@ -25,14 +25,13 @@ def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumn(_EVERYTHING, F.lit(1)), [_EVERYTHING]
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on ``keys`` where null matches null; keys are kept once."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = None
-    for key in keys:
-        part = left[key].eqNullSafe(renamed[f"__r_{key}"])
-        condition = part if condition is None else condition & part
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+def _keyed(df: DataFrame, keys: Sequence[str], bucket: str = "__bucket") -> DataFrame:
+    """Add ``__g`` (group) and ``__gb`` (group and bucket) as struct keys.
+
+    Structs with equal null fields are equal, so plain equality on them is null
+    safe, and one hash partitioning serves the window, the totals and the join.
+    """
+    return df.withColumns({"__g": F.struct(*keys), "__gb": F.struct(*keys, bucket)})
 
 
 def quantile_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
@@ -74,24 +73,24 @@ def running_totals(
     if bounds is None:
         bounds = quantile_bounds(source, value, buckets)
     counted = source.groupBy(*keys, value).agg(*[c.alias(m) for m, c in measures.items()])
-    counted = with_value_bucket(counted, value, bounds, "__bucket")
+    counted = _keyed(with_value_bucket(counted, value, bounds, "__bucket"), keys)
     names = list(measures)
-    order = F.col("__bucket").desc() if descending else F.col("__bucket")
-    totals = counted.groupBy(*keys, "__bucket").agg(*[F.sum(m).alias(f"__t_{m}") for m in names])
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.col("__gb.__bucket").desc() if descending else F.col("__gb.__bucket")
+    totals = counted.groupBy("__g", "__gb").agg(*[F.sum(m).alias(f"__t_{m}") for m in names])
+    earlier = Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__bucket",
+        "__gb",
         *[F.coalesce(F.sum(f"__t_{m}").over(earlier), F.lit(0)).alias(f"__o_{m}") for m in names],
     )
     inner_order = F.col(value).desc() if descending else F.col(value)
     inside = (
-        Window.partitionBy(*keys, "__bucket").orderBy(inner_order)
+        Window.partitionBy("__gb").orderBy(inner_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     partial = counted.withColumns(
         {f"__i_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in names}
     )
-    joined = _null_safe(partial, offsets, [*keys, "__bucket"])
+    joined = partial.join(offsets, "__gb")
     result = joined.withColumns(
         {f"before_{m}": F.col(f"__i_{m}") + F.col(f"__o_{m}") for m in names}
     )
@@ -111,20 +110,20 @@ def number_rows(
     ``sizes_from`` may give the same rows in a cheaper form for counting buckets.
     """
     source, keys = _grouped(df, groups)
-    bucketed = source.withColumn("__bucket", bucket)
-    counted = bucketed if sizes_from is None else _grouped(sizes_from, groups)[0].withColumn("__bucket", bucket)
-    sizes = counted.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    bucketed = _keyed(source.withColumn("__bucket", bucket), keys)
+    counted = bucketed
+    if sizes_from is not None:
+        counted = _keyed(_grouped(sizes_from, groups)[0].withColumn("__bucket", bucket), keys)
+    sizes = counted.groupBy("__g", "__gb").agg(F.count(F.lit(1)).alias("__n"))
     earlier = (
-        Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__g").orderBy("__gb.__bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        *keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    offsets = sizes.select("__gb", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__gb").orderBy(*order)
     numbered = bucketed.withColumn("__rn", F.row_number().over(inside))
-    joined = _null_safe(numbered, offsets, [*keys, "__bucket"])
+    joined = numbered.join(offsets, "__gb")
     return joined.withColumn(out, F.col("__before") + F.col("__rn") - 1).drop(
-        "__bucket", "__before", "__rn", _EVERYTHING
+        "__bucket", "__g", "__gb", "__before", "__rn", _EVERYTHING
     )
 
 
@@ -141,23 +140,21 @@ def previous_value(
     The first row of a bucket takes the last value of the nearest earlier
     bucket, so no task ever holds more than one bucket of a group.
     """
-    bucketed = df.withColumn("__bucket", bucket)
-    inside = Window.partitionBy(*groups, "__bucket").orderBy(*order)
-    tail = bucketed.groupBy(*groups, "__bucket").agg(
+    bucketed = _keyed(df.withColumn("__bucket", bucket), groups)
+    inside = Window.partitionBy("__gb").orderBy(*order)
+    tail = bucketed.groupBy("__g", "__gb").agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     )
-    across = Window.partitionBy(*groups).orderBy("__bucket")
-    carried = tail.select(
-        *groups, "__bucket", F.lag("__last").over(across).alias("__carry")
-    )
+    across = Window.partitionBy("__g").orderBy("__gb.__bucket")
+    carried = tail.select("__gb", F.lag("__last").over(across).alias("__carry"))
     lagged = bucketed.withColumns({
         "__lag": F.lag(value).over(inside),
         "__rn": F.row_number().over(inside),
     })
-    joined = _null_safe(lagged, carried, [*groups, "__bucket"])
+    joined = lagged.join(carried, "__gb")
     return joined.withColumn(
         out, F.when(F.col("__rn") == 1, F.col("__carry.v")).otherwise(F.col("__lag"))
-    ).drop("__bucket", "__lag", "__rn", "__carry")
+    ).drop("__bucket", "__g", "__gb", "__lag", "__rn", "__carry")
 
 
 def smallest_per_group(
@@ -219,10 +216,10 @@ def exact_percentiles(
     percentiles = percentiles or PERCENTILES
     source, keys = _grouped(df.filter(F.col(value).isNotNull()), groups)
     bounds = quantile_bounds(source, value, buckets)
-    source = with_value_bucket(source.select(*keys, value), value, bounds, "__bucket")
-    sizes = source.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    group_window = Window.partitionBy(*keys)
-    earlier = group_window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    source = _keyed(with_value_bucket(source.select(*keys, value), value, bounds, "__bucket"), keys)
+    sizes = source.groupBy("__g", "__gb").agg(F.count(F.lit(1)).alias("__n"))
+    group_window = Window.partitionBy("__g")
+    earlier = group_window.orderBy("__gb.__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumns({
         "__start": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
         "__total": F.sum("__n").over(group_window),
@@ -237,37 +234,37 @@ def exact_percentiles(
         .filter(
             (F.col("__hi") >= F.col("__start")) & (F.col("__lo") < F.col("__start") + F.col("__n"))
         )
-        .select(*keys, "__bucket", "__start", F.col("__w.name").alias("__name"), "__pos", "__lo", "__hi")
+        .select("__g", "__gb", "__start", F.col("__w.name").alias("__name"), "__pos", "__lo", "__hi")
     )
-    needed = targets.select(*keys, "__bucket", "__start").distinct()
+    needed = targets.select("__gb", "__start").distinct()
     counted = (
-        _null_safe(source, needed, [*keys, "__bucket"])
-        .groupBy(*keys, "__bucket", "__start", value)
+        source.select("__gb", value).join(needed, "__gb")
+        .groupBy("__gb", "__start", value)
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     inside = (
-        Window.partitionBy(*keys, "__bucket").orderBy(value)
+        Window.partitionBy("__gb").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = counted.withColumn(
         "__first", F.col("__start") + F.coalesce(F.sum("__c").over(inside), F.lit(0))
     )
-    hits = _null_safe(ranked.drop("__start"), targets.drop("__start"), [*keys, "__bucket"])
+    hits = ranked.drop("__start").join(targets.drop("__start"), "__gb")
     last = F.col("__first") + F.col("__c")
     holds_lo = (F.col("__first") <= F.col("__lo")) & (F.col("__lo") < last)
     holds_hi = (F.col("__first") <= F.col("__hi")) & (F.col("__hi") < last)
     number = F.col(value).cast("double")
     points = (
-        hits.groupBy(*keys, "__name", "__pos", "__lo")
+        hits.groupBy("__g", "__name", "__pos", "__lo")
         .agg(F.max(F.when(holds_lo, number)).alias("__a"), F.max(F.when(holds_hi, number)).alias("__b"))
         .withColumn(
             "__q", F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__pos") - F.col("__lo"))
         )
     )
     return (
-        points.groupBy(*keys)
+        points.groupBy("__g")
         .agg(*[F.max(F.when(F.col("__name") == n, F.col("__q"))).alias(n) for n in percentiles])
-        .select(*groups, *percentiles)
+        .select(*[F.col("__g").getField(k).alias(k) for k in groups], *percentiles)
     )
 
 
@@ -283,8 +280,8 @@ def numeric_profile(df: DataFrame, groups: Sequence[str], value: str) -> DataFra
         F.min(number).alias("min"),
         F.max(number).alias("max"),
     )
-    marks = exact_percentiles(source, keys, value)
-    joined = _null_safe(basics, marks, keys, "left")
+    marks = exact_percentiles(source, keys, value).select(F.struct(*keys).alias("__g"), *PERCENTILES)
+    joined = basics.withColumn("__g", F.struct(*keys)).join(marks, "__g", "left")
     names = ["mean", "std", "min", *PERCENTILES, "max"]
     if groups:
         return joined.select(*groups, "count", *names)

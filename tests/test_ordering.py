@@ -59,3 +59,11 @@ def test_smallest_per_group_is_exact(spark):
     assert counts == {"hot": 501, "g1": size("g1"), "g3": size("g3")}
     again = od.smallest_per_group(df.repartition(5), "g", caps, 9, ["id"])
     assert {r["id"] for r in got.collect()} == {r["id"] for r in again.collect()}
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), ("a", 3, 5.0)], "g string, id long, x double")
+    assert {(r.g, r.p50) for r in od.numeric_profile(df, ["g"], "x").collect()} == {(None, 2.0), ("a", 5.0)}
+    assert od.number_rows(df, ["g"], F.col("id"), [F.col("id")], "n").count() == 3
+    assert {(r.id, r.b) for r in od.previous_value(df, ["g"], F.col("id"), [F.col("id")], "x", "b").collect()} == {(1, None), (2, 1.0), (3, None)}
+    assert od.running_totals(df, ["g"], "x", {"n": F.count(F.lit(1))}, buckets=2).count() == 3
