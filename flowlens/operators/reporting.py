@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import safe_ratio, strip
@@ -133,10 +133,10 @@ def summary_events(counters: DataFrame, reason: str, timestamp: Column) -> DataF
     return counters.select(event.alias("value"))
 
 
-def with_pipeline_metrics(routed: DataFrame, name: str) -> DataFrame:
+def with_pipeline_metrics(routed: DataFrame, observation: Observation) -> DataFrame:
     """Attach counters that fill while the job runs, without another pass."""
     return routed.observe(
-        name,
+        observation,
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("reason").isNotNull()).alias("quarantined"),
         F.count_if(F.col("reason").isNull()).alias("valid"),

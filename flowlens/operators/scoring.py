@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import sigmoid
 from flowlens.functions.probabilities import argmax_label, margin, top1
+from flowlens.operators.staging import compute_once
 from flowlens.schemas import KNOWN_ATTACK_FAMILIES
 
 
@@ -76,32 +77,40 @@ def score_two_stage(
     config: ScoringConfig,
     include_input: bool = True,
 ) -> DataFrame:
-    """Score alerts with the family model; benign rows never reach it.
+    """Binary score, then family columns on alert rows, in one pass over the input.
 
-    Family features are only needed on alert rows: a null there fails the job.
+    Family features are only needed on alert rows: a null there fails the job,
+    while benign rows get a neutral value and their family result is blank.
+    Splitting the rows into two branches would read and score everything twice.
     """
     config.require_family_thresholds()
-    first = score_binary(df, model, config)
+    first = model.transform(df)
     names = list(binary_columns(F.lit(0.0), config))
     base = list(df.columns) if include_input else []
-    alerts = first.filter("is_alert")
-    for name in config.family_features:
-        value = F.col(f"`{name}`")
+    kept = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    scored = compute_once(
+        first.select(*[F.col(f"`{c}`").alias(k) for c, k in kept.items()], positive_score(first).alias("attack_score")),
+        binary_columns(F.col("attack_score"), config),
+    )
+    alert = F.col("is_alert")
+
+    def stage2_input(name: str) -> Column:
+        value = F.col(kept[name])
+        if name not in config.family_features:
+            return value.alias(name)
         problem = F.lit(f"stage 2 feature {name} is missing on an alert row")
-        alerts = alerts.withColumn(name, F.when(value.isNull(), F.raise_error(problem).cast("double")).otherwise(value))
-    second = family_model.transform(alerts)
-    probabilities = vector_to_array("probability")
-    columns = family_columns(F.lit(True), probabilities, config)
-    order = [F.col(f"`{c}`") for c in [*base, *names]]
-    hit = second.select(*order, *[c.alias(n) for n, c in columns.items()])
-    missing = {
-        "attack_family": F.lit(None).cast("string"),
-        "attack_family_confidence": F.lit(None).cast("double"),
-        "attack_family_margin": F.lit(None).cast("double"),
-        "family_status": F.lit("benign"),
-    }
-    calm = first.filter(~F.col("is_alert")).select(*order, *[c.alias(n) for n, c in missing.items()])
-    return hit.unionByName(calm)
+        required = F.when(value.isNull(), F.raise_error(problem).cast("double")).otherwise(value)
+        return F.when(alert, required).otherwise(F.lit(0.0)).alias(name)
+
+    wanted = [c for c in df.columns if not config.family_features or c in config.family_features]
+    second = family_model.transform(
+        scored.select(*kept.values(), *names, *[stage2_input(c) for c in wanted])
+    )
+    staged = compute_once(second, {"__probability": vector_to_array("probability")})
+    columns = family_columns(alert, F.col("__probability"), config)
+    return staged.select(
+        *[F.col(kept[c]).alias(c) for c in base], *names, *[c.alias(n) for n, c in columns.items()]
+    )
 
 
 def prediction_events(scored: DataFrame, index: str = "record_index", passthrough: str = "passthrough",

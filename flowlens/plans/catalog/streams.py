@@ -178,3 +178,63 @@ def prepared_csv_tree(spark, sf):
         part.repartition(4).write.option("header", True).csv(f"{folder}/raw/{family}/scenario")
     prepared = prepare(spark, f"{folder}/raw", f"{folder}/out", across_splits=True)
     return spark.read.parquet(prepared.splits).groupBy("derived_label_family", "derived_label_binary").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@_r.query(f"""WITH {_ID} SELECT 'valid' AS outcome, 'cicflowmeter_primary_v1' AS profile, count(*) AS rows, count(DISTINCT source_flow_id) AS flows FROM ids""")
+def bridged_flow_exports(spark, sf):
+    """Flow CSV exports read back and adapted record by record."""
+    from flowlens.plans.runtime import bridge_windows
+    from flowlens.sources.flow_csv import write_flow_csv
+
+    folder = work_folder(spark, "bridge")
+    write_flow_csv(sample_flows(spark, sf), folder, PRIMARY_PROFILE)
+    adapted = bridge_windows(spark, folder, PRIMARY_PROFILE.profile_id)
+    return adapted.groupBy(F.coalesce("reason", F.lit("valid")).alias("outcome"), "profile").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct(F.try_element_at("metadata", F.lit("source_flow_id"))).alias("flows"),
+    )
+
+
+@_r.query(f"""WITH {b.CONTRACT_LINES} SELECT count(*) AS records, count(*) FILTER (WHERE outcome <> 'valid') AS quarantined, count(*) FILTER (WHERE outcome = 'valid') AS valid FROM val""")
+def pipeline_counters(spark, sf):
+    """Counters observed while the routed records are written, without another pass."""
+    from flowlens.operators.reporting import with_pipeline_metrics
+    from flowlens.plans.catalog.records import validated_contract
+    from pyspark.sql import Observation
+
+    seen = Observation("pipeline")
+    routed = with_pipeline_metrics(validated_contract(spark, sf), seen)
+    routed.select("event_id", "reason").write.parquet(work_folder(spark, "routed"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("records", "quarantined", "valid"))], "records long, quarantined long, valid long")
+
+
+@_r.query(f"""WITH {b.EVENTS} SELECT 'live_sensor_summary' AS event_type, 'sensor-' || (user_id % 4) AS sensor_id, CAST(count(*) FILTER (WHERE event_type IN ('view', 'click') AND value >= 30) AS VARCHAR) AS alert_records FROM ev GROUP BY 2""")
+def sensor_summary_events(spark, sf):
+    from flowlens.operators.reporting import summary_events
+
+    events = summary_events(alerting.sensor_counters(spark, sf), "interval", F.lit(alerting.NOW))
+    value = F.col("value")
+    return events.select(*[json_text(value, c).alias(c) for c in ("event_type", "sensor_id", "alert_records")])
+
+
+@_r.query(f"""WITH {b.SCORED} SELECT split, CAST(count(*) AS BIGINT) AS rows FROM scored GROUP BY 1""")
+def report_files(spark, sf):
+    """A report written as one JSON file and read back."""
+    folder = work_folder(spark, "report")
+    counts = b.scored_events(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    tables.write_report(counts, folder)
+    return spark.read.schema("split string, rows long").json(folder)
+
+
+@_r.query(f"""WITH {b.ALERTS}, {b.RULES}, top AS (SELECT * FROM sup ORDER BY event_ts DESC, id DESC LIMIT 100), s AS (SELECT * FROM al ORDER BY event_ts DESC, id DESC LIMIT 20)
+SELECT 'alert' AS kind, id FROM top WHERE NOT suppressed UNION ALL SELECT 'summary', id FROM s""")
+def console_snapshot(spark, sf):
+    from flowlens.operators import alerts as al
+    from flowlens.operators.reporting import console_snapshot as snapshot
+
+    raw = b.raw_alerts(spark, sf)
+    summaries = raw.select("id", "sensor_id", F.col("event_ts").alias("summary_ts"), "payload_json")
+    shown = snapshot(raw, alerting.anomaly_table(spark, sf), summaries, al.active_rules(b.rules(spark, sf)))
+    return shown["alerts"].select(F.lit("alert").alias("kind"), "id").unionByName(
+        shown["summaries"].select(F.lit("summary").alias("kind"), "id")
+    )

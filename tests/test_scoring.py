@@ -45,7 +45,7 @@ def test_two_stage_model(spark):
     df = training(spark)
     model = md.train_binary(df, "logreg", ["f1", "f2"], maxIter=20)
     family = md.train_family(df.filter("id % 2 = 1"), ["f1", "f2"], ("DoS", "Mirai"), numTrees=5, maxDepth=3)
-    config = sc.ScoringConfig(family_labels=("DoS", "Mirai"), family_features=("f2",), top1_threshold=0.5, margin_threshold=0.1)
+    config = sc.ScoringConfig(family_labels=("DoS", "Mirai"), family_features=("f1", "f2"), top1_threshold=0.5, margin_threshold=0.1)
     scored = sc.score_two_stage(df, model, family, config)
     assert scored.count() == 120 and scored.filter("family_status = 'benign'").count() == 60
     assert scored.filter("attack_family <> derived_label_family").count() == 0
