@@ -29,13 +29,13 @@ def finite_or_null(value: Column) -> Column:
     return F.when(is_finite(value), value)
 
 
-def strict_parse(text: Column) -> Column:
+def strict_parse(text: Column, stripped: bool = False) -> Column:
     """JSON field as a double by the strict grammar; may overflow to infinity.
 
     Booleans, nulls, blanks and words give null; digit groups with underscores
-    are numbers.
+    are numbers. ``stripped`` says the text is already trimmed.
     """
-    bare = strip(text)
+    bare = text if stripped else strip(text)
     digits = F.when(bare.contains("_"), F.regexp_replace(bare, "_", "")).otherwise(bare)
     return F.when(bare.rlike(STRICT_NUMBER), digits.try_cast("double"))
 

@@ -65,12 +65,22 @@ def renamed_keys(record: Column, mapping: dict[str, str]) -> Column:
     return F.transform(F.map_keys(record), lambda k: F.coalesce(F.try_element_at(names, k), k))
 
 
+def has_repeats(values: Column) -> Column:
+    return F.size(values) > F.size(F.array_distinct(values))
+
+
 def repeated_values(values: Column) -> Column:
-    """Sorted distinct values that occur more than once in an array."""
-    ordered = F.array_sort(values)
-    return F.array_distinct(
+    """Sorted distinct values that occur more than once; only arrays with repeats are sorted."""
+    ordered = F.sort_array(values)
+    found = F.array_distinct(
         F.filter(ordered, lambda v, i: (i > 0) & (F.get(ordered, i - 1) == v))
     )
+    return F.when(has_repeats(values), found).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def picked(record: Column, keys: Column) -> Column:
+    """Entries of a map for the given present keys; cost follows the number of keys."""
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(record, k)))
 
 
 def json_text(payload: Column, *path: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import strip
 from flowlens.functions.records import literal_array, literal_map, repeated_values
-from flowlens.operators.contract import FeatureContract, validate
+from flowlens.operators.contract import FeatureContract, check_features
 from flowlens.operators.staging import compute_once
 from flowlens.schemas import (
     CONTRACT_ALIASES,
@@ -24,7 +24,6 @@ from flowlens.schemas import (
 
 BLANK_KEYS = "blank_source_keys"
 KEY_COLLISION = "normalized_key_collision"
-ALIAS_COLLISION = "alias_collision"
 UNMAPPED = "unmapped_source_fields"
 _NO_NAMES = "cast(array() as array<string>)"
 _NO_PAIRS = "cast(map() as map<string,string>)"
@@ -90,13 +89,13 @@ def require_profile(profile_id: str, profiles: dict[str, AdapterProfile] | None
     return known[profile_id]
 
 
-def _section(entries: Column, mapping: dict[str, str]) -> Column:
-    """Entries whose key belongs to a section, renamed to the section's targets."""
+def _section(record: Column, keys: Column, mapping: dict[str, str]) -> Column:
+    """Present entries of a section under their target names."""
     names = literal_map(mapping)
-    inside = F.filter(entries, lambda e: F.array_contains(F.map_keys(names), e["key"]))
-    return F.transform(
-        inside,
-        lambda e: F.struct(F.element_at(names, e["key"]).alias("key"), e["value"].alias("value")),
+    present = F.array_intersect(literal_array(mapping), keys)
+    return F.map_from_arrays(
+        F.transform(present, lambda k: F.element_at(names, k)),
+        F.transform(present, lambda k: F.element_at(record, k)),
     )
 
 
@@ -107,61 +106,53 @@ def adapt(
     record: str = "record",
     keep_reason: str | None = None,
 ) -> DataFrame:
-    """Adapt raw source records; adds reason, details, features, metadata and extras."""
+    """Adapt raw source records; adds reason, details, features, metadata and extras.
+
+    A profile is one-to-one with disjoint targets, so distinct source keys can
+    never meet in one target and ``alias_collisions`` stays empty.
+    """
     contract = contract or FeatureContract()
     profile.check_against(contract)
     raw = F.col(record)
     raw_keys = F.map_keys(raw)
-    trimmed = F.transform(raw_keys, lambda k: strip(k))
-    entries = F.arrays_zip(F.col("__keys").alias("key"), F.map_values(raw).alias("value"))
-    sections = {
-        "__feature": _section(entries, profile.feature_map),
-        "__metadata": _section(entries, profile.metadata_map),
-        "__extra": _section(entries, {k: k for k in profile.extras}),
-    }
-    accepted = literal_array(profile.accepted_keys())
-    staged = compute_once(compute_once(df, {"__keys": trimmed}), {
-        "__blank": F.array_distinct(F.array_sort(F.filter(raw_keys, lambda k: strip(k) == ""))),
-        "__collide": repeated_values(F.filter(F.col("__keys"), lambda k: k != "")),
-        **sections,
-    })
-    targets = F.flatten(F.array(*[
-        F.transform(F.col(s), lambda e: e["key"]) for s in sections
-    ]))
+    none, pairs = F.expr(_NO_NAMES), F.expr(_NO_PAIRS)
+    source_of = {target: source for source, target in profile.feature_map.items()}
+    ordered = [source_of[f] for f in contract.features]
+    keys = F.col("__keys")
+    staged = compute_once(df, {"__keys": F.transform(raw_keys, lambda k: strip(k))})
+    blank = F.array_distinct(F.sort_array(F.filter(raw_keys, lambda k: strip(k) == "")))
     staged = compute_once(staged, {
-        "__alias": repeated_values(targets),
-        "__unmapped": F.array_sort(F.array_except(F.col("__keys"), accepted)),
+        "__blank": F.when(F.array_contains(keys, ""), blank).otherwise(none),
+        "__collide": repeated_values(keys),
+        "__unmapped": F.array_except(keys, literal_array(profile.accepted_keys())),
     })
+    usable = (F.size("__blank") == 0) & (F.size("__collide") == 0)
+    staged = compute_once(staged, {"__record": F.when(usable, F.map_from_arrays(keys, F.map_values(raw)))})
     early = (
         F.when(F.size("__blank") > 0, BLANK_KEYS)
         .when(F.size("__collide") > 0, KEY_COLLISION)
-        .when(F.size("__alias") > 0, ALIAS_COLLISION)
         .when(F.size("__unmapped") > 0, UNMAPPED)
     )
     if keep_reason:
         early = F.coalesce(F.col(keep_reason), early)
-    staged = compute_once(staged, {"__early": early})
-    mapped = compute_once(
-        staged, {"__canon": F.when(F.col("__early").isNull(), F.map_from_entries("__feature"))}
+    absent = F.array_except(literal_array(ordered), F.map_keys("__record"))
+    to_target = literal_map(profile.feature_map)
+    checked = check_features(
+        staged, contract,
+        {f: F.try_element_at("__record", F.lit(s)) for f, s in zip(contract.features, ordered)},
+        F.transform(absent, lambda k: F.element_at(to_target, k)),
+        early,
     )
-    checked = validate(
-        mapped, FeatureContract(contract.features, {}), record="__canon", keep_reason="__early"
-    )
-    none, pairs = F.expr(_NO_NAMES), F.expr(_NO_PAIRS)
-    sectioned = F.col("reason").isNull() | ~F.col("reason").isin(BLANK_KEYS, KEY_COLLISION, ALIAS_COLLISION)
-    # After a collision the first occurrence is reported, so repeats are dropped.
+    trimmed = F.col("__record")
     return checked.withColumns({
         "profile": F.lit(profile.profile_id),
         "blank_source_keys": F.when(F.col("reason") == BLANK_KEYS, F.col("__blank")).otherwise(none),
         "normalized_key_collisions": F.when(F.col("reason") == KEY_COLLISION, F.col("__collide")).otherwise(none),
-        "alias_collisions": F.when(F.col("reason") == ALIAS_COLLISION, F.col("__alias")).otherwise(none),
-        "unmapped_fields": F.when(F.col("reason") == UNMAPPED, F.col("__unmapped")).otherwise(none),
-        "metadata": F.when(sectioned & (F.size("__collide") == 0), F.map_from_entries("__metadata")).otherwise(pairs),
-        "controlled_extras": F.when(sectioned & (F.size("__collide") == 0), F.map_from_entries("__extra")).otherwise(pairs),
-    }).drop(
-        "__keys", "__blank", "__collide", "__alias", "__unmapped", "__early", "__canon",
-        "passthrough", *sections,
-    )
+        "alias_collisions": none,
+        "unmapped_fields": F.when(F.col("reason") == UNMAPPED, F.sort_array("__unmapped")).otherwise(none),
+        "metadata": F.when(trimmed.isNotNull(), _section(trimmed, keys, profile.metadata_map)).otherwise(pairs),
+        "controlled_extras": F.when(trimmed.isNotNull(), _section(trimmed, keys, {k: k for k in profile.extras})).otherwise(pairs),
+    }).drop("__keys", "__blank", "__collide", "__unmapped", "__record")
 
 
 def adapted_rows(adapted: DataFrame, profile: AdapterProfile, contract: FeatureContract | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.numeric import finite_or_null, strict_parse
-from flowlens.functions.records import literal_array, renamed_keys, repeated_values
+from flowlens.functions.numeric import finite_or_null, strict_parse, strip
+from flowlens.functions.records import literal_array, picked, renamed_keys, repeated_values
 from flowlens.operators.staging import compute_once
 from flowlens.schemas import CONTRACT_ALIASES, FEATURE_COLUMNS
 
@@ -44,19 +44,41 @@ class FeatureContract:
                 raise ValueError(f"alias {alias!r} points to unknown feature {target!r}")
 
 
-def canonical_record(record: Column, keys: Column, contract: FeatureContract) -> Column:
-    """Record under renamed ``keys`` keeping only features; use where keys do not collide."""
-    entries = F.filter(
-        F.arrays_zip(keys.alias("key"), F.map_values(record).alias("value")),
-        lambda e: F.array_contains(literal_array(contract.features), e["key"]),
-    )
-    return F.map_from_entries(entries)
-
-
 def passthrough(record: Column, contract: FeatureContract) -> Column:
     """Keys that are neither features nor aliases of features."""
     known = literal_array([*contract.features, *contract.aliases])
-    return F.map_filter(record, lambda k, v: ~F.array_contains(known, k))
+    return picked(record, F.array_except(F.map_keys(record), known))
+
+
+def check_features(
+    df: DataFrame, contract: FeatureContract, texts: dict[str, Column], missing: Column, early: Column
+) -> DataFrame:
+    """Shared tail of validation: numbers, missing and non-numeric features, reason.
+
+    ``texts`` gives the text of every feature and ``early`` an earlier reason.
+    Each step reads only columns of the step before.
+    """
+    none = F.expr(_NO_NAMES)
+    numbers = [f"__n{i}" for i in range(len(contract.features))]
+    staged = compute_once(df, {
+        "__missing": missing, "__early": early, **{n: strip(texts[f]) for n, f in zip(numbers, contract.features)},
+    })
+    parsed = compute_once(staged, {n: strict_parse(F.col(n), stripped=True) for n in numbers})
+    finite = parsed.withColumns({n: finite_or_null(F.col(n)) for n in numbers})
+    bad = F.array_compact(F.array(*[
+        F.when(F.col(n).isNull(), F.lit(f)) for n, f in zip(numbers, contract.features)
+    ]))
+    routed = compute_once(finite, {"__bad": F.when(F.col("__early").isNull() & (F.size("__missing") == 0), bad)})
+    reason = F.coalesce(
+        F.col("__early"), F.when(F.size("__missing") > 0, MISSING).when(F.size("__bad") > 0, NON_NUMERIC)
+    )
+    routed = compute_once(routed, {"reason": reason})
+    features = F.struct(*[F.col(n).alias(f) for n, f in zip(numbers, contract.features)])
+    return routed.withColumns({
+        "missing_features": F.when(F.col("reason") == MISSING, F.col("__missing")).otherwise(none),
+        "non_numeric_features": F.when(F.col("reason") == NON_NUMERIC, F.col("__bad")).otherwise(none),
+        "features": F.when(F.col("reason").isNull(), features),
+    }).drop("__missing", "__early", "__bad", *numbers)
 
 
 def validate(
@@ -68,47 +90,28 @@ def validate(
     that takes precedence; such rows carry no features.
     """
     source = F.col(record)
-    none = F.expr(_NO_NAMES)
     keyed = compute_once(df, {"__keys": renamed_keys(source, contract.aliases)})
     checked = compute_once(keyed, {
-        "__collisions": F.coalesce(repeated_values(F.col("__keys")), none),
+        "__collisions": F.coalesce(repeated_values(F.col("__keys")), F.expr(_NO_NAMES)),
         "passthrough": passthrough(source, contract),
     })
     clean = F.size("__collisions") == 0
     mapped = compute_once(checked, {
-        "__canon": F.when(clean, canonical_record(source, F.col("__keys"), contract))
-    })
-    canon = F.col("__canon")
-    numbers = [f"__n{i}" for i in range(len(contract.features))]
-    texts = compute_once(mapped, {
-        "__missing": F.array_except(literal_array(contract.features), F.map_keys(canon)),
-        **{n: F.try_element_at(canon, F.lit(f)) for n, f in zip(numbers, contract.features)},
+        "__canon": F.when(clean, F.map_from_arrays(F.col("__keys"), F.map_values(source)))
     })
-    parsed = compute_once(texts, {n: strict_parse(F.col(n)) for n in numbers})
-    staged = parsed.withColumns({n: finite_or_null(F.col(n)) for n in numbers})
-    bad = F.array_compact(F.array(*[
-        F.when(F.col(n).isNull(), F.lit(f)) for n, f in zip(numbers, contract.features)
-    ]))
-    staged = compute_once(staged, {"__bad": F.when(F.size("__missing") == 0, bad)})
-    reason = (
-        F.when(~clean, ALIAS_COLLISION)
-        .when(F.size("__missing") > 0, MISSING)
-        .when(F.size("__bad") > 0, NON_NUMERIC)
-    )
+    early = F.when(~clean, ALIAS_COLLISION)
     if keep_reason:
-        reason = F.coalesce(F.col(keep_reason), reason)
-
-    def only(wanted: str, values: str) -> Column:
-        return F.when(F.col("reason") == wanted, F.col(values)).otherwise(none)
-
-    features = F.struct(*[F.col(n).alias(f) for n, f in zip(numbers, contract.features)])
-    routed = compute_once(staged, {"reason": reason})
-    return routed.withColumns({
-        "alias_collisions": only(ALIAS_COLLISION, "__collisions"),
-        "missing_features": only(MISSING, "__missing"),
-        "non_numeric_features": only(NON_NUMERIC, "__bad"),
-        "features": F.when(F.col("reason").isNull(), features),
-    }).drop("__keys", "__collisions", "__canon", "__missing", "__bad", *numbers)
+        early = F.coalesce(F.col(keep_reason), early)
+    result = check_features(
+        mapped, contract,
+        {f: F.try_element_at("__canon", F.lit(f)) for f in contract.features},
+        F.array_except(literal_array(contract.features), F.map_keys("__canon")),
+        early,
+    )
+    return result.withColumn(
+        "alias_collisions",
+        F.when(F.col("reason") == ALIAS_COLLISION, F.col("__collisions")).otherwise(F.expr(_NO_NAMES)),
+    ).drop("__keys", "__collisions", "__canon")
 
 
 def valid_records(validated: DataFrame) -> DataFrame:
