@@ -31,6 +31,7 @@ from flowlens.operators.sampling import (
 )
 from flowlens.operators.scoring import positive_score
 from flowlens.operators.trials import trial_metrics
+from flowlens.session import cut_lineage
 
 # Model names, per-model sampling limits, search spaces, curve stages.
 MODEL_NAMES = ("logreg", "random_forest", "hist_gb", "catboost", "mlp")
@@ -169,6 +170,8 @@ def random_search(
     table = train.sparkSession.createDataFrame(
         rows, "trial_id string, model_name string, params map<string,string>, train_seconds double"
     )
+    # Sweeps and tuned points read the scores several times: score once, in storage.
+    scored_parts = cut_lineage(scored_parts)
     return table.join(trial_metrics(scored_parts, "trial_id", split, "y_true", "y_score"), "trial_id")
 
 

@@ -78,8 +78,10 @@ def derive_view(
     counts = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("rows"))
     allowed = F.coalesce(spec.allows(F.col(label), F.col(split)), F.lit(False))
     kept = F.coalesce(spec.keeps(F.col(label), F.col(split)), F.lit(False))
-    # Labels x splits: read at most 10,000 pairs, more means the label is wrong.
-    rows = counts.select(split, label, "rows", allowed.alias("ok"), kept.alias("kept")).limit(10_000).collect()
+    # Labels x splits: a label column with more than 10,000 pairs is no label.
+    rows = counts.select(split, label, "rows", allowed.alias("ok"), kept.alias("kept")).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError(f"{spec.name} view: column {label} has too many distinct values for a label")
     for name in sorted({r[split] for r in rows if not r["ok"]}, key=str):
         bad = sorted(str(r[label]) for r in rows if r[split] == name and not r["ok"])
         raise ValueError(f"{spec.name} view saw unexpected labels in split {name}: {bad}")

@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Bytes up to which a side may be broadcast on purpose; larger sides are left to
-# Spark's own statistics and adaptive execution.
-BROADCAST_LIMIT_ROWS = 200_000
-
 
 def build_session(
     app: str = "flowlens",
@@ -52,8 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
-
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1."""
-    return df.limit(limit + 1).count() <= limit
