@@ -134,7 +134,12 @@ def summary_events(counters: DataFrame, reason: str, timestamp: Column) -> DataF
 
 
 def with_pipeline_metrics(routed: DataFrame, observation: Observation) -> DataFrame:
-    """Attach counters that fill while the job runs, without another pass."""
+    """Attach counters that fill while the job runs, without another pass.
+
+    Build ``routed`` in a session of its own (``spark.newSession()``): reading an
+    observation leaves an object in the session that cannot be serialized, which
+    later breaks the scoring closures of Spark ML models in the same session.
+    """
     return routed.observe(
         observation,
         F.count(F.lit(1)).alias("records"),

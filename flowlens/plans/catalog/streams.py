@@ -203,7 +203,7 @@ def pipeline_counters(spark, sf):
     from pyspark.sql import Observation
 
     seen = Observation("pipeline")
-    routed = with_pipeline_metrics(validated_contract(spark, sf), seen)
+    routed = with_pipeline_metrics(validated_contract(spark.newSession(), sf), seen)
     routed.select("event_id", "reason").write.parquet(work_folder(spark, "routed"))
     return spark.createDataFrame([tuple(seen.get[c] for c in ("records", "quarantined", "valid"))], "records long, quarantined long, valid long")
 
