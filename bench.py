@@ -64,8 +64,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     catalogue = all_queries()
-    # One untimed query starts the JVM's code paths; the reference's own numbers
-    # are also taken with everything loaded.
+    # One untimed query starts the JVM's code paths; published
+    # numbers are also taken with everything loaded.
     catalogue["pruned_scan"](spark, directory).collect()
     # Every query runs twice; the second run is reported and the first is kept as
     # "cold". Each run builds its plan anew and reads the files again.
