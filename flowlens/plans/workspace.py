@@ -5,12 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder path below ``spark.checkpoint.dir``; a temporary one only when unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    A session in one process (``local[...]``, as in tests) may leave it unset
+    and gets a temporary folder, which is then kept for the session. A cluster
+    must name one: its machines do not see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-work-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """New folder path below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage with a table that outlives any executor, and gives the
+    optimizer the true size of what follows.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.plans.workspace import shared_folder
+
 
 def build_session(
     app: str = "flowlens",
@@ -37,14 +37,8 @@ def build_session(
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder the cluster names.
-
-    ``spark.checkpoint.dir`` is used when set. Only a session without any (a
-    local test) gets a fresh temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise ``df`` in the shared checkpoint folder the cluster names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
