@@ -199,15 +199,17 @@ def posterior(c: dict[str, Column], model: VoteModel) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with a struct column of counts, ``base_failed``, posterior and ``kept``.
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs`` with a struct column of counts, ``base_failed``, probability and ``kept``.
 
     The name of the added column is the last of the result. Texts are read
-    once: rows and counts are written to the shared folder before the fit.
+    once: rows and counts are written to the shared folder before the fit,
+    without the texts where they are not asked for.
     """
     counts, verdict = fresh(docs, "__counts"), fresh(docs, "__verdict")
+    kept = [quoted(c) for c in docs.columns if keep_text or c != text]
     measured = stored(
-        docs.select("*", F.inline(F.transform(text_counts(quoted(text)), lambda c: F.struct(c.alias(counts))))),
+        docs.select(*kept, F.inline(F.transform(text_counts(quoted(text)), lambda c: F.struct(c.alias(counts))))),
         "quality",
     )
     model = fit(measured, counts)
@@ -231,5 +233,5 @@ def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5
 
 def document_quality(docs: DataFrame) -> DataFrame:
     """One row per document: id, counts, base rule, probability and verdict."""
-    judged = judge(docs.select("doc_id", "text"))
+    judged = judge(docs.select("doc_id", "text"), keep_text=False)
     return judged.select("doc_id", F.col(f"{judged.columns[-1]}.*"))
