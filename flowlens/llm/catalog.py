@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import quality_votes
+from flowlens.llm import id_files, licenses, line_windows, mixing, packing, pseudonyms, quality_votes
+from flowlens.plans.workspace import work_folder
+
+DEMONSTRATION_KEY = "flowlens-demonstration-key"  # a real job passes its own secret
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op2_line_windows(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document without the lines of repeated three-line windows."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return line_windows.remove_repeats(docs, removed="n_removed_lines")
+
+
+def op3_pseudonyms(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with keyed pseudonyms for personal numbers, dates and addresses."""
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, DEMONSTRATION_KEY)
+
+
+def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents packed into sequences of at most 1,024 tokens."""
+    return packing.pack_documents(
+        _table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 def op7_quality_votes(spark: SparkSession, directory: str) -> DataFrame:
     """Counts, base rule and weak-supervision verdict of every document."""
     return quality_votes.document_quality(_table(spark, directory, "documents"))
 
 
+def op8_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    """Every copy of every document in the temperature mix of all sources."""
+    return mixing.mixed_documents(_table(spark, directory, "documents"))
+
+
+def op9_id_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Ids of all documents written as files, read back and digested per document."""
+    path = work_folder(spark, "token-ids")
+    id_files.write_ids(_table(spark, directory, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return id_files.read_ids(spark, path)
+
+
+def op10_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    """The best-matching licence notice of every document."""
+    return licenses.document_licenses(_table(spark, directory, "documents"))
+
+
 QUERIES = {
+    "op2_line_windows": op2_line_windows,
+    "op3_pseudonyms": op3_pseudonyms,
+    "op6_packing": op6_packing,
     "op7_quality_votes": op7_quality_votes,
+    "op8_mixing": op8_mixing,
+    "op9_id_files": op9_id_files,
+    "op10_licenses": op10_licenses,
 }
 
 CHECKS: dict[str, str] = {}
