@@ -46,22 +46,21 @@ def _selectors(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each place, the selector of the word that would begin there.
 
     The one with most values that all fit and do not pass the document's end.
+    Runs are measured only where values fit, which are few for narrow widths.
     """
     size = len(values)
-    room = ends - np.arange(size)
+    room = ends - np.arange(size, dtype=ends.dtype)
     best = np.full(size, 15, np.uint8)
     for width in _WIDTHS[::-1]:
-        if width < 60:
-            wide = np.flatnonzero(values >> np.uint64(width))
-            nxt = np.full(size + 1, size, np.int64)
-            nxt[wide] = wide
-            reach = np.minimum.accumulate(nxt[::-1])[::-1][:size] - np.arange(size)
-            fits = np.minimum(reach, room)
-        else:
-            fits = room
-        for selector in np.flatnonzero(BITS == width)[::-1]:
-            ok = fits >= VALUES[selector]
-            best[ok] = np.minimum(best[ok], selector)
+        fitting = np.flatnonzero(values < (1 << int(width)))
+        selectors = np.flatnonzero(BITS == width)[::-1]
+        if len(fitting) < VALUES[selectors].min():
+            break  # nor can any narrower width
+        last = np.append(np.flatnonzero(np.diff(fitting) != 1), len(fitting) - 1)
+        lengths = np.diff(last, prepend=-1)
+        reach = np.minimum(np.repeat(fitting[last] + 1, lengths) - fitting, room[fitting])
+        for selector in selectors:
+            best[fitting[reach >= VALUES[selector]]] = selector
     return best
 
 
@@ -75,8 +74,8 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         held = values.copy()
         held[escaped] = 0
     run_ends = np.cumsum(sizes)
-    ends = np.repeat(run_ends, sizes)
-    best = _selectors(held, ends)
+    small = held.astype(np.int32) if size and int(held.max()) < 1 << 31 else held.astype(np.int64)
+    best = _selectors(small, np.repeat(run_ends, sizes))
     step = VALUES[best].tolist()
     starts, at = [], 0
     while at < size:
@@ -172,7 +171,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str) -> None:
         if held_sizes:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, schema).write.parquet(path)
 
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 END_ID = 2
-MAX_PIECES = 1_200_000  # pieces a worker remembers before it starts anew; no effect on results
+MAX_PIECES = 2_000_000  # pieces a worker remembers before it starts anew; no effect on results
 MAX_PIECE_LENGTH = 64
 CHUNK_CHARS = 2_000_000
 _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies show each byte as.
+
+    Visible Latin-1 characters stand for themselves; the other bytes take the
+    letters from U+0100 on, in order.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Pieces(dict):
     """Piece -> number in the encoder's table, filled on first sight."""
 
@@ -35,14 +51,23 @@ class _Pieces(dict):
         self.encoder, self.prefix = encoder, prefix
 
     def __missing__(self, piece: str) -> int:
-        number = self.encoder.reserve()
+        encoder = self.encoder
         if len(piece) <= MAX_PIECE_LENGTH:
-            self[piece] = number
+            if not encoder.keeps_space and piece.isascii() and piece != (low := piece.lower()):
+                number = self[piece] = self[low]  # such vocabularies know lower case only
+                return number
+            number = self[piece] = encoder.reserve()
+        else:
+            number = encoder.reserve()
         # A full stop or comma after a letter or digit is a pre-token of its own.
         if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalnum():
-            self.encoder.joined.append((number, self[piece[:-1]], self.encoder.bare[piece[-1]]))
+            encoder.joined.append((number, self[piece[:-1]], encoder.bare[piece[-1]]))
+        # So is a word of Latin-1 letters, which needs no normalising but lower case.
+        elif piece.isalpha() and max(piece) < "\u0100":
+            text = self.prefix + (piece if encoder.keeps_space else piece.lower())
+            encoder.plain.append((number, text.encode().decode("latin-1").translate(_LETTERS)))
         else:
-            self.encoder.waiting.append((number, self.prefix + piece))
+            encoder.waiting.append((number, self.prefix + piece))
         return number
 
 
@@ -55,6 +80,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         # Vocabularies that drop white space encode a piece alike wherever it stands.
         self.keeps_space = bool(self.tokenizer.encode(" a b", add_special_tokens=False).ids
                                 != self.tokenizer.encode("a b", add_special_tokens=False).ids)
@@ -62,6 +88,7 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.waiting: list[tuple[int, str]] = []
+        self.plain: list[tuple[int, str]] = []
         self.joined: list[tuple[int, int, int]] = []
         self.count = 0
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -69,37 +96,57 @@ class PieceEncoder:
         self.bare = _Pieces(self, "")
         self.spaced = _Pieces(self, " ") if self.keeps_space else self.bare
         self.end = self.reserve()
-        self._store(self.end, [END_ID])
+        self._store([self.end], [[END_ID]])
 
     def reserve(self) -> int:
         self.count += 1
         return self.count - 1
 
-    def _store(self, number: int, ids) -> None:
-        size = len(ids)
-        if number >= len(self.starts):
-            more = max(number + 1, 2 * len(self.starts))
+    def _room(self, total: int) -> None:
+        if self.count > len(self.starts):
+            more = max(self.count, 2 * len(self.starts))
             self.starts, self.sizes = np.resize(self.starts, more), np.resize(self.sizes, more)
-        if self.used + size > len(self.ids):
-            self.ids = np.resize(self.ids, max(self.used + size, 2 * len(self.ids)))
-        self.ids[self.used:self.used + size] = ids
-        self.starts[number], self.sizes[number] = self.used, size
-        self.used += size
+        if self.used + total > len(self.ids):
+            self.ids = np.resize(self.ids, max(self.used + total, 2 * len(self.ids)))
+
+    def _store(self, numbers: list[int], found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        self._room(total)
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
 
     def _encode_waiting(self) -> None:
-        found = self.tokenizer.encode_batch_fast([text for _, text in self.waiting], add_special_tokens=False)
-        for (number, _), encoding in zip(self.waiting, found):
-            self._store(number, encoding.ids)
-        for number, head, tail in self.joined:
-            parts = [self.ids[self.starts[k]:self.starts[k] + self.sizes[k]] for k in (head, tail)]
-            self._store(number, np.concatenate(parts))
-        self.waiting, self.joined = [], []
+        if self.plain:
+            tokenize = self.model.tokenize
+            self._store([n for n, _ in self.plain], [[t.id for t in tokenize(text)] for _, text in self.plain])
+        if self.waiting:
+            found = self.tokenizer.encode_batch_fast([text for _, text in self.waiting], add_special_tokens=False)
+            self._store([n for n, _ in self.waiting], [e.ids for e in found])
+        if self.joined:
+            number, head, tail = np.array(self.joined, np.int64).T
+            parts = np.stack([head, tail], axis=1).ravel()
+            sizes = self.sizes[head] + self.sizes[tail]
+            total = int(sizes.sum())
+            self._room(total)
+            self.ids[self.used:self.used + total] = self._spread(parts)
+            self.sizes[number], self.starts[number] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.used += total
+        self.waiting, self.plain, self.joined = [], [], []
+
+    def _spread(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces in a row."""
+        sizes = self.sizes[numbers]
+        shift = np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[shift + np.arange(len(shift))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``END_ID``; sizes per text."""
         if self.count > MAX_PIECES:
             self.forget()
-        numbers: list[int] = []
+        numbers = array("i")
         pieces_per_text = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             before = len(numbers)
@@ -115,14 +162,10 @@ class PieceEncoder:
             numbers.append(self.end)
             pieces_per_text[k] = len(numbers) - before
         self._encode_waiting()
-        of = np.array(numbers, np.int64)
-        sizes, starts = self.sizes[of], self.starts[of]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
-        last_piece = np.cumsum(pieces_per_text) - 1
-        text_ends = ends[last_piece] if len(texts) else np.zeros(0, np.int64)
-        return self.ids[at], np.diff(text_ends, prepend=0)
+        of = np.frombuffer(numbers, np.int32) if len(numbers) else np.zeros(0, np.int32)
+        ends = np.cumsum(self.sizes[of])
+        text_ends = ends[np.cumsum(pieces_per_text) - 1] if texts else np.zeros(0, np.int64)
+        return self._spread(of), np.diff(text_ends, prepend=0)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
