@@ -38,7 +38,7 @@ CAPACITY = 1024
 NODES = 20_000
 WIDTH = 6
 TRIES = 400
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
