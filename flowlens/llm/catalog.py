@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens.llm import id_files, licenses, line_windows, mixing, packing, pseudonyms, quality_votes
+from flowlens.llm import (
+    exact_search, id_files, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
+)
 from flowlens.plans.workspace import work_folder
 
 DEMONSTRATION_KEY = "flowlens-demonstration-key"  # a real job passes its own secret
@@ -15,6 +18,12 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, directory: str) -> DataFrame:
+    """Calls and results of every conversation, linked, ordered and validated."""
+    calls, results, schemas = tool_calls.conversation_calls(_table(spark, directory, "conversations"))
+    return tool_calls.ordered(tool_calls.link_tool_calls(calls, results, schemas))
+
+
 def op2_line_windows(spark: SparkSession, directory: str) -> DataFrame:
     """Every document without the lines of repeated three-line windows."""
     docs = _table(spark, directory, "documents").select("doc_id", "text")
@@ -27,6 +36,16 @@ def op3_pseudonyms(spark: SparkSession, directory: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, DEMONSTRATION_KEY)
 
 
+def op4_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    """Class of every document under 5-word shingles and a similarity of 0.8."""
+    return near_duplicates.document_classes(_table(spark, directory, "documents"))
+
+
+def op5_exact_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The 20 best matches of every twentieth vector among all others."""
+    return exact_search.search(_table(spark, directory, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
     """All documents packed into sequences of at most 1,024 tokens."""
     return packing.pack_documents(
@@ -57,8 +76,11 @@ def op10_licenses(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_line_windows": op2_line_windows,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_exact_search": op5_exact_search,
     "op6_packing": op6_packing,
     "op7_quality_votes": op7_quality_votes,
     "op8_mixing": op8_mixing,
