@@ -82,7 +82,7 @@ def _tile(k: int):
     def run(keys, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
-            q, own = _matrix(queries["v"]), queries["id"].to_numpy()
+            q, own = _matrix(queries["q"]), queries["query"].to_numpy()
             for low in range(0, len(vectors), STRIP):
                 part = vectors.iloc[low:low + STRIP]
                 rows, ids, scores = best_of(_products(q, _matrix(part["v"])), part["id"].to_numpy(), own, k)
@@ -105,9 +105,12 @@ def search(
     counts = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = -(-counts[0] // SHARD) or 1, -(-counts[1] // QUERY_BLOCK) or 1
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", span(shards))
+    asked = queries.select(
+        F.col("id").alias("query"), F.col("v").alias("q"), F.col("size").alias("qsize"),
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qblock"), span(shards).alias("qshard"),
+    )
     held = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", span(blocks))
-    tiles = asked.groupBy("size", "block", "shard").cogroup(held.groupBy("size", "block", "shard"))
+    tiles = asked.groupBy("qsize", "qblock", "qshard").cogroup(held.groupBy("size", "block", "shard"))
     lists = tiles.applyInPandas(_tile(k), "query_id long, vec_id long, score long, node long")
     nodes = shards
     while True:
