@@ -27,7 +27,7 @@ from flowlens.plans.workspace import stored
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_RIGHT_ON_GOOD = 0.99
+MIN_RIGHT_ON_GOOD = 0.9995
 RULES = ("symbols", "repeats", "line_copies", "variety", "capitals", "exclamation", "word_length", "line_ends")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_ended_lines", "n_distinct_words", "n_letters", "n_capitals", "n_exclamations")
