@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import (
-    exact_search, id_files, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
+    checks, exact_search, id_files, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
 )
 from flowlens.plans.workspace import work_folder
 
@@ -88,4 +88,11 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-CHECKS: dict[str, str] = {}
+# The others run iterated estimates, keyed hashes, tokenizers or JSON schemas, which
+# SQL cannot express; tests compare them with brute-force versions.
+CHECKS = {
+    "op2_line_windows": checks.LINE_WINDOWS,
+    "op4_near_duplicates": checks.NEAR_DUPLICATES,
+    "op5_exact_search": checks.EXACT_SEARCH,
+    "op10_licenses": checks.LICENSES,
+}
