@@ -37,10 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.bitmaps import bitmap_of
 from flowlens.llm.common import document_key, fresh, quoted
 from flowlens.llm.components import components
 from flowlens.llm.shingles import Hasher, set_id
@@ -153,12 +155,28 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def shared_postings(profiled: DataFrame) -> DataFrame:
-    """(token, node, n, low, high): leading shingles of two sets or more, with the block's pivots."""
-    posted = profiled.filter("node is not null").select(F.explode("lead").alias("token"), "node", "n")
-    blocks = (
-        posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter(F.col("low") < F.col("high"))
+    """(token, node, low, high): leading shingles of two sets or more, with the block's pivots.
+
+    Most leading shingles occur in one set only. A bounded bitmap of the shared
+    ones drops nearly all others before anything is shuffled for the join.
+    """
+    named = profiled.filter("node is not null").select("node", "lead")
+    blocks = stored(
+        named.select(F.explode("lead").alias("token"), "node")
+        .groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .filter(F.col("low") < F.col("high")),
+        "blocks",
     )
+    shared = bitmap_of(blocks, "token")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy())
+            some = shared.holds(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(node[some])], names=["token", "node"])
+
+    posted = named.mapInArrow(keep, "token long, node long")
     return stored(posted.join(blocks, "token").distinct(), "postings")
 
 
@@ -180,7 +198,7 @@ def _pass_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pivot_candidates(postings: DataFrame, points: DataFrame) -> DataFrame:
     """(a, b): each node with its blocks' pivots, where sizes and count vectors allow."""
-    pairs = postings.select(F.explode(F.array("low", "high")).alias("b"), F.col("node").alias("a"), F.col("n").alias("na"))
+    pairs = postings.select(F.explode(F.array("low", "high")).alias("b"), F.col("node").alias("a"))
     pairs = pairs.filter(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
@@ -340,16 +358,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter((100 + PERCENT) * F.col("both") >= PERCENT * F.col("sum")).select("a", "b").distinct()
 
 
-def node_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, recomputed from one document of each."""
-    nowhere = F.lit(-(1 << 63)).cast("long")
-    source = profiled.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), nowhere).alias("at"), "text").join(
-        source.select(F.coalesce(F.col("doc_id").cast("long"), nowhere).alias("at")).distinct(), "at", "left_semi"
+def node_sets(docs: DataFrame, profiled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of all nodes in the pairs, and a few more, recomputed from a document of each.
+
+    Documents are picked by a bounded bitmap of hashed ids, so texts are never shuffled.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashed = F.xxhash64("doc_id").alias("at")
+    wanted = bitmap_of(
+        profiled.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(hashed), "at"
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _sets(batches):
+        chosen = (batch.filter(pa.array(wanted.holds(batch.column(1).to_numpy()))) for batch in batches)
+        for _, found in _sets(chosen):
             found = [h for h in found if len(h)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -358,7 +380,7 @@ def node_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFra
                 names=["node", "shingles"],
             )
 
-    return stored(wanted.select("text").mapInArrow(build, "node long, shingles array<long>"), "sets")
+    return stored(docs.select("text", hashed).mapInArrow(build, "node long, shingles array<long>"), "sets")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -371,10 +393,11 @@ def linked(docs: DataFrame) -> DataFrame:
     points = stored(
         profiled.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "points"
     )
-    sets = node_sets(docs, profiled, nodes)
-    near = stored(verified(pivot_candidates(postings, points), sets), "links")
+    pairs = stored(pivot_candidates(postings, points), "pairs")
+    near = stored(verified(pairs, node_sets(docs, profiled, pairs)), "links")
     labels = stored(components(near), "labels") if near.head(1) else spark.createDataFrame([], "node long, component long")
-    rest = stored(verified(tree_candidates(postings, points, labels), sets), "links")
+    pairs = stored(tree_candidates(postings, points, labels), "pairs")
+    rest = stored(verified(pairs, node_sets(docs, profiled, pairs)), "links")
     if rest.head(1):
         labels = stored(components(near.unionByName(rest)), "labels")
     named = profiled.select("doc_id", "ha", "hb", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from flowlens.llm import bitmaps
 from flowlens.llm import near_duplicates as nd
 from flowlens.llm.components import components
 from flowlens.llm.shingles import Hasher
@@ -98,8 +99,8 @@ def test_trees_lose_no_pair_without_contraction(spark):
     nodes = postings.select("node").distinct()
     points = profiled.select("node", "n", "counts").dropDuplicates(["node"]).join(nodes, "node")
     labels = spark.createDataFrame([], "node long, component long")
-    sets = nd.node_sets(docs, profiled, nodes)
-    pairs = nd.verified(nd.tree_candidates(postings, points, labels), sets).count()
+    found = nd.tree_candidates(postings, points, labels)
+    pairs = nd.verified(found, nd.node_sets(docs, profiled, found)).count()
     distinct = list({frozenset(_set(t)) for _, t in rows})
     want = sum(
         100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(distinct) for b in distinct[:i]
@@ -135,6 +136,17 @@ def test_empty_table(spark):
     assert nd.keep_one(docs).count() == 0
 
 
+def test_bitmaps_hold_their_keys(spark, monkeypatch):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as h")
+    values = np.array([r.h for r in keys.collect()])
+    others = np.array([r.h for r in spark.range(5000, 9000).selectExpr("xxhash64(id) as h").collect()])
+    small = bitmaps.bitmap_of(keys, "h")
+    assert small.holds(values).all() and small.holds(others).mean() < 0.1
+    monkeypatch.setattr(bitmaps, "MAX_BITS", bitmaps.MIN_BITS)
+    assert bitmaps.bitmap_of(keys, "h").holds(values).all()
+    assert not bitmaps.bitmap_of(keys.limit(0), "h").holds(values).any()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(30)] + [(k, k + 1) for k in range(100, 180)]
