@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.plans.workspace import stored
+from flowlens.plans.workspace import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = stored(_star(_star(edges, larger=True), larger=False), "links")
+        before, edges = edges, stored(_star(_star(edges, larger=True), larger=False), "links")
+        discard(before)
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             break

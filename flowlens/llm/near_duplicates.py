@@ -47,10 +47,10 @@ from flowlens.llm.common import document_key, fresh, quoted
 from flowlens.llm.components import components
 from flowlens.llm.shingles import Hasher, set_id
 from flowlens.llm.tokens import chunks
-from flowlens.plans.workspace import stored
+from flowlens.plans.workspace import discard, stored
 
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
 MAX_FREQUENT = 65_536
 SEGMENT = 4_000_000
 TILE = 1024
@@ -177,7 +177,9 @@ def shared_postings(profiled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(node[some])], names=["token", "node"])
 
     posted = named.mapInArrow(keep, "token long, node long")
-    return stored(posted.join(blocks, "token").distinct(), "postings")
+    postings = stored(posted.join(blocks, "token").distinct(), "postings")
+    discard(blocks)
+    return postings
 
 
 def _fits(a: str, b: str):
@@ -328,10 +330,13 @@ def tree_candidates(postings: DataFrame, points: DataFrame, labels: DataFrame) -
     """(a, b): pairs of different components that survive the trees of their blocks."""
     named = postings.select("token", "node").join(labels.withColumnRenamed("component", "label"), "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
+    # Blocks of the same nodes (by two sums of hashes) hold the same pairs; one is enough.
+    sums = {k: F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(k) for k in ("s", "t")}
     blocks = (
         named.groupBy("token")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"), *sums.values())
         .filter(F.col("least") < F.col("most"))
+        .groupBy("size", *sums).agg(F.min("token").alias("token"))
         .select("token", F.ceil(F.col("size") / F.lit(TILE)).cast("int").alias("parts"))
     )
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -393,11 +398,19 @@ def linked(docs: DataFrame) -> DataFrame:
     points = stored(
         profiled.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "points"
     )
+    # Each table is deleted as soon as nothing below reads it.
+    wide, profiled = profiled, stored(profiled.drop("lead", "counts"), "profiles")
+    discard(wide)
     pairs = stored(pivot_candidates(postings, points), "pairs")
-    near = stored(verified(pairs, node_sets(docs, profiled, pairs)), "links")
+    sets = node_sets(docs, profiled, pairs)
+    near = stored(verified(pairs, sets), "links")
+    discard(pairs, sets)
     labels = stored(components(near), "labels") if near.head(1) else spark.createDataFrame([], "node long, component long")
     pairs = stored(tree_candidates(postings, points, labels), "pairs")
-    rest = stored(verified(pairs, node_sets(docs, profiled, pairs)), "links")
+    discard(postings, points)
+    sets = node_sets(docs, profiled, pairs)
+    rest = stored(verified(pairs, sets), "links")
+    discard(pairs, sets)
     if rest.head(1):
         labels = stored(components(near.unionByName(rest)), "labels")
     named = profiled.select("doc_id", "ha", "hb", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
