@@ -56,6 +56,10 @@ def _selectors(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
         selectors = np.flatnonzero(BITS == width)[::-1]
         if len(fitting) < VALUES[selectors].min():
             break  # nor can any narrower width
+        if len(fitting) == size:
+            for selector in selectors:
+                best[room >= VALUES[selector]] = selector
+            continue
         last = np.append(np.flatnonzero(np.diff(fitting) != 1), len(fitting) - 1)
         lengths = np.diff(last, prepend=-1)
         reach = np.minimum(np.repeat(fitting[last] + 1, lengths) - fitting, room[fitting])

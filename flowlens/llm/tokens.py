@@ -49,6 +49,7 @@ class _Pieces(dict):
     def __init__(self, encoder: PieceEncoder, prefix: str):
         super().__init__()
         self.encoder, self.prefix = encoder, prefix
+        self.shown_prefix = prefix.translate(_LETTERS)
 
     def __missing__(self, piece: str) -> int:
         encoder = self.encoder
@@ -62,6 +63,8 @@ class _Pieces(dict):
         # A full stop or comma after a letter or digit is a pre-token of its own.
         if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalnum():
             encoder.joined.append((number, self[piece[:-1]], encoder.bare[piece[-1]]))
+        elif piece.isascii() and piece.isalpha():
+            encoder.plain.append((number, self.shown_prefix + piece if encoder.keeps_space else piece.lower()))
         # So is a word of Latin-1 letters, which needs no normalising but lower case.
         elif piece.isalpha() and max(piece) < "\u0100":
             text = self.prefix + (piece if encoder.keeps_space else piece.lower())
