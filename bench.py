@@ -9,6 +9,7 @@ import time
 
 from flowlens.plans.catalog import all_queries
 from flowlens.session import build_session
+from flowlens.sources.tables import SCAN_PARTITIONS
 
 HEADLINE = (  # one or two per operator group
     "clean_numeric_manifest",
@@ -60,7 +61,8 @@ def main() -> None:
     partitions = int(cpus) if cpus.isdigit() else 8
     spark = build_session(
         "flowlens-bench", f"local[{cpus}]", partitions,
-        {"spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
+        {"spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+         SCAN_PARTITIONS: str(partitions)},
     )
     spark.sparkContext.setLogLevel("ERROR")
     catalogue = all_queries()

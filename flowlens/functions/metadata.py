@@ -9,10 +9,19 @@ from flowlens.schemas import FAMILY_ORDER, KNOWN_BAD_FOLDER
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``; URI schemes and percent escapes of either side are ignored."""
+    """Path below ``root``; URI schemes and percent escapes of either side are ignored.
+
+    The root is cut off at the start of the path. Only where the path does not
+    start with it (a relative root, a host in the path) is its first occurrence taken.
+    """
     plain = F.url_decode(F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/*", "/"), r"\+", "%2B"))
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    return F.substring_index(plain, base, -1)
+    after = F.instr(plain, base) + F.lit(len(base))
+    return (
+        F.when(F.startswith(plain, F.lit(base)), F.substring(plain, len(base) + 1, 1 << 30))
+        .when(F.instr(plain, base) > 0, F.substr(plain, after, F.lit(1 << 30)))
+        .otherwise(plain)
+    )
 
 
 def path_labels(source_file: Column) -> dict[str, Column]:

@@ -272,34 +272,48 @@ def active_rules(
     ).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+MAX_RULE_VALUES = 10_000
+
+
 def flag_suppressed(
-    alerts: DataFrame, rules: DataFrame, payload: str = "payload_json", max_fields: int = 64
+    alerts: DataFrame, rules: DataFrame, payload: str = "payload_json", max_values: int = MAX_RULE_VALUES
 ) -> DataFrame:
     """Add ``suppressed``: some active rule's field equals its value.
 
     A rule names its field; the column is compared when it exists and is not
-    null, else the payload key. Rules are a hand-kept list; the distinct field
-    names are read (bounded) and each field is one equality left join, so alerts
-    are neither exploded nor compared with every rule.
+    null, else the payload key. Rules are a hand-kept list: up to ``max_values``
+    of them become one hash set per field inside the alert scan, so alerts are
+    not shuffled at all. Longer lists are joined, one field after another; rows
+    without the field are spread out, and Spark splits values many alerts share.
     """
     pairs = rules.select(
         strip(F.col("match_field")).alias("match_field"), strip(F.col("match_value")).alias("match_value")
     ).filter((F.col("match_field") != "") & (F.col("match_value") != "")).distinct()
-    fields = [r[0] for r in pairs.select("match_field").distinct().limit(max_fields + 1).collect()]
-    if len(fields) > max_fields:
-        raise ValueError(f"rules use more than {max_fields} different fields")
-    flagged = alerts.withColumn("suppressed", F.lit(False))
-    for i, name in enumerate(sorted(fields)):
-        from_payload = json_text(F.col(payload), name)
+    def value_of(name: str) -> Column:
         own = F.col(f"`{name}`").cast("string") if name in alerts.columns else F.lit(None).cast("string")
+        return F.coalesce(own, json_text(F.col(payload), name))
+
+    known = pairs.limit(max_values + 1).collect()
+    if len(known) <= max_values:
+        by_field: dict[str, list[str]] = {}
+        for name, value in known:
+            by_field.setdefault(name, []).append(value)
+        hit = F.lit(False)
+        for name in sorted(by_field):
+            hit = hit | F.coalesce(value_of(name).isin(sorted(by_field[name])), F.lit(False))
+        return alerts.withColumn("suppressed", hit)
+    flagged = alerts.withColumn("suppressed", F.lit(False))
+    for name in sorted(r[0] for r in pairs.select("match_field").distinct().collect()):
         values = pairs.filter(F.col("match_field") == name).select(
-            F.col("match_value").alias(f"__v{i}"), F.lit(True).alias(f"__hit{i}")
+            F.col("match_value").alias("__v"), F.lit(True).alias("__hit")
         )
+        # Rows without the field get keys that no rule has and that spread them out.
+        spare = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(payload), F.lit(1009)).cast("string"))
         flagged = (
-            flagged.withColumn(f"__c{i}", F.coalesce(own, from_payload))
-            .join(values, F.col(f"__c{i}") == F.col(f"__v{i}"), "left")
-            .withColumn("suppressed", F.col("suppressed") | F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
-            .drop(f"__c{i}", f"__v{i}", f"__hit{i}")
+            flagged.withColumn("__c", F.coalesce(value_of(name), spare))
+            .join(values, F.col("__c") == F.col("__v"), "left")
+            .withColumn("suppressed", F.col("suppressed") | F.coalesce(F.col("__hit"), F.lit(False)))
+            .drop("__c", "__v", "__hit")
         )
     return flagged
 

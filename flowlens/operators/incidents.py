@@ -110,7 +110,8 @@ def recent_incidents(
 ) -> DataFrame:
     """Newest incidents: read ten alerts per wanted incident, group, cut.
 
-    ``exact`` groups all alerts before cutting, so no burst is truncated.
+    ``exact`` groups all alerts before cutting, so no burst is truncated; the
+    columns are the same.
     """
     shown = triage_alerts(
         alerts, rules,
@@ -119,4 +120,21 @@ def recent_incidents(
     )
     if for_notification:
         shown = notification_candidates(shown)
-    return recent(group_incidents(shown, prefix, with_ids=not exact), limit)
+    if not exact:
+        return recent(group_incidents(shown, prefix, with_ids=True), limit)
+    # The page is cut first; only its members are then gathered.
+    page = recent(group_incidents(shown, prefix), limit)
+    keys = [F.col(c).alias(f"__{c}") for c in KEY_COLUMNS]
+    wanted = page.select(*keys)
+    members = incident_members(shown, prefix)
+    match = [F.col(c) == F.col(f"__{c}") for c in KEY_COLUMNS]
+    named = members.join(wanted, match, "left_semi").groupBy(*KEY_COLUMNS).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(
+                "event_ts", F.col("alert_id").alias("id"),
+                F.coalesce("source_event_id", F.concat(F.lit("alert-"), F.col("alert_id").cast("string"))).alias("name"),
+            )), asc=False),
+            lambda m: m["name"],
+        ).alias("source_event_ids")
+    )
+    return recent(page.join(named, list(KEY_COLUMNS)).select(*page.columns, "source_event_ids"), limit)

@@ -8,6 +8,7 @@ from flowlens.functions.records import json_text
 from flowlens.operators import adapter, contract
 from flowlens.plans import bindings as b
 from flowlens.plans.catalog.registry import Registry, joined
+from flowlens.schemas import MAX_JSONL_LINE_LENGTH
 from flowlens.sources.jsonl import parse_anomalies, parse_lines
 
 _r = Registry()
@@ -32,7 +33,7 @@ def validated_contract(spark, sf):
 
 
 def adapted_records(spark, sf):
-    return adapter.adapt(parse_lines(b.adapter_lines(spark, sf)), PROFILE, CONTRACT, keep_reason="parse_reason")
+    return adapter.adapt(parse_lines(b.adapter_lines(spark, sf), max_length=MAX_JSONL_LINE_LENGTH), PROFILE, CONTRACT, keep_reason="parse_reason")
 
 
 @_r.query(f"""WITH {b.CONTRACT_LINES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from flowlens.functions.metadata import is_known_bad, is_known_family, path_labels, relative_path
 from flowlens.operators.adapter import AdapterProfile, to_source_names
+from flowlens.operators.cleaning import quoted
 from flowlens.operators.flows import flow_order
 from flowlens.schemas import EXPECTED_COLUMN_COUNT, EXPECTED_FIRST_COLUMN, LEAKAGE_COLUMNS
 
-HEADER_BYTES = 1 << 16
+_CHUNK = 1 << 16
 _SEPARATOR = "\x1f"
 
 
@@ -35,8 +36,22 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     return labelled.filter(is_known_family(F.col("attack_family")))
 
 
+def first_line(read: Callable[[int], bytes]) -> bytes:
+    """Bytes up to the first line end, however long the line is."""
+    held = b""
+    while chunk := read(_CHUNK):
+        held += chunk
+        if ends := [k for k in (held.find(b"\n"), held.find(b"\r")) if k >= 0]:
+            return held[:min(ends)]
+    return held
+
+
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First line of each file, read where the task runs; errors become text."""
+    """First line of each file, read where the task runs.
+
+    A line that is no CSV header is recorded; storage that cannot be read fails
+    the job, since leaving out its files would lose data unseen.
+    """
     import csv
 
     from pyarrow import fs
@@ -44,23 +59,24 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         headers, errors = [], []
         for path in batch["path"]:
+            plain = path if "://" in path else path.replace("file:", "file://", 1)
+            system, inner = fs.FileSystem.from_uri(plain)
+            with system.open_input_file(inner) as handle:
+                line = first_line(handle.read)
             try:
-                plain = path if "://" in path else path.replace("file:", "file://", 1)
-                system, inner = fs.FileSystem.from_uri(plain)
-                with system.open_input_file(inner) as handle:
-                    text = handle.read(HEADER_BYTES).decode("utf-8-sig")
+                text = line.decode("utf-8-sig")
                 if not text.strip():
                     raise EOFError("empty file")
-                headers.append(_SEPARATOR.join(next(csv.reader([text.splitlines()[0]]))))
+                headers.append(_SEPARATOR.join(next(csv.reader([text]))))
                 errors.append(None)
-            except Exception as error:
+            except (UnicodeDecodeError, csv.Error, EOFError) as error:
                 headers.append(None)
                 errors.append(type(error).__name__)
         yield batch.assign(header=headers, read_error=errors)
 
 
 def with_headers(files: DataFrame) -> DataFrame:
-    """Add the header fields of every file; only the first bytes of a file are read."""
+    """Add the header fields of every file; only its first line is read."""
     base = files.select("path", "source_file")
     schema = T.StructType([*base.schema.fields, T.StructField("header", T.StringType()),
                            T.StructField("read_error", T.StringType())])
@@ -113,26 +129,35 @@ def quarantine_manifest(checked: DataFrame) -> DataFrame:
 
 
 def read_flow_rows(
-    spark: SparkSession, root: str, header: Sequence[str], recursive: bool = True
+    spark: SparkSession, root: str | list[str], header: Sequence[str], recursive: bool = True, base: str | None = None
 ) -> DataFrame:
-    """All rows of a CSV tree as text columns, with the relative source file."""
+    """All rows of a CSV tree (or of listed files below ``base``) as text columns, with the relative source file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     rows = reader.csv(root)
-    return rows.withColumn("source_file", relative_path(F.col("_metadata.file_path"), root))
+    return rows.withColumn("source_file", relative_path(F.col("_metadata.file_path"), base or root))
 
 
 def read_valid_rows(spark: SparkSession, root: str, header: Sequence[str], checked: DataFrame) -> DataFrame:
-    """Rows of valid files only, with path labels.
+    """Rows of valid files only, with path labels, under the columns of ``header``.
 
-    Quarantined files are removed by an anti join on the file name; families
-    outside the known order are dropped as in discovery.
+    Columns are bound by name: files that share the given header are read as one
+    tree, and files that order their columns otherwise are read by their own
+    headers. Quarantined files are removed by an anti join on the file name;
+    families outside the known order are dropped as in discovery.
     """
-    rows = read_flow_rows(spark, root, header)
-    quarantined = checked.filter(F.col("quarantine_reason").isNotNull()).select("source_file")
-    kept = rows.join(quarantined, "source_file", "left_anti")
+    valid = F.col("quarantine_reason").isNull()
+    same = F.coalesce(F.col("header") == F.array(*[F.lit(c) for c in header]), F.lit(False))
+    left_out = checked.filter(~valid | ~same).select("source_file")
+    kept = read_flow_rows(spark, root, header).join(left_out, "source_file", "left_anti")
+    # File lists are metadata the driver plans scans with anyway; headers are few.
+    others = checked.filter(valid & ~same).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    for group in others:
+        rows = read_flow_rows(spark, group["paths"], group["header"], recursive=False, base=root)
+        kept = kept.unionByName(rows, allowMissingColumns=True)
+    kept = kept.select(*[quoted(c) for c in header], "source_file")
     labelled = kept.withColumns(path_labels(F.col("source_file")))
     return labelled.filter(is_known_family(F.col("attack_family")))
 

@@ -9,7 +9,7 @@ from flowlens.functions.numeric import strip
 from flowlens.functions.records import is_json, last_wins, parsed_array, parsed_object
 from flowlens.operators.ordering import number_rows
 from flowlens.operators.staging import compute_once
-from flowlens.schemas import INGEST_ERROR_PREVIEW, MAX_JSONL_LINE_LENGTH
+from flowlens.schemas import INGEST_ERROR_PREVIEW
 
 TOO_LARGE = "jsonl_line_too_large"
 INVALID_JSON = "invalid_json"
@@ -42,9 +42,10 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.load(path).select(F.col("_metadata.file_path").alias("source"), "value")
 
 
-def parse_reason(line: Column, record: Column, max_length: int = MAX_JSONL_LINE_LENGTH) -> Column:
+def parse_reason(line: Column, record: Column, max_length: int | None = None) -> Column:
+    too_large = F.lit(False) if max_length is None else F.length(line) > max_length
     return (
-        F.when(F.length(line) > max_length, TOO_LARGE)
+        F.when(too_large, TOO_LARGE)
         .when(record.isNotNull(), F.lit(None).cast("string"))
         .when(is_json(line), INVALID_TYPE)
         .otherwise(INVALID_JSON)
@@ -52,15 +53,17 @@ def parse_reason(line: Column, record: Column, max_length: int = MAX_JSONL_LINE_
 
 
 def parse_lines(
-    lines: DataFrame, value: str = "value", max_length: int = MAX_JSONL_LINE_LENGTH
+    lines: DataFrame, value: str = "value", max_length: int | None = None
 ) -> DataFrame:
     """Add ``record`` (map or null) and ``parse_reason`` (null when parsed).
 
-    Blank lines are dropped but keep their place in the numbering. Over-long
-    lines are not parsed; only their length is kept.
+    Blank lines are dropped but keep their place in the numbering. Lines have no
+    limit unless ``max_length`` sets one, as the adapter does; longer ones are
+    then not parsed, and only their length and first characters are kept.
     """
     text = F.col(value)
-    short = F.when(F.length(text) <= max_length, text)
+    fits = F.lit(True) if max_length is None else F.length(text) <= max_length
+    short = F.when(fits, text)
     lines = lines.filter(strip(text) != "")
     parsed = compute_once(lines, {"__parsed": parsed_array(short)})
     objects = compute_once(parsed, {"__object": parsed_object(F.col("__parsed"))})
@@ -68,7 +71,7 @@ def parse_lines(
         "record": last_wins(F.col("__object")),
         "parse_reason": parse_reason(text, F.col("__object"), max_length),
         "raw_char_count": F.length(text).cast("long"),
-        value: F.when(F.length(text) > max_length, F.lit("")).otherwise(text),
+        value: F.when(fits, text).otherwise(F.substring(strip(text), 1, INGEST_ERROR_PREVIEW)),
     }).drop("__parsed", "__object")
 
 

