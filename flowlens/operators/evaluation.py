@@ -17,6 +17,7 @@ from flowlens.functions.metrics import (
 )
 from flowlens.functions.numeric import safe_ratio
 from flowlens.operators.ordering import quantile_bounds, running_totals, with_value_bucket
+from flowlens.operators.staging import lookup
 from flowlens.schemas import FPR_CAPS, SWEEP_POINTS
 
 
@@ -121,6 +122,11 @@ def choose_threshold(
     highest threshold or (``low``) lowest threshold. With none: lowest fpr, then
     (``high``) f1, recall, highest threshold or (``low``) lowest threshold.
     """
+    return choose_thresholds(sweep, groups, [fpr_cap], tie_break)
+
+
+def _preference(fpr_cap: float, tie_break: str) -> Column:
+    """What an operating point under a cap is ranked by."""
     if tie_break not in ("high", "low"):
         raise ValueError("tie_break must be 'high' or 'low'")
     fits = F.col("fpr") <= F.lit(fpr_cap)
@@ -132,21 +138,20 @@ def choose_threshold(
         good = (F.lit(1), F.col("f1"), F.col("recall"), -F.col("threshold"), none)
         poor = (F.lit(0), -F.col("fpr"), -F.col("threshold"), none, none)
     names = ("fits", "k1", "k2", "k3", "k4")
-    rank = F.when(fits, F.struct(*[c.alias(n) for c, n in zip(good, names)])).otherwise(
+    return F.when(fits, F.struct(*[c.alias(n) for c, n in zip(good, names)])).otherwise(
         F.struct(*[c.alias(n) for c, n in zip(poor, names)])
     )
-    kept = [c for c in sweep.columns if c not in groups]
-    best = sweep.groupBy(*groups).agg(F.max_by(F.struct(*kept), rank).alias("__best"))
-    return best.select(*groups, F.lit(float(fpr_cap)).alias("fpr_cap"), "__best.*")
 
 
 def choose_thresholds(sweep, groups, caps=FPR_CAPS, tie_break="high") -> DataFrame:
-    """Operating points for several caps, one row per group and cap."""
-    tables = [choose_threshold(sweep, groups, cap, tie_break) for cap in caps]
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    """Operating points for several caps, one row per group and cap, from one pass over the sweep."""
+    kept = [c for c in sweep.columns if c not in groups]
+    best = sweep.groupBy(*groups).agg(*[
+        F.max_by(F.struct(F.lit(float(cap)).alias("fpr_cap"), *kept), _preference(cap, tie_break)).alias(f"__best{i}")
+        for i, cap in enumerate(caps)
+    ])
+    points = F.inline(F.array(*[F.col(f"__best{i}") for i in range(len(caps))]))
+    return best.select(*groups, points)
 
 
 def _curve(df, groups, truth, score, buckets=256) -> DataFrame:
@@ -198,15 +203,12 @@ def threshold_evaluation_table(
     single pass over the scored rows.
     """
     sweep = threshold_sweep(df.filter(F.col(split) == validation_split), [model], truth, score, thresholds)
-    tuned = None
-    names = {"default_0.5": None}
-    for cap in caps:
-        label = f"tuned_fpr_cap_{cap:.3f}"
-        names[label] = cap
-        point = choose_threshold(sweep, [model], cap).select(model, F.col("threshold").alias(label))
-        tuned = point if tuned is None else tuned.join(point, model)
-    tuned = tuned.withColumn("default_0.5", F.lit(0.5))
-    rows = df.select(model, split, truth, F.col(score).cast("float").alias("__score")).join(tuned, model)
+    names = {"default_0.5": None} | {f"tuned_fpr_cap_{cap:.3f}": cap for cap in caps}
+    tuned = choose_thresholds(sweep, [model], caps).groupBy(model).agg(*[
+        F.max(F.when(F.col("fpr_cap") == F.lit(float(cap)), F.col("threshold"))).alias(label)
+        for label, cap in names.items() if cap is not None
+    ]).withColumn("default_0.5", F.lit(0.5))
+    rows = df.select(model, split, truth, F.col(score).cast("float").alias("__score")).join(lookup(tuned), model)
     aggregates = []
     for i, label in enumerate(names):
         hit = F.col("__score") >= F.col(f"`{label}`").cast("float")

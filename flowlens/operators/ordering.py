@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import seeded_bucket, seeded_order
+from flowlens.operators.staging import lookup
 
 _EVERYTHING = "__all__"
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -189,7 +190,7 @@ def smallest_per_group(
         )
         .withColumn("__room", F.col("__cap") - F.coalesce(F.col("__below"), F.lit(0)))
     )
-    placed = ordered.join(cut, group)
+    placed = ordered.join(lookup(cut), group)
     below = placed.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")))
     edge_window = Window.partitionBy(group).orderBy("__order", *keys)
     edge = (

@@ -107,10 +107,18 @@ def candidates(incidents: DataFrame, target: str, channel: str = DEFAULT_CHANNEL
     )
 
 
+def delivery_id() -> Column:
+    """Id of a delivery that no store has numbered."""
+    digest = F.md5(F.concat_ws("\u001f", "channel", "target", "dedupe_key"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def enqueue(outbox: DataFrame, new: DataFrame, now: str) -> DataFrame:
     """Outbox after inserting candidates: existing keys keep status and attempts.
 
-    New rows get a null id, to be numbered by the store that persists them.
+    A new row's id is a 60-bit digest of its key, so it is the same whenever and
+    wherever the row is made, and due, tried and redriven rows can name it. Among
+    a million deliveries two ids collide with a chance of one in two million.
     """
     keys = ["channel", "target", "dedupe_key"]
     loose = outbox.filter(F.col("dedupe_key").isNull())
@@ -122,6 +130,7 @@ def enqueue(outbox: DataFrame, new: DataFrame, now: str) -> DataFrame:
     fresh = F.col("__new").isNotNull()
     inserted = F.col("status").isNull()
     merged = joined.withColumns({
+        "id": F.coalesce("id", delivery_id()),
         "alert_id": F.coalesce("__alert", "alert_id"),
         "payload_json": F.coalesce("__payload", "payload_json"),
         "attempt_count": F.when(inserted, F.lit(0)).otherwise(F.col("attempt_count")),
@@ -217,7 +226,7 @@ def delivery_summary(outbox: DataFrame, now: str, channel: str = DEFAULT_CHANNEL
     due = _due(now)
     has_error = F.length(F.trim("last_error")) > 0
     newest = F.max_by(
-        F.when(has_error, F.col("last_error")),
+        F.when(has_error, F.struct("last_error", "status", "updated_at")),
         F.when(has_error, F.struct("updated_at", "id")),
     )
     rows = outbox.filter(F.col("channel") == channel)
@@ -225,5 +234,9 @@ def delivery_summary(outbox: DataFrame, now: str, channel: str = DEFAULT_CHANNEL
         *[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("pending", "retry", "failed", "sent")],
         F.count_if(due).alias("due_count"),
         F.min(F.when(due, F.coalesce("next_attempt_at", "created_at"))).alias("oldest_due_at"),
-        newest.alias("last_error"),
-    ).withColumn("channel", F.lit(channel))
+        newest.alias("__newest"),
+    ).select(
+        F.lit(channel).alias("channel"), *[f"{s}_count" for s in ("pending", "retry", "failed", "sent")], "due_count", "oldest_due_at",
+        F.col("__newest.last_error").alias("last_error"), F.col("__newest.status").alias("last_error_status"),
+        F.col("__newest.updated_at").alias("last_error_at"),
+    )

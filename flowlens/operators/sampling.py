@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import seeded_order
 from flowlens.operators.ordering import smallest_per_group
+from flowlens.operators.staging import lookup
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -101,7 +102,7 @@ def class_preserving_sample(
     seeded order. With more classes than rows, the lowest labels win.
     """
     order = F.struct(*[F.col(k) for k in keys])
-    firsts = df.groupBy(label).agg(F.min(order).alias("__first"))
+    firsts = lookup(df.groupBy(label).agg(F.min(order).alias("__first")))
     # One row per class: bounded by the label space, not by the data.
     marked = df.join(firsts, label).withColumn("__mandatory", F.col("__first") == order)
     mandatory = marked.filter("__mandatory")
@@ -143,4 +144,4 @@ def balanced_weights(
 
 
 def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "weight") -> DataFrame:
-    return df.join(weights.select(label, F.col("weight").alias(out)), label)
+    return df.join(lookup(weights.select(label, F.col("weight").alias(out))), label)

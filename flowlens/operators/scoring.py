@@ -114,11 +114,12 @@ def score_two_stage(
 
 
 def prediction_events(scored: DataFrame, index: str = "record_index", passthrough: str = "passthrough",
-                      two_stage: bool = False) -> DataFrame:
-    """JSON ``model_prediction`` events, benign rows included."""
+                      two_stage: bool = False, source: str | None = None) -> DataFrame:
+    """JSON ``model_prediction`` events, benign rows included; ``source`` names the file a record came from."""
     fields = [
         F.lit("model_prediction").alias("event_type"),
         F.col(index).alias("record_index"),
+        *([F.col(source).alias("source_file")] if source else []),
         F.col(passthrough),
         "attack_score", "predicted_label", "is_alert", "threshold",
     ]

@@ -14,12 +14,13 @@ from flowlens.operators.evaluation import (
     threshold_sweep,
 )
 from flowlens.functions.metrics import with_metrics
+from flowlens.operators.staging import lookup
 from flowlens.schemas import GATE_MAX_FPR, PROMOTION_PLAN, TUNING_FPR_CAPS
 
 
 def _at_tuned_points(df, trial, truth, score, points) -> DataFrame:
     """Confusion metrics of each trial at its own threshold."""
-    joined = df.join(points.select(trial, "threshold"), trial)
+    joined = df.join(lookup(points.select(trial, "threshold")), trial)
     counts = confusion_at_threshold(joined, [trial], truth, score, F.col("threshold"))
     return with_metrics(counts)
 

@@ -66,7 +66,7 @@ _OUTBOX = f"""{_CAND}, ob AS (
 
 
 @_r.query(f"""WITH {_OUTBOX}, j AS (SELECT c.dedupe_key, c.alert_id, o.id, o.status, o.attempt_count, o.created_at, c.dedupe_key IS NOT NULL AS fresh FROM cand c LEFT JOIN ob o ON o.dedupe_key = c.dedupe_key)
-SELECT id, alert_id, dedupe_key, coalesce(status, 'pending') AS status, CASE WHEN status IS NULL THEN 0 ELSE attempt_count END AS attempt_count, coalesce(created_at, '{NOW}') AS created_at, '{NOW}' AS updated_at FROM j
+SELECT coalesce(id, CAST('0x' || substr(md5('telegram' || chr(31) || '{TARGET}' || chr(31) || dedupe_key), 1, 15) AS BIGINT)) AS id, alert_id, dedupe_key, coalesce(status, 'pending') AS status, CASE WHEN status IS NULL THEN 0 ELSE attempt_count END AS attempt_count, coalesce(created_at, '{NOW}') AS created_at, '{NOW}' AS updated_at FROM j
 UNION ALL SELECT id, alert_id, dedupe_key, status, attempt_count, created_at, created_at FROM ob WHERE dedupe_key IS NULL""")
 def outbox_enqueue(spark, sf):
     after = ob.enqueue(stored_outbox(spark, sf), candidates(spark, sf), NOW)
@@ -104,6 +104,8 @@ def outbox_redrive(spark, sf):
 @_r.query(f"""WITH {_OUTBOX}, d AS (SELECT *, status IN ('pending', 'retry') AND (next_attempt_at IS NULL OR next_attempt_at <= '{NOW}') AS due FROM ob)
 SELECT 'telegram' AS channel, count(*) FILTER (WHERE status = 'pending') AS pending_count, count(*) FILTER (WHERE status = 'retry') AS retry_count, count(*) FILTER (WHERE status = 'failed') AS failed_count,
        count(*) FILTER (WHERE status = 'sent') AS sent_count, count(*) FILTER (WHERE due) AS due_count, min(coalesce(next_attempt_at, created_at)) FILTER (WHERE due) AS oldest_due_at,
-       arg_max(last_error, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error FROM d""")
+       arg_max(last_error, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error,
+       arg_max(status, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error_status,
+       arg_max(created_at, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error_at FROM d""")
 def outbox_summary(spark, sf):
     return ob.delivery_summary(stored_outbox(spark, sf), NOW)

@@ -56,7 +56,8 @@ def stream_validate_score(spark, sf):
 
 
 _MINUTES = f"""WITH {b.ALERTS}, w AS (SELECT strftime(make_timestamp((epoch_us(CAST(replace(event_ts, '+00:00', '') AS TIMESTAMP)) // 21600000000) * 21600000000), '%Y-%m-%dT%H:%M:%S') AS window_start, src_ip, dst_ip, protocol, dst_port, score FROM hx)
-SELECT window_start, src_ip, dst_ip, protocol, count(*) AS incident_alert_count, max(score) AS attack_score, min(dst_port) AS lowest_dst_port, max(dst_port) AS highest_dst_port FROM w GROUP BY 1, 2, 3, 4"""
+SELECT window_start, src_ip, dst_ip, protocol, count(*) AS incident_alert_count, max(score) AS attack_score, min(dst_port) AS lowest_dst_port, max(dst_port) AS highest_dst_port,
+  array_to_string(list_sort(list(DISTINCT dst_port) FILTER (WHERE dst_port IS NOT NULL)), ',') AS dst_ports FROM w GROUP BY 1, 2, 3, 4"""
 
 
 def _timed(alerts):
@@ -64,7 +65,9 @@ def _timed(alerts):
 
 
 def _window_text(df):
-    return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss"))
+    shown = df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss"))
+    ports = F.when(F.size("incident_dst_ports") > 0, F.array_join("incident_dst_ports", ","))
+    return shown.withColumn("dst_ports", ports).drop("incident_src_ports", "incident_dst_ports")
 
 
 @_r.query(_MINUTES)

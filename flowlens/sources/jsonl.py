@@ -29,17 +29,23 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFra
     )
     if not numbered:
         return lines.select("source", "value")
+    return number_lines(lines)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(source, line_number, value) of lines that still have their file block."""
     placed = lines.withColumn("__seq", F.monotonically_increasing_id())
     counted = number_rows(placed, ["source"], F.col("__block"), [F.col("__seq")], "line_number")
     return counted.select("source", (F.col("line_number") + 1).alias("line_number"), "value")
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Landed text files as a stream of (source, value)."""
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None, blocks: bool = False) -> DataFrame:
+    """Landed text files as a stream of (source, value), with the file block for :func:`number_lines` if asked."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    block = [F.col("_metadata.file_block_start").alias("__block")] if blocks else []
+    return reader.load(path).select(F.col("_metadata.file_path").alias("source"), *block, "value")
 
 
 def parse_reason(line: Column, record: Column, max_length: int | None = None) -> Column:

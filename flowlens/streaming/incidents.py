@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 DEFAULT_LATENESS = "10 minutes"
 KEYS = ("src_ip", "dst_ip", "protocol")
+PORTS = ("src_port", "dst_port")  # their sets are bounded by the range of ports
 
 
 def unique_alerts(alerts: DataFrame, ts: str = "event_time", lateness: str = DEFAULT_LATENESS) -> DataFrame:
@@ -35,9 +36,10 @@ def windowed_incidents(
         F.max("attack_score").alias("attack_score"),
         F.min("dst_port").alias("lowest_dst_port"),
         F.max("dst_port").alias("highest_dst_port"),
+        *[F.array_sort(F.collect_set(c)).alias(f"incident_{c}s") for c in PORTS if c in alerts.columns],
     ).select(
         F.col("window.start").alias("window_start"), *KEYS, "incident_alert_count", "attack_score",
-        "lowest_dst_port", "highest_dst_port",
+        "lowest_dst_port", "highest_dst_port", *[f"incident_{c}s" for c in PORTS if c in alerts.columns],
     )
 
 

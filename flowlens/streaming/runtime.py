@@ -17,7 +17,7 @@ from flowlens.operators.alerts import alert_rows, anomaly_rows, summary_rows, up
 from flowlens.operators.contract import FeatureContract, quarantine_events, quarantined_records, valid_records, validate
 from flowlens.operators.scoring import prediction_events
 from flowlens.schemas import DEFAULT_SENSOR_ID
-from flowlens.sources.jsonl import parse_anomalies, parse_lines, stream_lines
+from flowlens.sources.jsonl import number_lines, parse_anomalies, parse_lines, stream_lines
 
 Scorer = Callable[[DataFrame], DataFrame]
 BATCH = "batch_id"
@@ -56,15 +56,13 @@ def score_stream(
     failure in it fails the batch. Alert events leave out benign predictions,
     which stay in the prediction folder.
     """
-    lines = stream_lines(spark, source, max_files)
+    lines = stream_lines(spark, source, max_files, blocks=True)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        routed = routed_records(batch, contract).withColumn(
-            "record_index", F.monotonically_increasing_id()
-        ).persist()
+        routed = routed_records(number_lines(batch), contract).withColumnRenamed("line_number", "record_index").persist()
         try:
             _write(quarantine_events(quarantined_records(routed)), f"{out}/quarantine", batch_id, "text")
-            events = prediction_events(scorer(valid_records(routed)), two_stage=two_stage)
+            events = prediction_events(scorer(valid_records(routed)), two_stage=two_stage, source="source")
             _write(events, f"{out}/predictions", batch_id, "parquet")
         finally:
             routed.unpersist()
@@ -124,7 +122,8 @@ def stored_alerts(spark: SparkSession, store: str) -> DataFrame:
     """Alert table after upserts on (sensor, source id), newest fields, first triage state."""
     rows = _arrivals(spark, f"{store}/alert").withColumn("id", F.col("arrival"))
     merged = upsert_alerts(rows.filter("false").drop("arrival"), rows.drop("arrival"))
-    return merged
+    # The first arrival never changes, so neither does the long id made of it.
+    return merged.withColumn("id", F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1)))
 
 
 def stored_summaries(spark: SparkSession, store: str) -> DataFrame:
