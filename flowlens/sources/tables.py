@@ -18,11 +18,11 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
-SCAN_PARTITIONS = "flowlens.scan.partitions"
+SCAN_PARTITIONS = "spark.flowlens.scan.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan out over as many partitions as the session setting ``flowlens.scan.partitions`` asks for.
+    """Deal a scan out over as many partitions as the session setting ``spark.flowlens.scan.partitions`` asks for.
 
     Unset, as in production, the scan is used as it is. The benchmark sets it,
     because its single-row-group file would otherwise be one task.
