@@ -5,8 +5,10 @@ A document is the set of its 5-word shingles. Shingles are hashed into
 of coordinate minima of two points bounds the overlap of their sets. Two sets of
 sizes p and q have Jaccard similarity of at least t only if they share
 t / (1 + t) * (p + q) shingles, so a pair whose bound is smaller is pruned, and a
-node of the tree is pruned by the same sum over its box. Surviving pairs are
-verified on the sets themselves.
+node of the tree is pruned by the same sum over its box. Points that pass are
+also compared by the parities of ``PARITY_BITS`` finer groups: each odd
+difference is a shingle that only one set has. Surviving pairs are verified on
+the sets themselves.
 
 One tree over all documents would be one task, so the space is cut first,
 without loss: under any fixed order of all shingles, two similar sets share one
@@ -50,7 +52,8 @@ from flowlens.llm.tokens import chunks
 from flowlens.plans.workspace import discard, stored
 
 PERCENT = 80
-GROUPS = 256
+GROUPS = 64
+PARITY_BITS = 2048
 MAX_FREQUENT = 65_536
 SEGMENT = 4_000_000
 TILE = 1024
@@ -105,6 +108,22 @@ def count_vector(hashes: np.ndarray) -> bytes:
     return counts.astype(width).tobytes()
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """One bit per fine group: whether it holds an odd number of shingles."""
+    fine = (hashes >> np.uint64(8)).astype(np.int64) % PARITY_BITS
+    return np.packbits(np.bincount(fine, minlength=PARITY_BITS) & 1).tobytes()
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.uint64) for r in column.to_pylist()]) if len(column) else np.zeros((0, 1), np.uint64)
+
+
+def _few_differences(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the differences seen leave room for the similarity; ``sizes`` are sums of both sizes."""
+    seen = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (100 + PERCENT) * seen <= (100 - PERCENT) * sizes
+
+
 def _points(column: pa.Array) -> np.ndarray:
     """Count vectors as one matrix."""
     rows = column.to_pylist()
@@ -129,12 +148,13 @@ def leading(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, ha, hb, n, node, lead, counts) per document; node is null without shingles."""
+    """(doc_id, ha, hb, n, node, lead, counts, parity) per document; node is null without shingles."""
     frequent, counts = frequent_shingles(docs)
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("ha", T.LongType()), T.StructField("hb", T.LongType()),
         T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()),
+        T.StructField("parity", T.BinaryType()),
     ])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +166,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 [part.column(0), part.column(2), part.column(3), pa.array([len(h) for h in found], pa.int64()),
                  pa.array([set_id(h) if len(h) else None for h in found], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                 pa.array([count_vector(h) for h in found], pa.binary())],
+                 pa.array([count_vector(h) for h in found], pa.binary()), pa.array([parities(h) for h in found], pa.binary())],
                 names=schema.fieldNames(),
             )
 
@@ -188,13 +208,14 @@ def _fits(a: str, b: str):
 
 
 def _pass_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose summed coordinate minima reach the overlap they need."""
+    """Pairs whose summed coordinate minima reach the overlap they need, with few odd differences."""
     for batch in batches:
         if batch.num_rows:
             x, y = _points(batch.column(4)), _points(batch.column(5))
             overlap = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array((100 + PERCENT) * overlap >= PERCENT * sizes)
+            keep = (100 + PERCENT) * overlap >= PERCENT * sizes
+            keep = pa.array(keep & _few_differences(_bits(batch.column(6)), _bits(batch.column(7)), sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -204,11 +225,13 @@ def pivot_candidates(postings: DataFrame, points: DataFrame) -> DataFrame:
     pairs = pairs.filter(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
-    x = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    y = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    x = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.col("parity").alias("pa"))
+    y = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.col("parity").alias("pb"))
     # Sizes first, in their own join, so that vectors travel only for pairs that fit.
     sized = pairs.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b").filter(_fits("na", "nb"))
-    both = sized.join(x.select("a", "ca"), "a").join(y.select("b", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb")
+    both = sized.join(x.select("a", "ca", "pa"), "a").join(y.select("b", "cb", "pb"), "b").select(
+        "a", "b", "na", "nb", "ca", "cb", "pa", "pb"
+    )
     return both.mapInArrow(_pass_bound, "a long, b long")
 
 
@@ -305,8 +328,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key[low, 1] == key[low, 2], side[part], sizes[part], points[part], labels[part]
                 )
                 found += [(low + a, low + b) for a, b in tile]
-        a = node[np.concatenate([x for x, _ in found])] if found else np.zeros(0, np.int64)
-        b = node[np.concatenate([y for _, y in found])] if found else np.zeros(0, np.int64)
+        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        fine = _bits(batch.column("parity"))
+        keep = np.zeros(len(a), bool)
+        for low in range(0, len(a), 65_536):
+            part = slice(low, low + 65_536)
+            keep[part] = _few_differences(fine[a[part]], fine[b[part]], sizes[a[part]] + sizes[b[part]])
+        a, b = node[a[keep]], node[b[keep]]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -348,7 +377,7 @@ def tree_candidates(postings: DataFrame, points: DataFrame, labels: DataFrame) -
             (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "label",
         )
     )
-    placed = tiled.join(points, "node").select("token", "i", "j", "side", "node", "n", "label", "counts")
+    placed = tiled.join(points, "node").select("token", "i", "j", "side", "node", "n", "label", "counts", "parity")
     spread = placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return spread.mapInArrow(_search, "a long, b long").distinct()
 
@@ -396,10 +425,10 @@ def linked(docs: DataFrame) -> DataFrame:
     postings = shared_postings(profiled)
     nodes = postings.select("node").distinct()
     points = stored(
-        profiled.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "points"
+        profiled.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("parity").alias("parity")), "points"
     )
     # Each table is deleted as soon as nothing below reads it.
-    wide, profiled = profiled, stored(profiled.drop("lead", "counts"), "profiles")
+    wide, profiled = profiled, stored(profiled.drop("lead", "counts", "parity"), "profiles")
     discard(wide)
     pairs = stored(pivot_candidates(postings, points), "pairs")
     sets = node_sets(docs, profiled, pairs)

@@ -97,7 +97,7 @@ def test_trees_lose_no_pair_without_contraction(spark):
     profiled = nd.profiles(docs)
     postings = nd.shared_postings(profiled)
     nodes = postings.select("node").distinct()
-    points = profiled.select("node", "n", "counts").dropDuplicates(["node"]).join(nodes, "node")
+    points = profiled.select("node", "n", "counts", "parity").dropDuplicates(["node"]).join(nodes, "node")
     labels = spark.createDataFrame([], "node long, component long")
     found = nd.tree_candidates(postings, points, labels)
     pairs = nd.verified(found, nd.node_sets(docs, profiled, found)).count()
