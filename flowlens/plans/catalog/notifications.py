@@ -41,13 +41,16 @@ def notification_texts(spark, sf):
     return rows.select("channel", "target", "dedupe_key", "alert_id", json_text(F.col("payload_json"), "text").alias("text"))
 
 
-def stored_outbox(spark, sf):
-    """Part of the candidates as deliveries already stored, in mixed states, plus loose ones."""
+def stored_outbox(spark, sf, known=None):
+    """Candidates as deliveries already stored, in mixed states, some without a key.
+
+    ``known`` picks which of them are stored; the others then arrive as new.
+    """
     number = F.col("alert_id")
     status = F.when(number % 4 == 0, "pending").when(number % 4 == 1, "retry").when(number % 4 == 2, "failed").otherwise("sent")
     created = F.concat(F.lit("2024-01-"), F.lpad((F.pmod(number, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T00:00:00+00:00"))
-    known = candidates(spark, sf).filter(F.pmod(number, F.lit(3)) != 0)
-    return known.select(
+    rows = candidates(spark, sf)
+    return (rows if known is None else rows.filter(known)).select(
         number.alias("id"), number.alias("alert_id"), "channel", "target",
         F.when(number % 7 != 0, F.col("dedupe_key")).alias("dedupe_key"), F.lit("{}").alias("payload_json"),
         status.alias("status"), F.pmod(number, F.lit(5)).cast("int").alias("attempt_count"), F.lit(None).cast("string").alias("last_attempt_at"),
@@ -62,17 +65,36 @@ _OUTBOX = f"""{_CAND}, ob AS (
   SELECT alert_id AS id, alert_id, CASE WHEN alert_id % 7 <> 0 THEN dedupe_key END AS dedupe_key, CASE alert_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'retry' WHEN 2 THEN 'failed' ELSE 'sent' END AS status,
          CAST(alert_id % 5 AS INTEGER) AS attempt_count, CASE WHEN alert_id % 4 = 1 THEN CASE WHEN alert_id % 8 = 1 THEN '2024-03-01T00:00:00+00:00' ELSE '2024-01-15T00:00:00+00:00' END END AS next_attempt_at,
          CASE WHEN alert_id % 4 IN (1, 2) THEN 'error ' || alert_id WHEN alert_id % 9 = 0 THEN ' ' END AS last_error, CASE WHEN alert_id % 4 = 3 THEN 'm' || alert_id END AS provider_message_id,
-         '2024-01-' || lpad(CAST(alert_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00+00:00' AS created_at FROM cand WHERE alert_id % 3 <> 0)"""
+         '2024-01-' || lpad(CAST(alert_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00+00:00' AS created_at FROM cand)"""
+# Enqueueing meets two thirds of the candidates in the store; the rest are new.
+_PART = _OUTBOX[:-1] + " WHERE alert_id % 3 <> 0)"
 
 
-@_r.query(f"""WITH {_OUTBOX}, j AS (SELECT c.dedupe_key, c.alert_id, o.id, o.status, o.attempt_count, o.created_at, c.dedupe_key IS NOT NULL AS fresh FROM cand c LEFT JOIN ob o ON o.dedupe_key = c.dedupe_key)
+@_r.query(f"""WITH {_PART}, j AS (SELECT c.dedupe_key, c.alert_id, o.id, o.status, o.attempt_count, o.created_at, c.dedupe_key IS NOT NULL AS fresh FROM cand c LEFT JOIN ob o ON o.dedupe_key = c.dedupe_key)
 SELECT coalesce(id, CAST('0x' || substr(md5('telegram' || chr(31) || '{TARGET}' || chr(31) || dedupe_key), 1, 15) AS BIGINT)) AS id, alert_id, dedupe_key, coalesce(status, 'pending') AS status, CASE WHEN status IS NULL THEN 0 ELSE attempt_count END AS attempt_count, coalesce(created_at, '{NOW}') AS created_at, '{NOW}' AS updated_at FROM j
 UNION ALL SELECT id, alert_id, dedupe_key, status, attempt_count, created_at, created_at FROM ob WHERE dedupe_key IS NULL""")
 def outbox_enqueue(spark, sf):
-    after = ob.enqueue(stored_outbox(spark, sf), candidates(spark, sf), NOW)
+    stored = stored_outbox(spark, sf, F.pmod(F.col("alert_id"), F.lit(3)) != 0)
+    after = ob.enqueue(stored, candidates(spark, sf), NOW)
     return after.select("id", "alert_id", "dedupe_key", "status", "attempt_count", "created_at", "updated_at")
 
 
+@_r.query(f"""WITH {_CAND} SELECT dedupe_key, CASE alert_id % 3 WHEN 0 THEN 'sent' WHEN 1 THEN 'retry' ELSE 'pending' END AS status,
+  CAST(CASE WHEN alert_id % 3 = 2 THEN 0 ELSE 1 END AS INTEGER) AS attempt_count,
+  CASE alert_id % 3 WHEN 0 THEN 'm' || alert_id END AS provider_message_id FROM cand""")
+def outbox_round(spark, sf):
+    """From an empty outbox: enqueue, find what is due, try it once, redrive what failed."""
+    empty = stored_outbox(spark, sf, F.lit(False))
+    filled = ob.enqueue(empty, candidates(spark, sf), NOW)
+    number = F.col("alert_id")
+    results = ob.due_deliveries(filled, NOW, limit=None).select(
+        "id", (number % 3 == 0).alias("ok"), (number % 3 == 1).alias("retryable"), F.lit("boom").alias("error"),
+        F.lit(None).cast("int").alias("retry_after"), F.concat(F.lit("m"), number.cast("string")).alias("message_id"),
+    )
+    after = ob.redrive_failed(ob.apply_attempts(filled, results, NOW), NOW, limit=None)
+    return after.select("dedupe_key", "status", "attempt_count", "provider_message_id")
+
+
 @_r.query(f"""WITH {_OUTBOX} SELECT id, status, created_at FROM ob WHERE status IN ('pending', 'retry') AND (next_attempt_at IS NULL OR next_attempt_at <= '{NOW}') ORDER BY created_at, id LIMIT 100""")
 def outbox_due(spark, sf):
     return ob.due_deliveries(stored_outbox(spark, sf), NOW).select("id", "status", "created_at")
