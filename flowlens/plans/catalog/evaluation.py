@@ -169,8 +169,16 @@ FAMILY_LABELS = ("DDoS", "DoS", "Mirai", "Spoofing", "Web-Based")
 
 
 def predictions(spark, sf):
-    """Embeddings as class scores: the first ten values are one score per class."""
-    scores = F.slice("embedding", 1, 10).cast("array<double>")
+    """Embeddings as class scores: each class, and each family, has the largest of its share of all values."""
+    values = F.col("embedding").cast("array<double>")
+
+    def largest(parts: int):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(parts - 1)),
+            lambda c: F.array_max(F.filter(values, lambda x, at: at % parts == c)),
+        )
+
+    scores = largest(10)
     return read_table(spark, sf, "embeddings").select(
         "vec_id",
         F.concat(F.lit("class_"), F.col("label").cast("string")).alias("true_label"),
@@ -178,14 +186,15 @@ def predictions(spark, sf):
         argmax_label(scores, CLASSES).alias("pred_label"),
         top1(scores).alias("top1"),
         margin(scores).alias("margin"),
-        ((F.get("embedding", F.lit(10)).cast("double") + 1.0) / 2.0).alias("attack_score"),
-        F.slice("embedding", 1, 5).cast("array<double>").alias("family_scores"),
+        ((F.array_max(values) + F.array_min(values) + 1.0) / 2.0).alias("attack_score"),
+        largest(5).alias("family_scores"),
     )
 
 
 _PRED = """pr AS (
-  SELECT vec_id, 'class_' || label AS true_label, CAST(embedding[1:10] AS DOUBLE[]) AS s, (CAST(embedding[11] AS DOUBLE) + 1) / 2 AS attack_score,
-         CAST(embedding[1:5] AS DOUBLE[]) AS f FROM embeddings), pred AS (
+  SELECT vec_id, 'class_' || label AS true_label, list_transform(range(0, 10), lambda c: list_max(list_filter(v, lambda x, p: (p - 1) % 10 = c))) AS s,
+         (list_max(v) + list_min(v) + 1.0::DOUBLE) / 2.0::DOUBLE AS attack_score, list_transform(range(0, 5), lambda c: list_max(list_filter(v, lambda x, p: (p - 1) % 5 = c))) AS f
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)), pred AS (
   SELECT *, 'class_' || (list_position(s, list_max(s)) - 1) AS pred_label, list_max(s) AS top1, list_max(s) - list_reverse_sort(s)[2] AS margin,
          list_max(f) AS f1, list_max(f) - list_reverse_sort(f)[2] AS fm, ['DDoS', 'DoS', 'Mirai', 'Spoofing', 'Web-Based'][list_position(f, list_max(f))] AS fam
   FROM pr)"""
