@@ -53,7 +53,8 @@ from flowlens.plans.workspace import discard, stored
 
 PERCENT = 80
 GROUPS = 64
-PARITY_BITS = 2048
+PARITY_BITS = 2048  # beside every point
+SET_BITS = 16_384  # beside every set that is to be verified
 MAX_FREQUENT = 65_536
 SEGMENT = 4_000_000
 TILE = 1024
@@ -108,10 +109,10 @@ def count_vector(hashes: np.ndarray) -> bytes:
     return counts.astype(width).tobytes()
 
 
-def parities(hashes: np.ndarray) -> bytes:
+def parities(hashes: np.ndarray, bits: int = PARITY_BITS) -> bytes:
     """One bit per fine group: whether it holds an odd number of shingles."""
-    fine = (hashes >> np.uint64(8)).astype(np.int64) % PARITY_BITS
-    return np.packbits(np.bincount(fine, minlength=PARITY_BITS) & 1).tobytes()
+    fine = (hashes >> np.uint64(8)).astype(np.int64) % bits
+    return np.packbits(np.bincount(fine, minlength=bits) & 1).tobytes()
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -382,8 +383,25 @@ def tree_candidates(postings: DataFrame, points: DataFrame, labels: DataFrame) -
     return spread.mapInArrow(_search, "a long, b long").distinct()
 
 
+def _pass_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with few odd differences among the finest groups."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array(_few_differences(_bits(batch.column(4)), _bits(batch.column(5)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough, by their exact intersection."""
+    """The pairs whose sets are similar enough, by their exact intersection.
+
+    Long sets just below the threshold pass the coarser bounds, so two kilobytes
+    of finer parities are compared before whole sets travel.
+    """
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb")
+    pairs = stored(likely.mapInArrow(_pass_fine, "a long, b long").distinct(), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(y, "b").join(x, "a").select(
@@ -410,11 +428,13 @@ def node_sets(docs: DataFrame, profiled: DataFrame, pairs: DataFrame) -> DataFra
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(h) for h in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["node", "shingles"],
+                [pa.array([set_id(h) for h in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.array([len(h) for h in found], pa.int64()), pa.array([parities(h, SET_BITS) for h in found], pa.binary())],
+                names=["node", "shingles", "n", "fine"],
             )
 
-    return stored(docs.select("text", hashed).mapInArrow(build, "node long, shingles array<long>"), "sets")
+    schema = "node long, shingles array<long>, n long, fine binary"
+    return stored(docs.select("text", hashed).mapInArrow(build, schema), "sets")
 
 
 def linked(docs: DataFrame) -> DataFrame:
