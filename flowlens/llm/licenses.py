@@ -6,7 +6,9 @@ digits becomes a space) and turned into the set of its word bigrams; one word
 alone is its own bigram. Its Dice coefficient with a template is twice the
 shared bigrams over the sum of both sizes. A coefficient of at least t needs
 sizes within a factor (2 - t) / t of each other, so only templates of a fitting
-size are compared at all; that size bound loses nothing.
+size are compared at all; that size bound loses nothing. Neither does the other
+one: a match needs so many of its template's bigrams that it holds one of a few
+key words, so units without any are not cut into bigrams.
 
 Everything happens within a row: templates are constants of the plan, and no
 row is shuffled. A document gets its best template (ties: more shared bigrams, then the
@@ -19,6 +21,7 @@ columns pass through ``scan``.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -30,7 +33,7 @@ from flowlens.llm.common import NOT_SPACE, fresh, let, positions, quoted
 THRESHOLD_PERCENT = 80
 
 # Short public notices by which documents declare a license.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
                    "in compliance with the License. You may obtain a copy of the License at "
@@ -54,6 +57,79 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
 )
 
+# Names by which notices call a license; its SPDX identifier is the key.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"),
+    "GPL-2.0": ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GPL v2", "the GPLv2"),
+    "GPL-3.0": ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GPL v3", "the GPLv3"),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1", "the LGPL v2.1"),
+    "LGPL-3.0": ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "the LGPL v3"),
+    "AGPL-3.0": ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "the AGPL v3"),
+    "MIT": ("the MIT License",),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License"),
+    "ISC": ("the ISC License",),
+    "Unlicense": ("the Unlicense",),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "the CC0 1.0 Universal License"),
+}
+WORDINGS = (
+    "Licensed under {}.", "Released under {}.", "Distributed under {}.", "Available under {}.",
+    "Licensed under the terms of {}.", "Released under the terms of {}.", "Distributed under the terms of {}.",
+    "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.",
+    "This software is released under {}.", "This project is released under {}.", "This software is distributed under {}.",
+)
+TAGS = {
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only"), "GPL-2.0-or-later": ("GPL-2.0-or-later",),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only"), "GPL-3.0-or-later": ("GPL-3.0-or-later",),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only"), "LGPL-2.1-or-later": ("LGPL-2.1-or-later",),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only"), "LGPL-3.0-or-later": ("LGPL-3.0-or-later",),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only"), "AGPL-3.0-or-later": ("AGPL-3.0-or-later",),
+}
+
+
+def _usual() -> list[tuple[str, str]]:
+    said = [(name, w.format(x)) for name, called in NAMES.items() for x in called for w in WORDINGS]
+    return said + [(n, f"SPDX-License-Identifier: {tag}") for n in {**NAMES, **TAGS} for tag in TAGS.get(n, (n,))]
+
+
+# Notices come first: with equal scores the earlier template counts.
+TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys([*NOTICES, *_usual()]))
+
+# Words of everyday prose, taken as key words only where a template has nothing else.
+_COMMON = frozenset("a an and any are as at be by for from in is it no not of on or that the this to under with you".split())
+
+
+def key_words(bigrams: Sequence[Sequence[str]], threshold: int) -> list[str]:
+    """Words of which every unit that reaches the threshold with some template holds one.
+
+    Such a unit shares at least threshold / (200 - threshold) of the template's
+    bigrams, so key words need to stand in more bigrams than may be missing.
+    """
+    left = {}
+    for k, b in enumerate(bigrams):
+        may_miss = len(b) - -(-len(b) * threshold // (200 - threshold))
+        left[k] = may_miss + 1, {tuple(x.split(" ")) for x in b}
+    chosen = []
+    while left:
+        gain: dict[str, int] = {}
+        for _, open_ in left.values():
+            for word in {w for b in open_ for w in b}:
+                gain[word] = gain.get(word, 0) + sum(word in b for b in open_)
+        best = min(gain, key=lambda w: (w in _COMMON or w.isdigit(), -gain[w], w))
+        chosen.append(best)
+        for k, (needed, open_) in list(left.items()):
+            rest = {b for b in open_ if best not in b}
+            needed -= len(open_) - len(rest)
+            if needed > 0:
+                left[k] = needed, rest
+            else:
+                del left[k]
+    return sorted(chosen)
+
 
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, in order of appearance."""
@@ -62,15 +138,19 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(pairs))
 
 
-def _bigrams(unit: Column) -> Column:
+def _constant(value: list, kind: str) -> Column:
+    """A list as one constant, which plans faster than a column per entry."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _words(unit: Column) -> Column:
     spaced = F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")
-    found = F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced, " "), "")
 
-    def pairs(w: Column) -> Column:
-        two = F.transform(positions(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-        return F.when(F.size(w) > 1, F.array_distinct(two)).otherwise(w)
 
-    return let(found, pairs)
+def _bigrams(w: Column) -> Column:
+    two = F.transform(positions(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) > 1, F.array_distinct(two)).otherwise(w)
 
 
 def units(text: Column) -> Column:
@@ -83,10 +163,8 @@ def units(text: Column) -> Column:
 def best_match(text: Column, templates: Sequence[tuple[str, str]], threshold: int) -> Column:
     """Struct (license, template, shared, unit_size, template_size) of the best template, or null."""
     bigrams = [template_bigrams(t) for _, t in templates]
-    known = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(len(b)).alias("size"), F.array(*[F.lit(x) for x in b]).alias("b"))
-        for i, b in enumerate(bigrams)
-    ])
+    known = _constant([{"i": i, "size": len(b), "b": b} for i, b in enumerate(bigrams)],
+                      "array<struct<i:int,size:int,b:array<string>>>")
 
     def compare(unit: Column) -> Column:
         size = F.size(unit)
@@ -109,9 +187,11 @@ def best_match(text: Column, templates: Sequence[tuple[str, str]], threshold: in
         )
 
     largest = max(len(b) for b in bigrams) * (200 - threshold) // threshold
-    names = F.array(*[F.lit(name) for name, _ in templates])
+    names = _constant([name for name, _ in templates], "array<string>")
+    keys = _constant(key_words(bigrams, threshold), "array<string>")
+    possible = F.filter(F.transform(units(text), _words), lambda w: F.arrays_overlap(w, keys))
     found = F.flatten(F.transform(
-        F.filter(F.transform(units(text), _bigrams), lambda b: (F.size(b) > 0) & (F.size(b) <= largest)), compare
+        F.filter(F.transform(possible, _bigrams), lambda b: (F.size(b) > 0) & (F.size(b) <= largest)), compare
     ))
     return let(
         F.array_max(found),

@@ -54,5 +54,36 @@ def test_size_bound_is_exact(spark):
     assert (m.license, m.shared, m.unit_size, m.template_size, m.dice) == ("T", 2, 2, 3, 0.8)
 
 
+NOTICES = [
+    ("MIT", "Released under the MIT License."), ("MIT", "Distributed under the MIT license"),
+    ("MIT", "This project is licensed under the MIT License."), ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache 2.0 license"), ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "Released under the GNU General Public License v3.0."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"), ("BSD-3-Clause", "Released under the 3-clause BSD license"),
+    ("BSD-2-Clause", "Distributed under the BSD 2-Clause License"), ("ISC", "Released under the ISC license."),
+    ("MPL-2.0", "Distributed under the Mozilla Public License 2.0"), ("CC-BY-SA-4.0", "Released under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "This work is licensed under CC BY 4.0."), ("Unlicense", "This software is released under the Unlicense."),
+    (None, "The museum was released from its terms under the new management."),
+]
+
+
+def test_usual_wordings_are_found(spark):
+    """Notices written down without a look at the templates."""
+    rows = [(k, f"Some prose stands before.\n{notice}\nMore prose stands after it.") for k, (_, notice) in enumerate(NOTICES)]
+    found = licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {NOTICES[r.doc_id][1]: r.license for r in found} == {notice: name for name, notice in NOTICES}
+
+
+def test_key_words_lose_nothing():
+    """Every smallest match of a template still holds a key word."""
+    for threshold in (50, 80, 100):
+        bigrams = [licenses.template_bigrams(t) for _, t in licenses.TEMPLATES] + [["word"], ["the of"]]
+        keys = set(licenses.key_words(bigrams, threshold))
+        for b in bigrams:
+            without = [x for x in b if not keys & set(x.split(" "))]
+            assert 200 * len(without) < threshold * (len(without) + len(b))
+
+
 def test_empty_table(spark):
     assert licenses.document_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
