@@ -8,14 +8,15 @@ shards to a node, until one list per query is left. No task ever holds more
 than a tile, and no list is longer than ``FAN`` times k.
 
 Products run in double precision where every partial sum stays below 2^53 and
-so is exact, otherwise on whole numbers.
+so is exact, otherwise on longs, and on unbounded whole numbers where a long
+might overflow. Scores are longs: a pair whose score does not fit one fails the
+query.
 
 Defined cases: vectors that are null, or hold a null, infinite or NaN
 component, and rows with a null id take no part; vectors of other lengths than
 a query's are not compared with it; rows that repeat an id count once, with the
 smallest vector; ties go to the smaller id; an empty table gives an empty
-result; extra columns are ignored. Components are taken to be below 2^20 in
-size, so that scores fit a long.
+result; extra columns are ignored. Finite components may have any size.
 """
 
 from __future__ import annotations
@@ -36,27 +37,54 @@ FAN = 16
 
 
 def whole_vectors(table: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v): usable vectors as arrays of longs, one per id."""
+    """(id, v): usable vectors as arrays of whole numbers, one per id.
+
+    They are doubles, since a long cannot hold every finite component; from 2^53 on every double is whole.
+    """
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & F.forall(
-        values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(1 << 20)))
+        values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    )
+    scaled = F.transform(values, lambda x: x * F.lit(float(scale)))
+    whole = F.transform(
+        scaled, lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)
     )
-    whole = F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
     return table.filter(usable).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(
         F.min("v").alias("v")
     )
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()) if len(column) else np.zeros((0, 0), np.int64)
-
-
-def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products as longs."""
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    if bound < 2**53:
-        return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
-    return queries @ vectors.T
+    return np.stack(column.to_list()) if len(column) else np.zeros((0, 0))
+
+
+def _products(
+    queries: np.ndarray, vectors: np.ndarray, own: np.ndarray | None = None, ids: np.ndarray | None = None
+) -> np.ndarray:
+    """Exact inner products as longs; pairs of a query with its own id may hold anything."""
+    n = max(1, queries.shape[1])
+    most = [np.abs(m).max(axis=1, initial=0).astype(np.float64) for m in (queries, vectors)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        left, right = queries.astype(np.float64), vectors.astype(np.float64)
+        if not len(left) or not len(right) or most[0].max() * most[1].max() * n < 2**53:
+            return (left @ right.T).astype(np.int64)
+        scores = (left @ right.T).astype(np.int64)
+        whole = queries.astype(np.int64), vectors.astype(np.int64)
+        # Longs wrap around, so a sum is right whenever the score itself fits; whether it must fit is seen from the
+        # sum of sizes, of which a double knows enough.
+        for i in np.flatnonzero(~(most[0] * most[1].max() * n < 2**53)):
+            columns = np.flatnonzero(~(most[0][i] * most[1] * n < 2**53))
+            if own is not None:
+                columns = columns[ids[columns] != own[i]]
+            scores[i, columns] = whole[1][columns] @ whole[0][i]
+            sizes = np.abs(right[columns]) @ np.abs(left[i])
+            for j in columns[~(sizes < 2**62)]:
+                score = sum(int(x) * int(y) for x, y in zip(queries[i].tolist(), vectors[j].tolist()))
+                if abs(score) >= 2**63:
+                    pair = "" if own is None else f" of vectors {own[i]} and {ids[j]}"
+                    raise OverflowError(f"the score{pair} does not fit a long: {score}")
+                scores[i, j] = score
+    return scores
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
@@ -85,7 +113,8 @@ def _tile(k: int):
             q, own = _matrix(queries["q"]), queries["query"].to_numpy()
             for low in range(0, len(vectors), STRIP):
                 part = vectors.iloc[low:low + STRIP]
-                rows, ids, scores = best_of(_products(q, _matrix(part["v"])), part["id"].to_numpy(), own, k)
+                held = part["id"].to_numpy()
+                rows, ids, scores = best_of(_products(q, _matrix(part["v"]), own, held), held, own, k)
                 out.append(pd.DataFrame({"query_id": own[rows], "vec_id": ids, "score": scores}))
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if len(out) > 1:

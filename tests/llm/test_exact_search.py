@@ -51,3 +51,28 @@ def test_large_values_stay_exact():
 def test_empty_table(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert es.search(table, F.col("id") % 20 == 0).count() == 0
+
+
+def test_large_components_take_part(spark):
+    """Every finite size counts, in queries and in candidates, while scores fit a long."""
+    rng = random.Random(9)
+    rows = [(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(60)]
+    rows += [(60, [2.0**21, 1.0, 0.0, -2.0]), (61, [-(2.0**20), 1.5, 2.0, 0.0]), (80, [0.0, 0.0, 2.0**33, 1.0]),
+             (81, [0.0, 2.0**35, 0.0, 3.0])]
+    found = es.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=6)
+    found = sorted(tuple(r) for r in found.collect())
+    assert found == _brute(rows, 6)
+    assert {60, 80} <= {r[0] for r in found} and {61, 81} & {r[2] for r in found}
+
+
+def test_wide_sums():
+    """Products that cancel are exact, no matter how large; own pairs have no score."""
+    q, v = np.array([[2.0**40, 2.0**40, 3.0]]), np.array([[2.0**40, -(2.0**40), 5.0], [2.0**70, -(2.0**70), 0.0]])
+    assert es._products(q, v, np.array([1]), np.array([2, 3])).tolist() == [[15, 0]]
+    assert es._products(np.array([[2.0**70, 0.0]]), np.array([[0.0, 7.0]])).tolist() == [[0]]
+    assert es._products(q, q, np.array([1]), np.array([1])).shape == (1, 1)
+
+
+def test_score_beyond_a_long_fails():
+    with pytest.raises(OverflowError, match="vectors 1 and 2"):
+        es._products(np.array([[2.0**40, 1.0]]), np.array([[2.0**24, 1.0]]), np.array([1]), np.array([2]))
