@@ -3,8 +3,8 @@
 Encoding a word costs far more than looking it up, and a space always starts a
 new pre-token in both kinds of vocabulary, so texts are cut at spaces and each
 distinct piece is encoded once per worker. The few texts where a space stands
-inside a run of white space that the vocabulary may treat as one token are
-encoded whole.
+inside a run of white space that the vocabulary may treat as one token, or that
+hold the string of a special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> int:
         encoder = self.encoder
         if len(piece) <= MAX_PIECE_LENGTH:
-            if not encoder.keeps_space and piece.isascii() and piece != (low := piece.lower()):
+            if (not encoder.keeps_space and piece.isascii() and piece != (low := piece.lower())
+                    and not encoder.holds_special(low)):
                 number = self[piece] = self[low]  # such vocabularies know lower case only
                 return number
             number = self[piece] = encoder.reserve()
@@ -82,13 +83,17 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Their strings in a text give their ids, as by the library's default.
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         # Vocabularies that drop white space encode a piece alike wherever it stands.
         self.keeps_space = bool(self.tokenizer.encode(" a b", add_special_tokens=False).ids
                                 != self.tokenizer.encode("a b", add_special_tokens=False).ids)
         self.forget()
 
+    def holds_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def forget(self) -> None:
         self.waiting: list[tuple[int, str]] = []
         self.plain: list[tuple[int, str]] = []
@@ -154,7 +159,7 @@ class PieceEncoder:
         for k, text in enumerate(texts):
             before = len(numbers)
             if text:
-                if self.keeps_space and _INNER_SPACE.search(text):
+                if (self.keeps_space and _INNER_SPACE.search(text)) or self.holds_special(text):
                     number = self.reserve()
                     self.waiting.append((number, text))
                     numbers.append(number)

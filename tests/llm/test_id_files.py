@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from flowlens.llm import id_files
+from flowlens.llm.tokens import PieceEncoder
 from flowlens.plans.workspace import work_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +59,31 @@ def test_file_of_documents(spark, monkeypatch, block_ids):
     assert sorted(found, key=lambda r: r[1]) == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_in_texts(name):
+    path = public_tokenizers.path(name)
+    texts = ["a <|endoftext|> b", "<|startoftext|>One.<|endoftext|>", "x<|ENDOFTEXT|> <|EndOfText|>, y", "A<|endoftext|>.",
+             "<|endoftext|", "plain  words <|endoftext|>", "a <|ENDOFTEXT|> b"]
+    ids, sizes = PieceEncoder(path).encode(texts)
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert any(i in want[0] for i in (49407, 50256))
+
+
+def test_documents_with_special_tokens(spark):
+    texts = ["a <|endoftext|> b", "after", "<|startoftext|>X <|ENDOFTEXT|>", "end"]
+    path = work_folder(spark, "ids")
+    id_files.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    start, want = 0, []
+    for doc, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in id_files.read_ids(spark, path).collect()) == want
+
+
 def test_empty_table(spark):
     path = work_folder(spark, "ids")
     id_files.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, PATH)

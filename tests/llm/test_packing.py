@@ -95,6 +95,19 @@ def test_pieces_match_direct_encoding(spark):
     assert len(sequences) == sum(t for _, t in packing.bin_completion(counts))
 
 
+def test_pieces_with_special_tokens(spark):
+    texts = ["a <|endoftext|> b", "One.<|endoftext|>" * 700, "<|ENDOFTEXT|> c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(PATH)
+    want = []
+    for doc, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(doc, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert sorted(tuple(r)[:5] for r in packing.pack_documents(docs, PATH).collect()) == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).count() == 0
