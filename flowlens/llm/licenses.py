@@ -96,8 +96,50 @@ def _usual() -> list[tuple[str, str]]:
     return said + [(n, f"SPDX-License-Identifier: {tag}") for n in {**NAMES, **TAGS} for tag in TAGS.get(n, (n,))]
 
 
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+_VERSIONED = (
+    "This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+    "the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+)
+# Paragraphs that stand in license texts, each where it is told from other licenses.
+BODIES: tuple[tuple[str, str], ...] = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+            "permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+                     "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+                     "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+                     "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+                     "other materials provided with the distribution. " + _AS_IS),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+                  "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0-or-later", _VERSIONED.format(kind="program", name="General Public License", v="2")),
+    ("LGPL-2.1-or-later", _VERSIONED.format(kind="library", name="Lesser General Public License", v="2.1")),
+    ("LGPL-3.0-or-later", _VERSIONED.format(kind="library", name="Lesser General Public License", v="3")),
+    ("AGPL-3.0-or-later", _VERSIONED.format(kind="program", name="Affero General Public License", v="3")),
+)
+
 # Notices come first: with equal scores the earlier template counts.
-TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys([*NOTICES, *_usual()]))
+TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys([*NOTICES, *_usual(), *BODIES]))
 
 # Words of everyday prose, taken as key words only where a template has nothing else.
 _COMMON = frozenset("a an and any are as at be by for from in is it no not of on or that the this to under with you".split())

@@ -75,6 +75,28 @@ def test_usual_wordings_are_found(spark):
     assert {NOTICES[r.doc_id][1]: r.license for r in found} == {notice: name for name, notice in NOTICES}
 
 
+TEXTS = [
+    ("MIT", "MIT\n\nCopyright (c) 2021 A. Writer\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+            "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, "
+            "including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+            "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following "
+            "conditions:\n\n" + "The rest follows here. " * 200),
+    ("ISC", "Copyright 2019 B\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without "
+            "fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nEnd"),
+    ("BSD-3-Clause", "Conditions\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to "
+                     "endorse or promote products derived from\n   this software without specific prior written permission.\n\nEnd"),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + "Many words. " * 500),
+    ("Apache-2.0", "  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n" + "Many words. " * 500),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\n" + "Many words. " * 500),
+]
+
+
+def test_license_texts_are_found(spark):
+    rows = [(k, text) for k, (_, text) in enumerate(TEXTS)]
+    found = licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(found)] == [name for name, _ in TEXTS]
+
+
 def test_key_words_lose_nothing():
     """Every smallest match of a template still holds a key word."""
     for threshold in (50, 80, 100):
