@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import (
-    checks, exact_search, id_files, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
+    checks, exact_search, id_files, lexical_ranking, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
 )
 from flowlens.plans.workspace import work_folder
 
@@ -75,6 +75,11 @@ def op10_licenses(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.document_licenses(_table(spark, directory, "documents"))
 
 
+def op13_lexical_ranking(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_ranking.rank_documents(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_line_windows": op2_line_windows,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_id_files": op9_id_files,
     "op10_licenses": op10_licenses,
+    "op13_lexical_ranking": op13_lexical_ranking,
 }
 
 # The others run iterated estimates, keyed hashes, tokenizers or JSON schemas, which
@@ -95,4 +101,5 @@ CHECKS = {
     "op4_near_duplicates": checks.NEAR_DUPLICATES,
     "op5_exact_search": checks.EXACT_SEARCH,
     "op10_licenses": checks.LICENSES,
+    "op13_lexical_ranking": checks.LEXICAL_RANKING,
 }

@@ -67,6 +67,37 @@ SELECT t.doc_id,
 FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id
 """
 
+_NO_TERM = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+LEXICAL_RANKING = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^{_NO_TERM}]+') AS w FROM documents
+), l AS (
+  SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM l
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^{_NO_TERM}]+')) AS t FROM benchmark
+), tf AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY t
+), part AS (
+  SELECT tf.r, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS part
+  FROM tf JOIN weight ON tf.t = weight.t JOIN l ON tf.r = l.r, totals
+), scored AS (
+  SELECT item_id, r, CAST(sum(part) AS BIGINT) AS score FROM i JOIN part ON i.t = part.t GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored JOIN l ON scored.r = l.r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def _licenses() -> str:
     known = ",\n  ".join(
