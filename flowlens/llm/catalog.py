@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import (
-    checks, exact_search, id_files, lexical_ranking, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls,
+    checks, exact_search, id_files, lexical_ranking, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls, whitening,
 )
 from flowlens.plans.workspace import work_folder
 
@@ -75,6 +75,11 @@ def op10_licenses(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.document_licenses(_table(spark, directory, "documents"))
 
 
+def op12_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    """Every vector whitened along the 32 leading components."""
+    return whitening.whiten(_table(spark, directory, "embeddings"))
+
+
 def op13_lexical_ranking(spark: SparkSession, directory: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical_ranking.rank_documents(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_id_files": op9_id_files,
     "op10_licenses": op10_licenses,
+    "op12_whitening": op12_whitening,
     "op13_lexical_ranking": op13_lexical_ranking,
 }
 
