@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import (
-    checks, exact_search, id_files, lexical_ranking, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls, whitening,
+    checks, exact_search, id_files, languages, lexical_ranking, licenses, line_windows, mixing, near_duplicates, packing, pseudonyms, quality_votes, tool_calls, whitening,
 )
 from flowlens.plans.workspace import work_folder
 
@@ -75,6 +75,11 @@ def op10_licenses(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.document_licenses(_table(spark, directory, "documents"))
 
 
+def op11_languages(spark: SparkSession, directory: str) -> DataFrame:
+    """Language of every document by character models learned from the labelled ones that are not held out."""
+    return languages.identify(_table(spark, directory, "documents"))
+
+
 def op12_whitening(spark: SparkSession, directory: str) -> DataFrame:
     """Every vector whitened along the 32 leading components."""
     return whitening.whiten(_table(spark, directory, "embeddings"))
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_id_files": op9_id_files,
     "op10_licenses": op10_licenses,
+    "op11_languages": op11_languages,
     "op12_whitening": op12_whitening,
     "op13_lexical_ranking": op13_lexical_ranking,
 }
