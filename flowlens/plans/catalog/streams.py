@@ -6,6 +6,9 @@ end and reads the result back.
 
 from __future__ import annotations
 
+import os
+from itertools import groupby
+
 from pyspark.sql import functions as F
 
 from flowlens.functions.records import json_text
@@ -111,6 +114,56 @@ def stream_ingest_alerts(spark, sf):
     return totals.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+@_r.query(f"""WITH {b.ALERTS}, good AS (SELECT * FROM al WHERE id % 17 <> 3)
+SELECT count(DISTINCT source_event_id) + count(*) FILTER (WHERE source_event_id IS NULL) AS alerts, count(DISTINCT source_event_id) AS named,
+  (SELECT count(*) FROM al WHERE id % 17 = 3) AS parse_errors FROM good""")
+def stream_tail_alerts(spark, sf):
+    """One growing file per sensor, followed over three runs: a line is cut short, then completed and appended to, then the file is replaced."""
+    folder = work_folder(spark, "stream-tail").removeprefix("file:")
+    rows = b.raw_alerts(spark, sf)
+    payload = F.to_json(F.struct("source_event_id", F.col("event_ts").alias("timestamp"), "src_ip", "protocol"))
+    lines = rows.select(
+        F.col("sensor_id").alias("file"), "id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("wave"),
+        F.when(F.col("id") % 17 == 3, F.lit("not json")).otherwise(payload).alias("value"),
+    )
+
+    def put(wave: int):
+        def write(part):
+            os.makedirs(f"{folder}/in", exist_ok=True)
+            for file, held in groupby(part, lambda r: r["file"]):
+                path = f"{folder}/in/{file}.jsonl"
+                new = path if wave < 2 else f"{folder}/{file}.next"
+                with open(new, "a") as handle:
+                    # The first run ends within a line; the second one completes it.
+                    handle.writelines(("" if wave == 2 else "\n") + r["value"] + ("\n" if wave == 2 else "") for r in held)
+                if wave == 2:
+                    os.replace(new, path)
+
+        return write
+
+    for wave in range(3):
+        part = lines.filter(F.col("wave") == wave).repartition("file").sortWithinPartitions("file", "id")
+        part.foreachPartition(put(wave))
+        if wave == 1:
+            part.groupBy("file").count().foreachPartition(_end_lines(folder))
+        _finish(rt.ingest_stream(spark, f"{folder}/in", "alert", f"{folder}/store", f"{folder}/checkpoint", drain=True, tail=True))
+    totals = rt.stored_alerts(spark, f"{folder}/store").agg(
+        F.count(F.lit(1)).alias("alerts"), F.count_distinct("source_event_id").alias("named")
+    )
+    errors = spark.read.parquet(f"{folder}/store/parse_errors").agg(F.count(F.lit(1)).alias("parse_errors"))
+    return totals.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def _end_lines(folder):
+    """Give the last line of every file of a partition its line end."""
+    def write(part):
+        for row in part:
+            with open(f"{folder}/in/{row['file']}.jsonl", "a") as handle:
+                handle.write("\n")
+
+    return write
+
+
 @_r.query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS v FROM documents)
 SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS numbers FROM (SELECT row_number() OVER () AS n FROM l)""")
 def jsonl_line_numbers(spark, sf):

@@ -1,6 +1,6 @@
 """Streaming form of validate -> route -> score, and of alert storage.
 
-Sources are landed, immutable files. Every sink folder is written per batch
+Sources are landed, immutable files, or growing ones that are tailed. Every sink folder is written per batch
 under ``batch_id=<n>`` in overwrite mode, so a batch that is retried after a
 failure replaces its own output.
 """
@@ -18,6 +18,7 @@ from flowlens.operators.contract import FeatureContract, quarantine_events, quar
 from flowlens.operators.scoring import prediction_events
 from flowlens.schemas import DEFAULT_SENSOR_ID
 from flowlens.sources.jsonl import number_lines, parse_anomalies, parse_lines, stream_lines
+from flowlens.sources.tail import tail_lines
 
 Scorer = Callable[[DataFrame], DataFrame]
 BATCH = "batch_id"
@@ -84,10 +85,11 @@ def ingest_stream(
     sensor_id: str = DEFAULT_SENSOR_ID,
     drain: bool = False,
     seconds: float = 1.0,
+    tail: bool = False,
 ) -> StreamingQuery:
-    """Landed sensor output of one kind (alert, anomaly, summary) into append-only tables.
+    """Sensor output of one kind (alert, anomaly, summary) into append-only tables.
 
-    Rows are appended, never rewritten; :func:`stored_alerts` and
+    ``source`` holds landed files or, with ``tail``, files that still grow. Rows are appended, never rewritten; :func:`stored_alerts` and
     :func:`stored_summaries` give the upserted state. Lines that are not JSON
     become anomalies.
     """
@@ -110,7 +112,8 @@ def ingest_stream(
         finally:
             parsed.unpersist()
 
-    return _start(stream_lines(spark, source), handle, checkpoint, drain, seconds)
+    lines = tail_lines(spark, source).drop("start") if tail else stream_lines(spark, source)
+    return _start(lines, handle, checkpoint, drain, seconds)
 
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
