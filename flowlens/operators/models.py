@@ -9,7 +9,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.metadata import binary_label
+from flowlens.operators.boosting import HistBoosting
 from flowlens.operators.evaluation import evaluate_at_threshold
 from flowlens.operators.multiclass import with_label_index
 from flowlens.operators.sampling import (
@@ -68,12 +68,26 @@ FOREST_STAGES = (25, 50, 75, 100, 125, 150)
 BOOSTING_STAGES = (50, 100, 150, 200, 250, 300)
 SCALING_SIZES = (2_000_000, 4_000_000, 8_000_000, None)
 
+BOOSTED = ("hist_gb", "catboost")
+BOOSTING_DEFAULTS = {
+    "hist_gb": {"max_iter": 200, "step_size": 0.05, "max_depth": 5, "min_instances": 20, "l2": 0.0, "symmetric": False},
+    "catboost": {"max_iter": 300, "step_size": 0.05, "max_depth": 8, "l2": 3.0, "symmetric": True},
+}
+BOOSTING_PARAMS = {
+    "maxIter": "max_iter", "stepSize": "step_size", "maxDepth": "max_depth", "maxBins": "max_bins",
+    "minInstancesPerNode": "min_instances", "l2": "l2",
+}
 SCALED = ("logreg", "mlp")
 WEIGHTLESS = ("mlp",)
 
 
+def boosting_settings(name: str, classes: int, params: dict) -> dict:
+    """Settings of a boosted family under the parameter names of the other estimators."""
+    return {"classes": classes, **BOOSTING_DEFAULTS[name], **{BOOSTING_PARAMS[k]: v for k, v in params.items()}}
+
+
 def classifier(name: str, inputs: int, classes: int = 2, seed: int = 42, weight: str | None = None, **params):
-    """Spark ML classifier standing for a model family; both boosted families use GBT."""
+    """Estimator standing for a model family; the boosted families grow free and symmetric trees."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if weight and name not in WEIGHTLESS:
         common["weightCol"] = weight
@@ -81,10 +95,8 @@ def classifier(name: str, inputs: int, classes: int = 2, seed: int = 42, weight:
         return LogisticRegression(**common, **{"maxIter": 100, **params})
     if name == "random_forest":
         return RandomForestClassifier(**common, seed=seed, **{"numTrees": 100, "maxDepth": 14, **params})
-    if name in ("hist_gb", "catboost"):
-        if classes != 2:
-            raise ValueError(f"{name} is binary only; use random_forest or logreg for {classes} classes")
-        return GBTClassifier(**common, seed=seed, **{"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, **params})
+    if name in BOOSTED:
+        return HistBoosting(**boosting_settings(name, classes, params), **({"weightCol": weight} if weight else {}))
     if name == "mlp":
         layers = params.pop("layers", [inputs, 64, 32, classes])
         return MultilayerPerceptronClassifier(**common, seed=seed, layers=layers, **{"maxIter": 100, **params})
