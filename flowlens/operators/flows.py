@@ -6,8 +6,10 @@ order) is picked at the very end and packets are never joined back to flows.
 
 Gaps between packets need an order. Instead of one window per flow, packets are
 windowed per (flow, time slice); each slice is reduced to one row, and the gaps
-between slices are added from those rows. A hot flow therefore spreads over as
-many tasks as it has slices, and each packet is shuffled once.
+between slices are added from those rows. Any cuts in time give the same flows.
+Capture windows with more than ``SLICE_PACKETS`` packets are cut at quantiles of
+their own times, and packets of the very time of a cut by their ordinals, so no
+slice of a flow is larger than a share of its window, however short that is.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import safe_ratio
 from flowlens.operators.ordering import number_rows
+from flowlens.operators.staging import lookup
+from flowlens.plans.workspace import discard, stored
 from flowlens.schemas import ACTIVE_GAP_SECONDS, FEATURE_COLUMNS
 
 TCP, UDP = 6, 17
@@ -27,6 +31,8 @@ FLAG_BITS = {
 COLLECTOR_ID = "offline-window-extractor"
 CAPTURE_MODE = "closed-window"
 
+SLICE_PACKETS = 1 << 18
+CUTS = 63  # most cuts of a window
 KEY = ("window_path", "end_a", "end_b", "protocol")
 SIDES = ("all", "a", "b")
 
@@ -71,9 +77,38 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def _slices(packets: DataFrame, slice_seconds: float, gap_seconds: float) -> DataFrame:
+def time_cuts(packets: DataFrame, slice_packets: int) -> DataFrame | None:
+    """(window_path, cuts): quantiles of the packet times of large windows; None if there is none."""
+    counts = packets.groupBy("window_path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_packets)
+    large = stored(counts.select("window_path"), "large-windows")
+    if large.isEmpty():
+        discard(large)
+        return None
+    shares = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    held = packets.select("window_path", "ts").join(lookup(large), "window_path")
+    cuts = held.groupBy("window_path").agg(F.array_distinct(F.percentile_approx("ts", shares, 10_000)).alias("cuts"))
+    return lookup(stored(cuts, "time-cuts"))
+
+
+def with_slice(packets: DataFrame, slice_seconds: float, slice_packets: int) -> DataFrame:
+    """Add ``slice``, a struct that follows the order of (ts, packet_ordinal) in a window."""
+    period = F.floor(F.col("ts") / F.lit(float(slice_seconds))).alias("period")
+    cuts = time_cuts(packets, slice_packets)
+    if cuts is None:
+        return packets.withColumn("slice", F.struct(period, F.lit(0).alias("part"), F.lit(0).cast("long").alias("share")))
+    joined = packets.join(cuts, "window_path", "left")
+    held = [F.get("cuts", F.lit(i)) for i in range(CUTS)]
+    before = sum((F.when(c < F.col("ts"), 1).otherwise(0) for c in held), F.lit(0))
+    at = F.coalesce(F.array_contains("cuts", F.col("ts")), F.lit(False))
+    # Packets of one and the same time are in order of their ordinals.
+    share = F.when(at, F.floor(F.col("packet_ordinal") / slice_packets)).otherwise(F.lit(0)).cast("long")
+    part = 2 * before + F.when(at, 1).otherwise(0)
+    return joined.withColumn("slice", F.struct(period, part.alias("part"), share.alias("share"))).drop("cuts")
+
+
+def _slices(keyed: DataFrame, slice_seconds: float, gap_seconds: float, slice_packets: int) -> DataFrame:
     """One row per (flow, time slice) with mergeable statistics."""
-    sliced = with_flow_key(packets).withColumn("slice", F.floor(F.col("ts") / F.lit(float(slice_seconds))))
+    sliced = with_slice(keyed, slice_seconds, slice_packets)
     inside = Window.partitionBy(*KEY, "slice").orderBy("ts", "packet_ordinal")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     gaps = sliced.withColumns({
@@ -307,19 +342,19 @@ def assemble_flows(
     slice_seconds: float = 3600.0,
     gap_seconds: float = ACTIVE_GAP_SECONDS,
     index_bucket: int = 1 << 20,
+    slice_packets: int = SLICE_PACKETS,
 ) -> DataFrame:
     """One row per bidirectional flow and window: endpoints, metadata, 72 features.
 
-    Flows are numbered per window in the order of their first packet, by ordinal
-    ranges of ``index_bucket`` packets.
+    Packets are decoded once, into a table with the columns that flows need; the
+    merged flows are stored too, before they are numbered per window in the order of
+    their first packet, by ordinal ranges of ``index_bucket`` packets.
     """
-    merged = _merge_slices(_slices(packets, slice_seconds, gap_seconds), gap_seconds)
-    # Bucket sizes for the numbering need only keys and ordinals, so they are
-    # counted from the packets instead of computing the flows twice.
-    starts = with_flow_key(packets).groupBy(*KEY).agg(F.min("packet_ordinal").alias("first_ordinal"))
+    keyed = stored(with_flow_key(packets), "packets")
+    merged = stored(_merge_slices(_slices(keyed, slice_seconds, gap_seconds, slice_packets), gap_seconds), "flows")
+    discard(keyed)
     numbered = number_rows(
-        merged, ["window_path"], F.floor(F.col("first_ordinal") / index_bucket),
-        [F.col("first_ordinal")], "flow_index", sizes_from=starts,
+        merged, ["window_path"], F.floor(F.col("first_ordinal") / index_bucket), [F.col("first_ordinal")], "flow_index",
     )
     fwd = F.when(F.col("forward_is_a"), F.col("end_a")).otherwise(F.col("end_b"))
     bwd = F.when(F.col("forward_is_a"), F.col("end_b")).otherwise(F.col("end_a"))

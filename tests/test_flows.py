@@ -146,3 +146,25 @@ def test_flow_export(spark):
     row = export.first()
     assert (row["FlowDuration"], row["Flow Packets/s"], row["Flow IAT Mean"], row["Protocol"]) == ("900", "3.333333", "0.45", "6")
     assert len(FEATURE_COLUMNS) == 72
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_hot_flow_in_a_short_window(spark, tied):
+    """A flow whose packets all fall into 2.5 seconds is cut into many slices, with the features of one scan."""
+    from flowlens.operators.flows import with_flow_key, with_slice
+
+    rng = np.random.default_rng(6)
+    times = np.sort(BASE + rng.uniform(0, 2.5, 6000).round(4)) if not tied else BASE + np.repeat([0.0, 0.7, 2.5], 2000)
+    order = np.argsort(np.arange(6000) + rng.integers(0, 40, 6000))  # nearly in order, as captures are
+    rows = [packet(int(o), float(times[i]), *((A, B) if rng.random() < 0.6 else (B, A)), payload=int(rng.integers(0, 900)))
+            for o, i in enumerate(order)]
+    rows += [packet(k, BASE + k, A, B, window="small") for k in range(5)]
+    packets = spark.createDataFrame(rows, PACKET_SCHEMA).repartition(7)
+    sizes = {}
+    for r in with_slice(with_flow_key(packets), 3600.0, 250).groupBy("window_path", "slice").count().collect():
+        sizes.setdefault(r["window_path"], []).append(r["count"])
+    assert len(sizes["small"]) == 1 and len(sizes["w"]) >= 20 and max(sizes["w"]) <= 400
+    whole = {r["window_path"]: r for r in assemble_flows(packets, gap_seconds=0.002).collect()}
+    for r in assemble_flows(packets, gap_seconds=0.002, slice_packets=250).collect():
+        for name in FEATURE_COLUMNS:
+            assert r[name] == pytest.approx(whole[r["window_path"]][name], rel=1e-9, abs=2e-6), name
