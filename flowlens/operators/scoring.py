@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import sigmoid
 from flowlens.functions.probabilities import argmax_label, margin, top1
+from flowlens.operators.boosting import MASK
 from flowlens.operators.staging import compute_once
 from flowlens.schemas import KNOWN_ATTACK_FAMILIES
 
@@ -80,7 +81,8 @@ def score_two_stage(
     """Binary score, then family columns on alert rows, in one pass over the input.
 
     Family features are only needed on alert rows: a null there fails the job,
-    while benign rows get a neutral value and their family result is blank.
+    while benign rows get a neutral value and their family result is blank. Boosted
+    family models score alert rows only; those of Spark ML have no way to skip a row.
     Splitting the rows into two branches would read and score everything twice.
     """
     config.require_family_thresholds()
@@ -104,7 +106,7 @@ def score_two_stage(
 
     wanted = [c for c in df.columns if not config.family_features or c in config.family_features]
     second = family_model.transform(
-        scored.select(*kept.values(), *names, *[stage2_input(c) for c in wanted])
+        scored.select(*kept.values(), *names, alert.alias(MASK), *[stage2_input(c) for c in wanted])
     )
     staged = compute_once(second, {"__probability": vector_to_array("probability")})
     columns = family_columns(alert, F.col("__probability"), config)

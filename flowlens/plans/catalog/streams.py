@@ -7,6 +7,7 @@ end and reads the result back.
 from __future__ import annotations
 
 import os
+import struct
 from itertools import groupby
 
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from flowlens.plans.workspace import work_folder
 from flowlens.schemas import FAMILY_ORDER
 from flowlens.sources import jsonl, tables
 from flowlens.sources.flow_csv import flow_export
-from flowlens.sources.pcap import split_captures
+from flowlens.sources.pcap import read_packets, split_captures
 from flowlens.streaming import incidents as si
 from flowlens.streaming import runtime as rt
 
@@ -208,6 +209,30 @@ def capture_file_packets(spark, sf):
     return packets.withColumn("event_id", F.col("window_path").cast("long")).drop("window_path", "ts")
 
 
+@_r.query(f"""WITH d AS ({FLOW_CHECKS["packet_decoding"]}) SELECT protocol, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes, CAST(sum(payload_length) AS BIGINT) AS payload,
+  count(DISTINCT src_ip || ':' || src_port) AS senders FROM d GROUP BY 1""")
+def capture_range_packets(spark, sf):
+    """All frames in eight capture files, read back in ranges of 10,000 bytes that cut records anywhere."""
+    folder = work_folder(spark, "captures").removeprefix("file:")
+
+    def write(part):
+        os.makedirs(folder, exist_ok=True)
+        for file, rows in groupby(part, lambda r: r["file"]):
+            with open(f"{folder}/{file}.pcap", "wb") as handle:
+                handle.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                for r in rows:
+                    seconds, micros = divmod(round(r["ts"] * 1e6), 1_000_000)
+                    handle.write(struct.pack("<IIII", seconds, micros, len(r["frame"]), len(r["frame"])) + bytes(r["frame"]))
+
+    frames = _frames(spark, sf).withColumn("file", F.pmod("packet_ordinal", F.lit(8)))
+    frames.repartition("file").sortWithinPartitions("file", "packet_ordinal").foreachPartition(write)
+    packets = read_packets(spark, folder, range_bytes=10_000)
+    return packets.groupBy("protocol").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("packet_length").alias("bytes"), F.sum("payload_length").alias("payload"),
+        F.count_distinct(F.concat("src_ip", F.lit(":"), "src_port")).alias("senders"),
+    )
+
+
 @_r.query(f"""WITH {_ID} SELECT source_flow_id AS flow_id, CAST(src_port AS VARCHAR) AS "SrcPort", 'offline-window-extractor' AS collector_id,
   CASE protocol WHEN 6 THEN 'tcp' ELSE 'udp' END AS transport_family, CAST(protocol AS VARCHAR) AS "Protocol" FROM ids""")
 def flow_csv_export(spark, sf):

@@ -8,6 +8,7 @@ from flowlens.operators.adapter import PRIMARY_PROFILE
 from flowlens.operators.flows import assemble_flows
 from flowlens.schemas import FEATURE_COLUMNS, PACKET_SCHEMA
 from flowlens.sources.flow_csv import flow_export
+from flowlens.sources import pcap
 from flowlens.sources.pcap import read_packets, split_records
 
 BASE = 1700000000.0
@@ -168,3 +169,49 @@ def test_hot_flow_in_a_short_window(spark, tied):
     for r in assemble_flows(packets, gap_seconds=0.002, slice_packets=250).collect():
         for name in FEATURE_COLUMNS:
             assert r[name] == pytest.approx(whole[r["window_path"]][name], rel=1e-9, abs=2e-6), name
+
+
+def _ranged(path, size, range_bytes):
+    """Frames of a file through guessed and chained ranges, without Spark."""
+    found, at, ordinal = [], pcap.FILE_HEADER, 0
+    for low in range(0, size, range_bytes):
+        capture, high = pcap.Capture(path), low + range_bytes
+        if low:
+            start = capture.resynchronised(low, high)
+            if start is not None and at < high and not nested:
+                assert start == at
+        else:
+            nested = b"inner" in open(path, "rb").read()
+        if at < high:
+            end, n = capture.span(at, high)
+            found += list(capture.records(at, high, ordinal))
+            at, ordinal = end, ordinal + n
+    return found
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 61, 100, 333, 5000])
+def test_capture_ranges_of_any_size(spark, tmp_path, range_bytes):
+    rng = np.random.default_rng(2)
+    frames = [rng.bytes(int(rng.integers(0, 90))) for _ in range(40)]
+    # A payload that is itself a capture, with a tail that only looks like records.
+    frames.insert(9, b"inner" + capture([b"x" * 20] * 20))
+    content = capture(frames)
+    path = tmp_path / "one.pcap"
+    path.write_bytes(content)
+    assert _ranged(str(path), len(content), range_bytes) == list(split_records(content))
+    if range_bytes in (61, 333):
+        (tmp_path / "two.pcap").write_bytes(capture(frames[:3], ">", True))
+        (tmp_path / "none.pcap").write_bytes(capture([]))
+        rows = pcap.read_frames(spark, str(tmp_path), range_bytes=range_bytes).collect()
+        by_file = {}
+        for r in rows:
+            by_file.setdefault(r.window_path.rsplit("/", 1)[1], []).append((r.packet_ordinal, r.ts, bytes(r.frame)))
+        assert sorted(by_file["one.pcap"]) == list(split_records(content))
+        assert sorted(by_file["two.pcap"]) == list(split_records(capture(frames[:3], ">", True))) and "none.pcap" not in by_file
+
+
+@pytest.mark.parametrize("content", [b"\0" * 30, capture([frame(A, B)])[:-1], capture([frame(A, B)] * 9)[:-60]])
+def test_broken_capture_files_fail(spark, tmp_path, content):
+    (tmp_path / "bad.pcap").write_bytes(content)
+    with pytest.raises(Exception, match="pcap"):
+        pcap.read_frames(spark, str(tmp_path), range_bytes=64).count()
