@@ -7,6 +7,8 @@ import random
 import time
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -14,11 +16,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.metadata import binary_label
-from flowlens.operators.boosting import HistBoosting
+from flowlens.functions.numeric import sigmoid
+from flowlens.operators.boosting import BoostedModel, HistBoosting, Tree
 from flowlens.operators.evaluation import evaluate_at_threshold
 from flowlens.operators.multiclass import with_label_index
 from flowlens.operators.sampling import (
@@ -187,20 +191,71 @@ def random_search(
     return table.join(trial_metrics(scored_parts, "trial_id", split, "y_true", "y_score"), "trial_id")
 
 
+def staged_scores(model: PipelineModel, df: DataFrame, stages: Sequence[int]) -> Column:
+    """Positive-class scores of the first trees of a fitted ensemble, one per stage, from vector column ``features``."""
+    ensemble = model.stages[-1]
+    features = vector_to_array("features")
+    if isinstance(ensemble, BoostedModel):
+        return F.transform(ensemble.staged_margins(stages)(features), lambda m: sigmoid(m[0]))
+    forest = forest_of(ensemble)
+
+    @F.pandas_udf("array<double>")
+    def score(rows: pd.Series) -> pd.Series:
+        values = np.stack(rows.to_list()).astype(float) if len(rows) else np.zeros((0, 1))
+        total, out, at = np.zeros(len(values)), [], 0
+        for stage in stages:
+            for tree in forest[at:stage]:
+                total += tree.value[tree.nodes(values, tree.threshold)]
+            at = max(at, stage)
+            out.append(total / min(stage, len(forest)))
+        return pd.Series(np.stack(out, axis=1).tolist(), dtype=object)
+
+    return score(features)
+
+
+def forest_of(model) -> list[Tree]:
+    """Trees of a fitted binary forest, with the positive share of each leaf."""
+    depth = max((t.depth for t in model.trees), default=0)
+
+    def copied(source) -> Tree:
+        tree = Tree.empty(depth)
+        waiting = [(1, source._call_java("rootNode"))]
+        while waiting:
+            place, node = waiting.pop()
+            if node.subtreeDepth() == 0:
+                stats = list(node.impurityStats().stats())
+                tree.value[place] = stats[1] / sum(stats)
+            else:
+                split = node.split()
+                tree.feature[place], tree.threshold[place] = split.featureIndex(), split.threshold()
+                waiting += [(2 * place, node.leftChild()), (2 * place + 1, node.rightChild())]
+        return tree
+
+    return [copied(t) for t in model.trees]
+
+
 def learning_curve(
     train: DataFrame, probes: dict[str, DataFrame], name: str, stages: Sequence[int], features: Sequence[str],
     label: str = "derived_label_binary", seed: int = 42, **params,
 ) -> DataFrame:
-    """F1 of fixed probe sets at growing stage counts; columns stage_index, train_f1, val_f1."""
+    """F1 of fixed probe sets at growing stage counts; columns stage_index, train_f1, val_f1.
+
+    One fit of the largest stage: a smaller stage is the ensemble of its first
+    trees, and all stages are scored in one pass over each probe set.
+    """
     size = "numTrees" if name == "random_forest" else "maxIter"
+    model = train_binary(train, name, features, label, seed, **{**params, size: max(stages)})
+    assembler, numbers = model.stages[0], F.array(*[F.lit(s) for s in stages])
     parts = None
-    for index, stage in enumerate(stages):
-        model = train_binary(train, name, features, label, seed, **{**params, size: stage})
-        for probe, rows in probes.items():
-            part = scored(model, rows, label).withColumns({
-                "stage_index": F.lit(index), "stage": F.lit(stage), "probe": F.lit(probe), "model": F.lit(name),
-            })
-            parts = part if parts is None else parts.unionByName(part)
+    for probe, rows in probes.items():
+        scores = assembler.transform(rows).select(
+            binary_label(F.col(label)).alias("y_true"), F.posexplode(F.arrays_zip(numbers.alias("stage"), staged_scores(model, rows, stages).alias("score")))
+        )
+        part = scores.select(
+            "y_true", F.col("col.score").cast("float").alias("y_score"), F.col("pos").alias("stage_index"), F.col("col.stage").alias("stage"),
+            F.lit(probe).alias("probe"), F.lit(name).alias("model"),
+        )
+        parts = part if parts is None else parts.unionByName(part)
     metrics = evaluate_at_threshold(parts, ["model", "stage_index", "stage", "probe"], "y_true", "y_score", 0.5)
     return metrics.groupBy("model", "stage_index", "stage").agg(*[
         F.max(F.when(F.col("probe") == probe, F.col("f1"))).alias(f"{probe}_f1") for probe in probes

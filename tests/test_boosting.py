@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlens.operators import boosting as bo
@@ -136,3 +136,21 @@ def test_odd_features(spark):
     assert margins[0] > 0 > margins[1] and margins[1] == margins[2]
     with pytest.raises(ValueError, match="label 5"):
         bo.fit(df.withColumn("label", F.lit(5)), bo.Settings(), 2)
+
+
+@pytest.mark.parametrize("name", ["random_forest", "hist_gb"])
+def test_curve_from_one_fit(spark, name):
+    """Every stage scores as the ensemble of that many trees; the last one as the model itself."""
+    df = _labelled(spark, 600).withColumn("derived_label_binary", F.when(F.col("y") % 2 == 1, "Attack").otherwise("Benign"))
+    size = {"random_forest": {"numTrees": 6}, "hist_gb": {"maxIter": 6}}[name]
+    model = md.train_binary(df, name, ["a", "b", "c"], maxDepth=4, **size)
+    rows = model.stages[0].transform(df)
+    whole = model.stages[-1].transform(rows).select("a", vector_to_array("probability")[1].alias("p"), md.staged_scores(model, rows, (1, 3, 6)).alias("s"))
+    found = whole.collect()
+    assert max(abs(r["p"] - r["s"][2]) for r in found) < 1e-9 and any(abs(r["s"][0] - r["s"][1]) > 1e-3 for r in found)
+    if name == "random_forest":
+        first = model.stages[-1].trees[0].transform(rows).select("a", vector_to_array("probability")[1].alias("p"))
+        one = {r["a"]: r["p"] for r in first.collect()}
+        assert max(abs(one[r["a"]] - r["s"][0]) for r in found) < 1e-9
+    curve = {r["stage"]: r for r in md.learning_curve(df, {"train": df, "val": df.limit(300)}, name, (1, 3, 6), ["a", "b", "c"], maxDepth=4).collect()}
+    assert sorted(curve) == [1, 3, 6] and curve[6]["train_f1"] >= curve[1]["train_f1"] - 0.02 and curve[6]["stage_index"] == 2

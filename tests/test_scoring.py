@@ -56,8 +56,9 @@ def test_two_stage_model(spark):
     alert_gap = df.withColumn("f2", F.when(F.col("id") % 2 == 0, F.col("f2")))
     with pytest.raises(Exception, match="stage 2 feature f2"):
         sc.score_two_stage(alert_gap, first, family, config).collect()
+    assert md.classifier("catboost", 2, classes=3).settings.symmetric and not md.classifier("hist_gb", 2).settings.symmetric
     with pytest.raises(ValueError):
-        md.classifier("catboost", 2, classes=3)
+        md.classifier("svm", 2)
 
 
 def test_zero_division_and_absent_classes(spark):
