@@ -6,7 +6,7 @@ often each rule is right on good and on bad documents; the posterior
 probability that a document is good then replaces "all rules must pass".
 
 The counts and votes are DataFrame expressions. The estimate needs only how
-often each combination of votes occurs, at most 3^8 rows whatever the corpus.
+often each combination of votes occurs, at most 3^9 rows whatever the corpus.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 null id is kept as it is; equal rows get equal verdicts; an empty table gives
@@ -27,8 +27,9 @@ from flowlens.plans.workspace import stored
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_RIGHT_ON_GOOD = 0.9995
-RULES = ("symbols", "repeats", "line_copies", "variety", "capitals", "exclamation", "word_length", "line_ends")
+RULES = (
+    "symbols", "repeats", "line_copies", "variety", "capitals", "exclamation", "word_length", "line_ends", "symbol_density",
+)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_ended_lines", "n_distinct_words", "n_letters", "n_capitals", "n_exclamations")
 
@@ -111,6 +112,7 @@ def rule_votes(c: dict[str, Column]) -> dict[str, Column]:
             (c["word_chars"] >= 4 * n) & (c["word_chars"] <= 7 * n),
         ),
         "line_ends": _vote(c["n_ended_lines"] * 10 < c["n_lines"], c["n_ended_lines"] * 2 >= c["n_lines"]),
+        "symbol_density": _vote(c["n_symbols"] * 200 > 3 * c["word_chars"], c["n_symbols"] * 1000 <= 3 * c["word_chars"]),
     }
 
 
@@ -139,10 +141,11 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> VoteMod
     """Expectation-maximisation over vote combinations and how often each occurs.
 
     It starts by taking every document that some rule rejects for a bad one,
-    then lets the votes decide. One pseudo-vote of each kind per rule and class
-    keeps every probability off zero and one. Rules reject rarely by design, so
-    each is held to keep ``MIN_RIGHT_ON_GOOD`` of the good documents it votes
-    on: a common fault cannot turn into a trait of good documents.
+    then lets the votes decide: a rule whose rejections no other rule shares
+    turns out to reject good documents, and is outvoted from then on. Faults are
+    seen by two rules where they can be (symbols per word and per character), so
+    that agreement tells faults from odd but good documents. One pseudo-vote of
+    each kind per rule and class keeps every probability off zero and one.
     """
     rows = sorted(patterns.items())
     width = len(RULES)
@@ -157,10 +160,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> VoteMod
             any_good = 2 + sum(g * n for g, (v, n) in zip(good, rows) if v[j])
             drop_bad = 1 + sum((1 - g) * n for g, (v, n) in zip(good, rows) if v[j] < 0)
             any_bad = 2 + sum((1 - g) * n for g, (v, n) in zip(good, rows) if v[j])
-            keep = max(MIN_RIGHT_ON_GOOD, keep_good / any_good)
-            # The rejections of bad documents stay at least as frequent as those of good ones.
-            on_good.append(keep)
-            on_bad.append(max(1 - keep, drop_bad / any_bad))
+            on_good.append(keep_good / any_good)
+            on_bad.append(drop_bad / any_bad)
         fitted = VoteModel(prior, tuple(on_good), tuple(on_bad))
         moved = [fitted.posterior(v) for v, _ in rows]
         done = max((abs(a - b) for a, b in zip(moved, good)), default=0.0) < 1e-9

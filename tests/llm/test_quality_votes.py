@@ -100,7 +100,52 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("votes,above", [((1,) * 8, True), ((-1, 1, 1, 1, 1, 1, 1, 1), False)])
-def test_one_rejection_outweighs_agreement(votes, above):
-    patterns = {(1,) * 8: 900, (-1, 1, 1, 1, 1, 1, 1, 1): 40, (1, 1, 1, 1, -1, -1, -1, 1): 60}
-    assert (qv.estimate(patterns).posterior(votes) >= 0.5) is above
+def _plain_em(patterns):
+    """Dawid and Skene's estimate for two classes with abstentions, over documents one by one."""
+    rows = [v for v, n in patterns.items() for _ in range(n)]
+    good = [0.0 if -1 in v else 1.0 if 1 in v else 0.5 for v in rows]
+    for _ in range(60):
+        prior = (1 + sum(good)) / (2 + len(rows))
+        scores = [prior / (1 - prior)] * len(rows)
+        for j in range(len(rows[0])):
+            keep = [2 * [0.0], 2 * [0.0]]
+            for g, v in zip(good, rows):
+                if v[j]:
+                    keep[1][v[j] > 0] += g
+                    keep[0][v[j] > 0] += 1 - g
+            p, q = ((1 + k[1]) / (2 + sum(k)) for k in (keep[1], keep[0]))
+            scores = [s * (p / q if v[j] > 0 else (1 - p) / (1 - q) if v[j] < 0 else 1) for s, v in zip(scores, rows)]
+        good = [s / (1 + s) for s in scores]
+    return {v: g for v, g in zip(rows, good)}
+
+
+def test_agrees_with_a_plain_estimate():
+    one = lambda *rejecting, abstaining=(): tuple(-1 if j in rejecting else 0 if j in abstaining else 1 for j in range(9))
+    patterns = {one(): 700, one(0, 8): 60, one(0, 8, 7): 9, one(1): 12, one(1, abstaining=(2,)): 8, one(7): 4, one(3, 7): 3, (0,) * 9: 5}
+    model, plain = qv.estimate(patterns), _plain_em(patterns)
+    for votes in patterns:
+        assert model.posterior(votes) == pytest.approx(plain[votes], abs=1e-6)
+    # Agreeing rejections count; one that no other rule shares does not.
+    assert model.posterior(one(0, 8)) < 0.5 < model.posterior(one(1))
+
+
+def test_posterior_beats_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    measured = docs.join(labels, "doc_id").select("quality", F.inline(F.transform(qv.text_counts(F.col("text")), lambda c: F.struct(c.alias("c")))))
+    counts = {k: F.col("c")[k] for k in (*qv.COUNTS, *qv.EXTRA)}
+    voted = measured.filter(~qv.base_failed(counts)).select("quality", *[v.alias(k) for k, v in qv.rule_votes(counts).items()])
+    rows = [(tuple(r[k] for k in qv.RULES), r["quality"], r["count"]) for r in voted.groupBy("quality", *qv.RULES).count().collect()]
+    patterns = {}
+    for votes, _, n in rows:
+        patterns[votes] = patterns.get(votes, 0) + n
+    model = qv.estimate(patterns)
+
+    def f1(rejects):
+        hit = sum(n for v, q, n in rows if q == 0 and rejects(v))
+        return 2 * hit / (sum(n for v, _, n in rows if rejects(v)) + sum(n for _, q, n in rows if q == 0))
+
+    by_model, by_all = (lambda v: model.posterior(v) < 0.5), (lambda v: -1 in v)
+    assert f1(by_model) > f1(by_all) > 0.97
+    assert sum(n for v, _, n in rows if by_model(v) != by_all(v)) >= 10
+    assert not any(by_model(v) for v, q, _ in rows if q == 1)
