@@ -8,11 +8,11 @@ driver ever sees, whatever the number of documents.
 
 The search works on the histogram. The largest piece left opens a sequence, the
 undominated ways to fill its rest are enumerated (a filling is dominated if
-another holds, item for item, at least as much), best fit first, and the chosen
-one is used as often as the counts allow. The first descent gives a best-fit
-incumbent; branches whose waste already forces as many sequences as the
-incumbent are pruned, and the search ends when the incumbent meets the lower
-bound or after ``NODES`` choices.
+another holds, item for item, at least as much), best fit first, over numbers of
+pieces per length, and the chosen one is used as often as the counts allow, or
+once. The first descent gives a best-fit incumbent; branches whose waste already
+forces as many sequences as the incumbent are pruned, and the search ends when
+the incumbent meets the lower bound or after the choices of ``ROUNDS``.
 
 The chosen fillings are turned into ranges: the r-th piece of a length has its
 sequence and offset by a look-up in a table of at most ``capacity`` rows. Pieces
@@ -21,11 +21,16 @@ common, is gathered in one task.
 
 Defined cases: null and empty texts hold the end id only; repeated rows are
 packed as often as they occur; null ids are kept; an empty table gives an empty
-result; extra columns are not returned.
+result; extra columns are not returned by ``pack_documents``; in ``pack_pieces`` input
+columns named as the two it adds are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +40,8 @@ from flowlens.operators.ordering import number_rows
 from flowlens.plans.workspace import stored
 
 CAPACITY = 1024
-NODES = 20_000
-WIDTH = 6
-TRIES = 400
+ROUNDS = ((6, 2_000), (16, 2_000), (64, 4_000))  # fillings a choice, choices
+KEPT = 64  # fillings that later ones are compared with
 BUCKET_ROWS = 1_000
 
 
@@ -68,50 +72,79 @@ def _holds(larger: tuple[int, ...], smaller: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first, larger items first."""
+def _reachable(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each place in ``sizes``, the sums up to ``room`` that this and later sizes can make, as bits."""
+    limit = (1 << (room + 1)) - 1
+    reach = [1]
+    for size in reversed(sizes):
+        bits, left, step = reach[-1], min(counts[size], room // size), 1
+        while left:
+            step = min(step, left)
+            bits |= bits << (size * step) & limit
+            left -= step
+            step *= 2
+        reach.append(bits)
+    return reach[::-1]
+
+
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room``, least waste first, larger items first; all of them, one by one.
+
+    A length is taken any number of times at once, and only where the rest can
+    still reach the wanted sum, so the search meets no dead end.
+    """
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    tries = 0
-
-    def extend(chosen: tuple[int, ...], left: int, at: int) -> None:
-        nonlocal tries
-        grown = False
-        if left in counts and counts[left] > chosen.count(left) and (not chosen or left <= chosen[-1]):
-            found.append((*chosen, left))
-            tries += 1
+    reach = _reachable(counts, sizes, room)
+
+    def exact(left: int, at: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield ()
             return
         for k in range(at, len(sizes)):
             size = sizes[k]
-            if size > left or chosen.count(size) >= counts[size]:
-                continue
-            if tries >= TRIES or len(found) >= 4 * WIDTH:
-                break
-            grown = True
-            tries += 1
-            extend((*chosen, size), left - size, k)
-        if not grown and chosen:
-            found.append(chosen)
+            for count in range(min(counts[size], left // size), 0, -1):
+                if reach[k + 1] >> (left - count * size) & 1:
+                    for rest in exact(left - count * size, k + 1):
+                        yield (size,) * count + rest
 
-    extend((), room, 0)
     best: list[tuple[int, ...]] = []
-    for filling in sorted(set(found), key=lambda f: (-sum(f), [-x for x in f])):
-        if len(best) < WIDTH and not (len(filling) <= 6 and any(len(b) <= 6 and _holds(b, filling) for b in best)):
-            best.append(filling)
-    return best or [()]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences), as few sequences as the search finds."""
-    bound = lower_bound(counts, capacity)
-    incumbent: list[tuple[tuple[int, ...], int]] | None = None
-    fewest = 0
-    spent = 0
-    # A frame: counts left, volume left, plan so far, sequences so far, choices still open.
+    for total in range(room, 0, -1):
+        if reach[0] >> total & 1:
+            for filling in exact(total, 0):
+                if len(filling) > 6 or not any(_holds(b, filling) for b in best):
+                    if len(filling) <= 6 and len(best) < KEPT:
+                        best.append(filling)
+                    yield filling
+    if not sizes:
+        yield ()
+
+
+def _search(
+    counts: dict[int, int], capacity: int, bound: int, width: int, nodes: int,
+    incumbent: list[tuple[tuple[int, ...], int]] | None,
+) -> list[tuple[tuple[int, ...], int]]:
+    """A packing at least as good as the incumbent: depth first, ``width`` fillings a choice, ``nodes`` choices."""
+    fewest = sum(times for _, times in incumbent) if incumbent is not None else 0
     start = {s: n for s, n in counts.items() if n > 0}
-    volume = sum(s * n for s, n in start.items())
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list] = [[start, volume, 0, None]]
+    spent = 0
+
+    def options(left: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        largest = max(left)
+        rest = dict(left)
+        rest[largest] -= 1
+        found = []
+        for filling in islice(fillings(rest, capacity - largest), width):
+            chosen = (largest, *filling)
+            most = min(left[s] // n for s, n in Counter(chosen).items())
+            yield chosen, most
+            if most > 1:
+                found.append(chosen)
+        # A filling may also be used once only.
+        yield from ((chosen, 1) for chosen in found)
+
+    # A frame: counts left, volume left, sequences so far, choices still open.
+    stack: list[list] = [[start, sum(s * n for s, n in start.items()), 0, None]]
     while stack:
         left, volume, used, choices = stack[-1]
         if not left:
@@ -119,46 +152,56 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                 incumbent, fewest = list(path), used
             if fewest <= bound:
                 break
-            stack.pop()
-            if path:
-                path.pop()
-            continue
-        if choices is None:
-            largest = max(left)
-            rest = dict(left)
-            rest[largest] -= 1
-            choices = iter([(largest, *f) for f in fillings(rest, capacity - largest)])
-            stack[-1][3] = choices
         chosen = None
-        if incumbent is None or used + -(-volume // capacity) < fewest:
-            if incumbent is None or spent < nodes:
-                chosen = next(choices, None)
+        if left and (incumbent is None or (used + -(-volume // capacity) < fewest and spent < nodes)):
+            if choices is None:
+                choices = stack[-1][3] = options(left)
+            chosen = next(choices, None)
         if chosen is None:
             stack.pop()
             if path:
                 path.pop()
             continue
         spent += 1
-        need = {s: chosen.count(s) for s in set(chosen)}
-        times = min(left[s] // n for s, n in need.items())
-        after = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
-        path.append((chosen, times))
-        stack.append([after, volume - times * sum(chosen), used + times, None])
+        lengths, times = chosen
+        after = dict(left)
+        for size, n in Counter(lengths).items():
+            after[size] -= n * times
+            if not after[size]:
+                del after[size]
+        path.append(chosen)
+        stack.append([after, volume - times * sum(lengths), used + times, None])
     return incumbent or []
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int, int]]]:
-    """Per length: (first rank, rank after the last, sequence of the first, offset)."""
+def bin_completion(
+    counts: dict[int, int], capacity: int = CAPACITY, rounds: Sequence[tuple[int, int]] = ROUNDS,
+) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in one sequence, how many such sequences), as few sequences as the search finds.
+
+    While the gap to the lower bound is open the search starts again from the
+    packing found, with more fillings a choice and more choices.
+    """
+    bound, plan = lower_bound(counts, capacity), None
+    for width, nodes in rounds:
+        plan = _search(counts, capacity, bound, width, nodes, plan)
+        if sum(times for _, times in plan) <= bound:
+            break
+    return plan or []
+
+
+def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """Per length: (first rank, rank after the last, first sequence, offset of the first, pieces a sequence)."""
     taken: dict[int, int] = {}
-    ranges: dict[int, list[tuple[int, int, int, int]]] = {}
+    ranges: dict[int, list[tuple[int, int, int, int, int]]] = {}
     sequence = 0
     for lengths, times in plan:
         offset = 0
-        for size in lengths:
+        for size, n in Counter(lengths).items():
             first = taken.get(size, 0)
-            ranges.setdefault(size, []).append((first, first + times, sequence, offset))
-            taken[size] = first + times
-            offset += size
+            ranges.setdefault(size, []).append((first, first + times * n, sequence, offset, n))
+            taken[size] = first + times * n
+            offset += size * n
         sequence += times
     return ranges
 
@@ -171,8 +214,8 @@ def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPAC
         raise ValueError(f"lengths must be from 1 to {capacity}")
     ranges = slots(bin_completion(counted, capacity))
     table = spark.createDataFrame(
-        [(s, [dict(zip(("low", "high", "sequence", "offset"), r)) for r in rows]) for s, rows in ranges.items()],
-        "of long, ranges array<struct<low: long, high: long, sequence: long, offset: long>>",
+        [(s, [dict(zip(("low", "high", "sequence", "offset", "each"), r)) for r in rows]) for s, rows in ranges.items()],
+        "__of long, __ranges array<struct<low: long, high: long, sequence: long, offset: long, each: long>>",
     )
     rank, spot = fresh(pieces, "__rank"), fresh(pieces, "__spot")
     buckets = max(counted.values(), default=0) // BUCKET_ROWS + 1
@@ -180,15 +223,20 @@ def pack_pieces(pieces: DataFrame, length: str = "length", capacity: int = CAPAC
     numbered = number_rows(
         pieces, [length], F.pmod(F.xxhash64(*everything), F.lit(buckets)), [F.xxhash64(*everything), *everything], rank
     )
+    of, held = fresh(numbered, "__of"), fresh(numbered, "__ranges")
+    table = table.toDF(of, held)
     # One row per length: at most ``capacity`` rows, whatever the number of documents.
-    placed = numbered.join(F.broadcast(table), quoted(length) == F.col("of")).withColumn(
+    placed = numbered.join(F.broadcast(table), quoted(length) == quoted(of)).withColumn(
         spot,
-        F.element_at(F.filter("ranges", lambda r: (r["low"] <= quoted(rank)) & (quoted(rank) < r["high"])), 1),
+        F.element_at(F.filter(quoted(held), lambda r: (r["low"] <= quoted(rank)) & (quoted(rank) < r["high"])), 1),
     )
+    place = quoted(rank) - quoted(spot)["low"]
+    # An input column of either name makes way.
+    kept = [quoted(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     return placed.select(
-        *everything,
-        (quoted(spot)["sequence"] + quoted(rank) - quoted(spot)["low"]).alias("sequence_id"),
-        quoted(spot)["offset"].alias("offset"),
+        *kept,
+        (quoted(spot)["sequence"] + F.floor(place / quoted(spot)["each"])).cast("long").alias("sequence_id"),
+        (quoted(spot)["offset"] + F.pmod(place, quoted(spot)["each"]) * quoted(length)).cast("long").alias("offset"),
     )
 
 

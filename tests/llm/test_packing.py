@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -57,6 +58,47 @@ def test_large_histogram_reaches_the_volume_bound():
     assert used <= packing.lower_bound(counts, 1024) * 1.0001 + 1
 
 
+@pytest.mark.parametrize("counts,fewest", [
+    ({1: 2048}, 2), ({1: 1_000_000, 1000: 5}, 982), ({2: 5000}, 10), ({323: 1, 322: 1, 162: 2, 700: 3}, 3),
+    ({1: 10**9, 1024: 7}, 976_570), ({}, 0),
+])
+def test_many_small_pieces_meet_the_bound(counts, fewest):
+    plan = packing.bin_completion(counts)
+    assert sum(times for _, times in plan) == fewest == packing.lower_bound(counts, 1024)
+    assert all(sum(lengths) <= 1024 for lengths, _ in plan)
+    packed = {}
+    for lengths, times in plan:
+        for size in lengths:
+            packed[size] = packed.get(size, 0) + times
+    assert packed == counts
+
+
+def test_planted_perfect_packings():
+    """Forty full sequences cut at random are put together again."""
+    rng = random.Random(1)
+    for _ in range(3):
+        items = []
+        for _ in range(40):
+            cuts = sorted(rng.sample(range(1, 1024), rng.randint(1, 5)))
+            items += [b - a for a, b in zip([0, *cuts], [*cuts, 1024])]
+        counts = {s: items.count(s) for s in items}
+        assert sum(times for _, times in packing.bin_completion(counts)) == 40
+
+
+def test_fillings_are_all_and_in_order():
+    found = list(packing.fillings({7: 1, 5: 2, 3: 3, 2: 1}, 12))
+    assert found[0] == (7, 5) and sum(found[0]) == 12 and (5, 5, 2) not in found  # it fits into the first
+    sums = [sum(f) for f in found]
+    assert sums == sorted(sums, reverse=True) and list(packing.fillings({9: 4}, 5)) == [()]
+
+
+def test_clashing_column_names(spark):
+    pieces = spark.createDataFrame([(k, 300, 5, 6, 7) for k in range(7)], "k int, length long, OFFSET int, `of` int, ranges int")
+    packed = packing.pack_pieces(pieces)
+    assert packed.columns == ["k", "length", "of", "ranges", "sequence_id", "offset"]
+    assert sorted(r["offset"] for r in packed.collect()) == [0, 0, 0, 300, 300, 600, 600]
+
+
 def test_dominance():
     assert packing._holds((5,), (3, 2)) and not packing._holds((3, 2), (5,))
     assert packing._holds((4, 3), (3, 3)) and not packing._holds((3, 3), (4,))
