@@ -31,72 +31,85 @@ CLOSED_STATES = ("resolved", "false_positive")
 
 # ---- field extraction ------------------------------------------------------
 
-def extract_field(payload: Column, *keys: str) -> Column:
-    """First non-null of the keys in the payload, then in its ``passthrough``."""
-    return F.coalesce(
-        *[json_text(payload, k) for k in keys], *[json_text(payload, "passthrough", k) for k in keys]
-    )
+_STRICT = {"allowSingleQuotes": "false"}
+
 
+class _Payload:
+    """Fields of a payload that was parsed once, into columns of :func:`_parsed`."""
 
-def extract_text(payload: Column, *keys: str) -> Column:
-    return text_or_null(extract_field(payload, *keys))
+    def field(self, key: str) -> Column:
+        return F.try_element_at("__p", F.lit(key))
 
+    def first(self, *keys: str) -> Column:
+        """First non-null of the keys in the payload, then in its ``passthrough``."""
+        return F.coalesce(*[self.field(k) for k in keys], *[F.try_element_at("__pp", F.lit(k)) for k in keys])
 
-def extract_int(payload: Column, *keys: str) -> Column:
-    return lenient_int(extract_field(payload, *keys))
+    def text(self, *keys: str) -> Column:
+        return text_or_null(self.first(*keys))
 
+    def integer(self, *keys: str) -> Column:
+        return lenient_int(self.first(*keys))
 
-def extract_event_ts(payload: Column, now: Column) -> Column:
-    """First non-blank of the time keys, unchanged, else the ingest time."""
-    times = [json_text(payload, k) for k in ("timestamp", "event_ts", "time", "ts")]
-    return F.coalesce(*[F.when(strip(t) != "", t) for t in times], now)
+    def event_ts(self, now: Column) -> Column:
+        """First non-blank of the time keys, unchanged, else the ingest time."""
+        times = [self.field(k) for k in ("timestamp", "event_ts", "time", "ts")]
+        return F.coalesce(*[F.when(strip(t) != "", t) for t in times], now)
 
+    def source_event_id(self) -> Column:
+        return F.coalesce(*[text_or_null(self.field(k)) for k in ("source_event_id", "event_id", "id")])
 
-def extract_source_event_id(payload: Column) -> Column:
-    return F.coalesce(*[text_or_null(json_text(payload, k)) for k in ("source_event_id", "event_id", "id")])
+
+def _parsed(payloads: DataFrame, payload: str) -> DataFrame:
+    """``payloads`` with the map of the payload and that of its ``passthrough``, if it is an object.
+
+    Keys may differ only in case, hence maps; each is parsed once a row.
+    """
+    return compute_once(payloads, {
+        "__p": F.from_json(payload, "map<string,string>", _STRICT),
+        "__pp": F.from_json(payload, "passthrough map<string,string>", _STRICT)["passthrough"],
+    })
 
 
 def alert_rows(payloads: DataFrame, now: Column, payload: str = "payload_json",
                sensor_id: str = DEFAULT_SENSOR_ID) -> DataFrame:
     """Alert table columns from JSON payloads; other columns are kept."""
-    p = F.col(payload)
-    return payloads.withColumns({
+    p = _Payload()
+    return compute_once(_parsed(payloads, payload), {
         "sensor_id": F.lit(sensor_id),
-        "source_event_id": extract_source_event_id(p),
-        "event_ts": extract_event_ts(p, now),
-        "severity": extract_text(p, "severity"),
-        "src_ip": extract_text(p, "src_ip", "source_ip", "Src IP"),
-        "dst_ip": extract_text(p, "dst_ip", "destination_ip", "Dst IP"),
-        "src_port": extract_int(p, "src_port", "source_port", "Src Port"),
-        "dst_port": extract_int(p, "dst_port", "destination_port", "Dst Port"),
-        "protocol": extract_text(p, "protocol", "Protocol"),
-        "fingerprint": extract_text(p, "fingerprint"),
+        "source_event_id": p.source_event_id(),
+        "event_ts": p.event_ts(now),
+        "severity": p.text("severity"),
+        "src_ip": p.text("src_ip", "source_ip", "Src IP"),
+        "dst_ip": p.text("dst_ip", "destination_ip", "Dst IP"),
+        "src_port": p.integer("src_port", "source_port", "Src Port"),
+        "dst_port": p.integer("dst_port", "destination_port", "Dst Port"),
+        "protocol": p.text("protocol", "Protocol"),
+        "fingerprint": p.text("fingerprint"),
         "triage_status": F.lit("new"),
         "triage_updated_at": now,
         "created_at": now,
         "updated_at": now,
-    })
+    }).drop("__p", "__pp")
 
 
 def anomaly_rows(payloads: DataFrame, now: Column, payload: str = "payload_json",
                  sensor_id: str = DEFAULT_SENSOR_ID) -> DataFrame:
-    p = F.col(payload)
-    return payloads.select(
+    p = _Payload()
+    return _parsed(payloads, payload).select(
         F.lit(sensor_id).alias("sensor_id"),
-        extract_source_event_id(p).alias("source_event_id"),
-        extract_event_ts(p, now).alias("event_ts"),
-        F.coalesce(extract_text(p, "anomaly_type", "event_type"), F.lit("schema_anomaly")).alias("anomaly_type"),
-        extract_text(p, "reason").alias("reason"),
-        extract_text(p, "redacted_summary", "reason").alias("redacted_summary"),
-        p.alias("payload_json"),
+        p.source_event_id().alias("source_event_id"),
+        p.event_ts(now).alias("event_ts"),
+        F.coalesce(p.text("anomaly_type", "event_type"), F.lit("schema_anomaly")).alias("anomaly_type"),
+        p.text("reason").alias("reason"),
+        p.text("redacted_summary", "reason").alias("redacted_summary"),
+        F.col(payload).alias("payload_json"),
     )
 
 
 def summary_rows(payloads: DataFrame, now: Column, payload: str = "payload_json",
                  sensor_id: str = DEFAULT_SENSOR_ID) -> DataFrame:
-    p = F.col(payload)
-    return payloads.select(
-        F.lit(sensor_id).alias("sensor_id"), extract_event_ts(p, now).alias("summary_ts"), p.alias("payload_json")
+    return _parsed(payloads, payload).select(
+        F.lit(sensor_id).alias("sensor_id"), _Payload().event_ts(now).alias("summary_ts"), F.col(payload).alias("payload_json")
     )
 
 

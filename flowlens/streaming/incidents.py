@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowlens.streaming import state
+
 DEFAULT_LATENESS = "10 minutes"
 KEYS = ("src_ip", "dst_ip", "protocol")
 PORTS = ("src_port", "dst_port")  # their sets are bounded by the range of ports
@@ -45,22 +47,35 @@ def windowed_incidents(
 
 def incident_stream(
     alerts: DataFrame, out: str, checkpoint: str, drain: bool = False, seconds: float = 1.0,
-    width: str = "1 minute", lateness: str = DEFAULT_LATENESS,
+    width: str = "1 minute", lateness: str = DEFAULT_LATENESS, compact_every: int = state.EVERY,
 ) -> StreamingQuery:
     """Write changed incidents of every batch; :func:`latest_incidents` reads the state."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            state.compact(batch.sparkSession, out, _newest, batch_id)
 
     writer = windowed_incidents(alerts, width=width, lateness=lateness).writeStream.outputMode("update")
     trigger = {"availableNow": True} if drain else {"processingTime": f"{seconds} seconds"}
     return writer.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _newest(held: DataFrame | None, rows: DataFrame | None) -> DataFrame:
+    """Newest version of every incident; ``version`` is the batch it is from."""
+    if rows is None:
+        return held
+    rows = rows.withColumn("version", F.col("batch_id").cast("long")).drop("batch_id")
+    every = rows if held is None else held.unionByName(rows)
+    keys = ["window_start", *KEYS]
+    values = [c for c in every.columns if c not in (*keys, "version")]
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v"), F.max("version").alias("version"))
+    return newest.select(*keys, "v.*", "version")
+
+
 def latest_incidents(spark: SparkSession, out: str) -> DataFrame:
     """Newest version of every incident written by :func:`incident_stream`."""
-    rows = spark.read.parquet(out)
-    keys = ["window_start", *KEYS]
-    values = [c for c in rows.columns if c not in keys and c != "batch_id"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return newest.select(*keys, "v.*")
+    parts = state.parts(spark, out)
+    if parts == (None, None):
+        raise ValueError(f"nothing is stored in {out}")
+    return _newest(*parts).drop("version")

@@ -19,9 +19,10 @@ from flowlens.operators.scoring import prediction_events
 from flowlens.schemas import DEFAULT_SENSOR_ID
 from flowlens.sources.jsonl import number_lines, parse_anomalies, parse_lines, stream_lines
 from flowlens.sources.tail import tail_lines
+from flowlens.streaming import state
+from flowlens.streaming.state import BATCH
 
 Scorer = Callable[[DataFrame], DataFrame]
-BATCH = "batch_id"
 
 
 def _write(df: DataFrame, folder: str, batch_id: int, fmt: str = "parquet") -> None:
@@ -86,11 +87,13 @@ def ingest_stream(
     drain: bool = False,
     seconds: float = 1.0,
     tail: bool = False,
+    compact_every: int = state.EVERY,
 ) -> StreamingQuery:
-    """Sensor output of one kind (alert, anomaly, summary) into append-only tables.
+    """Sensor output of one kind (alert, anomaly, summary) into stored tables.
 
-    ``source`` holds landed files or, with ``tail``, files that still grow. Rows are appended, never rewritten; :func:`stored_alerts` and
-    :func:`stored_summaries` give the upserted state. Lines that are not JSON
+    ``source`` holds landed files or, with ``tail``, files that still grow. Rows are appended; every ``compact_every`` batches those of alerts and summaries are merged
+    into a snapshot. :func:`stored_alerts` and :func:`stored_summaries` give the
+    upserted state. Lines that are not JSON
     become anomalies.
     """
     builders = {"alert": alert_rows, "anomaly": anomaly_rows, "summary": summary_rows}
@@ -109,6 +112,8 @@ def ingest_stream(
                 columns = columns.withColumn("row_id", F.monotonically_increasing_id())
             _write(columns, f"{store}/{kind}", batch_id)
             _write(parse_anomalies(parsed, kind, now, sensor_id), f"{store}/parse_errors/stream={kind}", batch_id)
+            if kind in MERGES and (batch_id + 1) % compact_every == 0:
+                state.compact(batch.sparkSession, f"{store}/{kind}", MERGES[kind], batch_id)
         finally:
             parsed.unpersist()
 
@@ -116,19 +121,41 @@ def ingest_stream(
     return _start(lines, handle, checkpoint, drain, seconds)
 
 
-def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+def _arrivals(rows: DataFrame) -> DataFrame:
     """Stored rows with their arrival order as (batch, row)."""
-    return spark.read.parquet(folder).withColumn("arrival", F.struct(BATCH, "row_id")).drop(BATCH, "row_id")
+    return rows.withColumn("arrival", F.struct(F.col(BATCH).cast("long").alias(BATCH), "row_id")).drop(BATCH, "row_id")
+
+
+def _merged_alerts(held: DataFrame | None, rows: DataFrame | None) -> DataFrame:
+    """Alerts after upserts on (sensor, source id); ``id`` is the first arrival."""
+    later = None if rows is None else _arrivals(rows).withColumnRenamed("arrival", "id")
+    if later is None:
+        return held
+    return upsert_alerts(later.filter("false") if held is None else held, later)
+
+
+def _merged_summaries(held: DataFrame | None, rows: DataFrame | None) -> DataFrame:
+    later = None if rows is None else _arrivals(rows).withColumnRenamed("arrival", "updated_at")
+    if later is None:
+        return held
+    return upsert_summaries(later.filter("false") if held is None else held, later)
+
+
+MERGES = {"alert": _merged_alerts, "summary": _merged_summaries}
+
+
+def _state(spark: SparkSession, store: str, kind: str) -> DataFrame:
+    parts = state.parts(spark, f"{store}/{kind}")
+    if parts == (None, None):
+        raise ValueError(f"nothing is stored in {store}/{kind}")
+    return MERGES[kind](*parts)
 
 
 def stored_alerts(spark: SparkSession, store: str) -> DataFrame:
     """Alert table after upserts on (sensor, source id), newest fields, first triage state."""
-    rows = _arrivals(spark, f"{store}/alert").withColumn("id", F.col("arrival"))
-    merged = upsert_alerts(rows.filter("false").drop("arrival"), rows.drop("arrival"))
     # The first arrival never changes, so neither does the long id made of it.
-    return merged.withColumn("id", F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1)))
+    return _state(spark, store, "alert").withColumn("id", F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1)))
 
 
 def stored_summaries(spark: SparkSession, store: str) -> DataFrame:
-    rows = _arrivals(spark, f"{store}/summary").withColumnRenamed("arrival", "updated_at")
-    return upsert_summaries(rows.filter("false"), rows).drop("updated_at")
+    return _state(spark, store, "summary").drop("updated_at")
