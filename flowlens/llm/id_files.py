@@ -174,6 +174,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str) -> None:
                         held_ids, held_sizes, held_docs = [], [], []
         if held_sizes:
             yield flush()
+        worker.rest()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, schema).write.parquet(path)

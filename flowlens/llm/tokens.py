@@ -23,9 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 END_ID = 2
-MAX_PIECES = 2_000_000  # pieces a worker remembers before it starts anew; no effect on results
+# What a worker remembers before it starts anew, and between tasks; no effect on results.
+MAX_PIECES = 400_000
+MAX_IDS = 4_000_000
+RESTING_PIECES = 100_000
 MAX_PIECE_LENGTH = 64
+BLOCK_CHARS = 1 << 16
+PENDING_CHARS = 1 << 20
 CHUNK_CHARS = 2_000_000
+_CUT = re.compile(r"(?<=\w) (?=\w)")
 _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 
 
@@ -85,6 +91,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Their strings in a text give their ids, as by the library's default.
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.spaced_special = any(re.search(r"\s", t) for t in self.special)
         self.model = self.tokenizer.model
         # Vocabularies that drop white space encode a piece alike wherever it stands.
         self.keeps_space = bool(self.tokenizer.encode(" a b", add_special_tokens=False).ids
@@ -130,9 +137,14 @@ class PieceEncoder:
         if self.plain:
             tokenize = self.model.tokenize
             self._store([n for n, _ in self.plain], [[t.id for t in tokenize(text)] for _, text in self.plain])
-        if self.waiting:
-            found = self.tokenizer.encode_batch_fast([text for _, text in self.waiting], add_special_tokens=False)
-            self._store([n for n, _ in self.waiting], [e.ids for e in found])
+        low, held = 0, 0
+        for high, (_, text) in enumerate(self.waiting, 1):
+            held += len(text)
+            if held >= 4 * BLOCK_CHARS or high == len(self.waiting):
+                part = self.waiting[low:high]
+                found = self.tokenizer.encode_batch_fast([text for _, text in part], add_special_tokens=False)
+                self._store([n for n, _ in part], [e.ids for e in found])
+                low, held = high, 0
         if self.joined:
             number, head, tail = np.array(self.joined, np.int64).T
             parts = np.stack([head, tail], axis=1).ravel()
@@ -150,30 +162,65 @@ class PieceEncoder:
         shift = np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes)
         return self.ids[shift + np.arange(len(shift))]
 
+    def _blocks(self, text: str) -> Iterator[str]:
+        """Cuts of a long text at spaces between two letters or digits, where a pre-token always ends.
+
+        Blocks but the first begin with their space. Vocabularies whose special
+        tokens hold white space get the whole text.
+        """
+        low = 0
+        while len(text) - low > 2 * BLOCK_CHARS and not self.spaced_special:
+            found = _CUT.search(text, low + BLOCK_CHARS)
+            if found is None:
+                break
+            yield text[low:found.start()]
+            low = found.start()
+        yield text[low:] if low else text
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``END_ID``; sizes per text."""
-        if self.count > MAX_PIECES:
-            self.forget()
-        numbers = array("i")
-        pieces_per_text = np.zeros(len(texts), np.int64)
+        found: list[np.ndarray] = []
+        sizes = np.zeros(len(texts), np.int64)
+        numbers, rows, counts, pending = array("i"), [], [], 0
+
+        def flush() -> None:
+            self._encode_waiting()
+            of = np.frombuffer(numbers, np.int32) if len(numbers) else np.zeros(0, np.int32)
+            found.append(self._spread(of))
+            ends = np.concatenate([[0], np.cumsum(self.sizes[of])])
+            edges = np.cumsum([0, *counts])
+            np.add.at(sizes, rows, ends[edges[1:]] - ends[edges[:-1]])
+            if self.count > MAX_PIECES or self.used > MAX_IDS:
+                self.forget()
+
         for k, text in enumerate(texts):
-            before = len(numbers)
-            if text:
-                if (self.keeps_space and _INNER_SPACE.search(text)) or self.holds_special(text):
+            for i, block in enumerate(self._blocks(text) if text else ()):
+                before = len(numbers)
+                if (self.keeps_space and _INNER_SPACE.search(block)) or self.holds_special(block):
                     number = self.reserve()
-                    self.waiting.append((number, text))
+                    self.waiting.append((number, block))
                     numbers.append(number)
                 else:
-                    head, *rest = text.split(" ")
-                    numbers.append(self.bare[head])
+                    head, *rest = block.split(" ")
+                    if not i:
+                        numbers.append(self.bare[head])
                     numbers.extend(map(self.spaced.__getitem__, rest))
+                rows.append(k)
+                counts.append(len(numbers) - before)
+                pending += len(block)
+                if pending >= PENDING_CHARS:
+                    flush()
+                    numbers, rows, counts, pending = array("i"), [], [], 0
             numbers.append(self.end)
-            pieces_per_text[k] = len(numbers) - before
-        self._encode_waiting()
-        of = np.frombuffer(numbers, np.int32) if len(numbers) else np.zeros(0, np.int32)
-        ends = np.cumsum(self.sizes[of])
-        text_ends = ends[np.cumsum(pieces_per_text) - 1] if texts else np.zeros(0, np.int64)
-        return self._spread(of), np.diff(text_ends, prepend=0)
+            rows.append(k)
+            counts.append(1)
+        flush()
+        return np.concatenate(found), sizes
+
+    def rest(self) -> None:
+        """Let go of most of what was remembered, at the end of a task."""
+        if self.count > RESTING_PIECES:
+            self.forget()
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -233,5 +280,6 @@ def token_pieces(docs: DataFrame, path: str, limit: int) -> DataFrame:
                      pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
                     names=schema.fieldNames(),
                 )
+        worker.rest()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
