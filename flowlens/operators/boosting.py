@@ -210,7 +210,9 @@ def _best_splits(
             def score(s: np.ndarray) -> np.ndarray:
                 return s[:, 0] ** 2 / (s[:, 1] + settings.l2)
 
-            gain = score(left) + score(right) - score(whole)
+            with np.errstate(invalid="ignore", divide="ignore"):  # empty sides count below as no split
+                gain = score(left) + score(right) - score(whole)
+            gain = np.where(np.isnan(gain), -np.inf, gain)
             if settings.symmetric:
                 gain = np.broadcast_to(gain.sum(axis=0), gain.shape)
             else:

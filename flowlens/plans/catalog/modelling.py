@@ -11,6 +11,7 @@ from flowlens.operators.evaluation import evaluate_at_threshold
 from flowlens.operators.scoring import ScoringConfig, prediction_events, score_binary, score_two_stage
 from flowlens.plans import bindings as b
 from flowlens.plans.catalog.registry import Registry
+from flowlens.plans.workspace import work_folder
 
 _r = Registry()
 QUERIES, CHECKS = _r.queries, _r.checks
@@ -71,6 +72,36 @@ def score_two_stage_model(spark, sf):
     return scored.groupBy("split", "family_status", "attack_family").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@_r.query(f"""WITH {b.EVENTS}, s AS (SELECT CASE WHEN day(ts) <= 18 THEN 'train' WHEN day(ts) <= 22 THEN 'val' WHEN day(ts) <= 26 THEN 'test' ELSE 'ood' END AS split FROM ev)
+SELECT split, count(*) AS rows, count(*) AS alerts_by_threshold, count(*) AS families_by_floors, count(*) AS same_after_loading FROM s GROUP BY 1""")
+def bundle_scores(spark, sf):
+    """Boosted binary and family models scored from a saved bundle: each row alerts by the threshold, is known by both floors, and scores as before saving."""
+    from flowlens.operators.bundles import Bundle, load_bundle, save_bundle
+
+    rows = labelled_events(spark, sf)
+    train = rows.filter("split = 'train'")
+    small = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.5}
+    config = ScoringConfig(
+        threshold=0.5, features=FEATURES, family_labels=FAMILIES, family_features=FEATURES, top1_threshold=0.4, margin_threshold=0.05,
+    )
+    bundle = Bundle(
+        md.train_binary(train, "hist_gb", FEATURES, **small), config,
+        md.train_family(train, FEATURES, FAMILIES, name="catboost", **small),
+    )
+    folder = work_folder(spark, "bundle")
+    save_bundle(bundle, folder)
+    scored = load_bundle(spark, folder).score(rows)
+    before = bundle.score(rows).select("event_id", *[F.col(c).alias(f"{c}_before") for c in ("attack_score", "family_status")])
+    known = (F.col("attack_family_confidence") >= 0.4) & (F.col("attack_family_margin") >= 0.05)
+    status = F.when(~F.col("is_alert"), "benign").when(known, "known").otherwise("unknown")
+    return scored.join(before, "event_id").groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("is_alert") == (F.col("attack_score") >= 0.5)).alias("alerts_by_threshold"),
+        F.count_if((F.col("family_status") == status) & ((status == "known") == F.col("attack_family").isNotNull())).alias("families_by_floors"),
+        F.count_if((F.col("attack_score") == F.col("attack_score_before")) & (F.col("family_status") == F.col("family_status_before"))).alias("same_after_loading"),
+    )
+
+
 @_r.query()
 def prediction_event_rows(spark, sf):
     rows, model, _, config = _two_stage(spark, sf)
