@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.alerting import clean_flow_parts, flow_id_parts, severity_from_score, severity_rank, shaped_flow_id
@@ -281,18 +282,24 @@ def status_after_transitions(spark, sf):
     return updated.select("id", "triage_status", "triage_updated_at")
 
 
-@_r.query("""WITH n AS (SELECT doc_id AS alert_id, 'note' AS kind, lang AS detail, source AS actor, doc_id + 1 AS entry_id FROM documents), c AS (
-  SELECT conv_id AS alert_id, 'status' AS kind, 'new -> ' || role AS detail, 'admin' AS actor, turn AS entry_id FROM conversations)
-SELECT x.* FROM (SELECT * FROM n UNION ALL SELECT * FROM c) x WHERE alert_id IN (SELECT event_id FROM events)""")
+@_r.query("""WITH n AS (SELECT doc_id AS alert_id, 'note' AS kind, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || 'T08' AS stamp, lang AS detail, source AS actor, doc_id + 1 AS entry_id FROM documents), c AS (
+  SELECT conv_id AS alert_id, 'status' AS kind, '2024-01-' || lpad(CAST(turn * 5 % 28 + 1 AS VARCHAR), 2, '0') || 'T07' AS stamp, 'new -> ' || role AS detail, 'admin' AS actor, turn AS entry_id FROM conversations)
+SELECT alert_id, kind, detail, actor, entry_id, row_number() OVER (PARTITION BY alert_id ORDER BY stamp DESC, entry_id DESC) AS place
+FROM (SELECT * FROM n UNION ALL SELECT * FROM c) x WHERE alert_id IN (SELECT event_id FROM events)""")
 def alert_timeline(spark, sf):
+    """Notes and status changes of many days; ``place`` is a row's place among its alert's rows as they are returned."""
+    def day(n, hour):
+        return F.concat(F.lit("2024-01-"), F.lpad((F.pmod(n, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit(hour))
+
     notes = read_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("alert_id"), F.lit("2024").alias("created_at"), F.col("lang").alias("note_text"), F.col("source").alias("author"), (F.col("doc_id") + 1).alias("id")
+        F.col("doc_id").alias("alert_id"), day(F.col("doc_id"), "T08").alias("created_at"), F.col("lang").alias("note_text"), F.col("source").alias("author"), (F.col("doc_id") + 1).alias("id")
     )
     history = read_table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("alert_id"), F.lit("new").alias("from_status"), F.col("role").alias("to_status"), F.lit("admin").alias("changed_by"), F.lit("2024").alias("changed_at"), F.col("turn").alias("id")
+        F.col("conv_id").alias("alert_id"), F.lit("new").alias("from_status"), F.col("role").alias("to_status"), F.lit("admin").alias("changed_by"), day(F.col("turn") * 5, "T07").alias("changed_at"), F.col("turn").alias("id")
     )
-    timeline = al.status_timeline(b.raw_alerts(spark, sf), notes, history)
-    return al.newest_first(timeline).select("alert_id", "kind", "detail", "actor", "entry_id")
+    timeline = al.newest_first(al.status_timeline(b.raw_alerts(spark, sf), notes, history)).withColumn("at_row", F.monotonically_increasing_id())
+    placed = timeline.withColumn("place", F.row_number().over(Window.partitionBy("alert_id").orderBy("at_row")).cast("long"))
+    return placed.select("alert_id", "kind", "detail", "actor", "entry_id", "place")
 
 
 @_r.query(f"""WITH {b.ALERTS} SELECT s.s AS triage_status, count(al.id) AS rows FROM (VALUES ('new'), ('acknowledged'), ('investigating'), ('resolved'), ('false_positive')) s(s) LEFT JOIN al ON al.triage_status = s.s GROUP BY 1""")
