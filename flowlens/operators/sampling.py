@@ -16,11 +16,6 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def sampling_target(benign_rows: int, attack_rows: int, ratio: int, max_attack: int) -> tuple[int, int]:
-    """All benign rows and at most ratio x benign (and max_attack) attack rows."""
-    return benign_rows, min(attack_rows, benign_rows * ratio, max_attack)
-
-
 def training_caps(counts: DataFrame, label: str, ratio: int, max_attack: int) -> DataFrame:
     """Cap table of the benign-anchored training sample: null keeps all benign rows."""
     benign = F.max(F.when(F.col(label) == "Benign", F.col("rows")))

@@ -165,14 +165,17 @@ def _end_lines(folder):
     return write
 
 
-@_r.query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS v FROM documents)
-SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS numbers FROM (SELECT row_number() OVER () AS n FROM l)""")
+@_r.query("""WITH l AS (SELECT source, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS v FROM documents)
+SELECT source, count(*) AS lines, CAST(sum(n) AS BIGINT) AS numbers FROM (SELECT source, row_number() OVER (PARTITION BY source) AS n FROM l) GROUP BY 1""")
 def jsonl_line_numbers(spark, sf):
-    """All document lines in one file: numbers must run 1..n without gaps."""
+    """All document lines, a file per source: the numbers of each file must run 1..n without gaps."""
     folder = work_folder(spark, "lines")
-    tables.read_table(spark, sf, "documents").select(F.regexp_replace("text", "\r\n?", "\n").alias("value")).coalesce(1).write.text(folder)
+    lines = tables.read_table(spark, sf, "documents").select("source", F.regexp_replace("text", "\r\n?", "\n").alias("value"))
+    lines.repartition("source").write.partitionBy("source").text(folder)
     numbered = jsonl.read_lines(spark, folder)
-    return numbered.agg(F.count_distinct("line_number").alias("lines"), F.sum("line_number").alias("numbers"))
+    return numbered.groupBy(F.regexp_extract("source", "source=([^/]*)", 1).alias("source")).agg(
+        F.count_distinct("line_number").alias("lines"), F.sum("line_number").alias("numbers")
+    )
 
 
 @_r.query(f"WITH {b.SCORED} SELECT split, count(*) AS rows, round(sum(value), 4) AS total FROM scored GROUP BY 1")

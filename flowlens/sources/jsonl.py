@@ -96,8 +96,3 @@ def parse_anomalies(parsed: DataFrame, stream_name: str, event_ts: Column, senso
             F.substring(strip(F.col("value")), 1, INGEST_ERROR_PREVIEW).alias("raw_line"),
         )).alias("payload_json"),
     )
-
-
-def append_jsonl(events: DataFrame, path: str) -> None:
-    """Append JSON events (one ``value`` column) to a folder of text files."""
-    events.select("value").write.mode("append").text(path)

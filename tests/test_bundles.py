@@ -77,3 +77,21 @@ def test_only_alert_rows_reach_the_family_stage(spark, trained):
         assert all((r["family_status"] == "benign") == (not r["is_alert"]) for r in rows)
     finally:
         stage.counter = None
+
+
+def test_captures_and_files_are_scored(spark, trained, tmp_path):
+    """The batch runtime: captures to a flow CSV, and a file set to predictions."""
+    from test_flows import A, B, capture, frame
+
+    from flowlens.operators.adapter import PRIMARY_PROFILE
+    from flowlens.plans.runtime import captures_to_flow_csv, score_files
+    from flowlens.sources.flow_csv import read_flow_csv
+
+    (tmp_path / "captures").mkdir()
+    (tmp_path / "captures" / "one.pcap").write_bytes(capture([frame(A, B, payload=b"abc"), frame(B, A), frame(A, B, 17)]))
+    captures_to_flow_csv(spark, str(tmp_path / "captures"), str(tmp_path / "flows"), PRIMARY_PROFILE)
+    assert read_flow_csv(spark, str(tmp_path / "flows")).count() == 2
+    df, bundle = trained
+    df.select("id", "f1", "f2").write.parquet(str(tmp_path / "rows.parquet"))
+    out = score_files(spark, str(tmp_path / "rows.parquet"), str(tmp_path / "scores.parquet"), bundle.model, bundle.config, bundle.family, limit=50)
+    assert out.count() == 50 and {"attack_score", "family_status"} <= set(out.columns)
