@@ -36,11 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.shingles import _mix
+from flowlens.operators.staging import lookup
 from flowlens.plans.workspace import discard, stored
 
 ORDER = 5
@@ -97,20 +98,40 @@ def _hashes(codes: np.ndarray, order: int, kind: int) -> np.ndarray:
         return _mix(mixed)
 
 
+def _distinct(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct n-gram among those that start at ``at``, and the number of each one's."""
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    width = max(1, (int(used.sum()) - 1).bit_length())
+    room = max(1, (len(at) - 1).bit_length())
+    if ORDER * width + room <= 64:
+        # Few symbols: n-gram and place fit one number, and a plain sort groups them.
+        dense = (np.cumsum(used, dtype=np.uint64) - np.uint64(1))[codes]
+        key = np.zeros(len(at), np.uint64)
+        for k in range(ORDER):
+            key = key << np.uint64(width) | dense[at + k]
+        key = np.sort(key << np.uint64(room) | np.arange(len(at), dtype=np.uint64))
+        order = (key & np.uint64((1 << room) - 1)).astype(np.int64)
+        key >>= np.uint64(room)
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        place = np.empty(len(at), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return order[new], place
+    rows = np.ascontiguousarray(codes[at[:, None] + np.arange(ORDER)]).view([("", codes.dtype)] * ORDER).ravel()
+    _, first, place = np.unique(rows, return_index=True, return_inverse=True)
+    return first, place
+
+
 def _grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of several runs of symbols as rows, the place of each event's among them, events per run."""
-    sizes = np.array([len(p) - ORDER + 1 for p in parts], np.int64)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    sizes = lengths - ORDER + 1
     codes = np.concatenate(parts)
-    ends = np.cumsum([len(p) for p in parts])
     # Windows that reach from one run into the next are left out.
-    start = np.repeat(ends - np.array([len(p) for p in parts]), sizes)
+    start = np.repeat(np.cumsum(lengths) - lengths, sizes)
     at = start + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    with np.errstate(over="ignore"):
-        single = _mix(codes.astype(np.uint64) + np.uint64(1))
-        key = np.zeros(len(at), np.uint64)
-        for k in range(ORDER):
-            key += single[at + k] * _ODD[k]
-    _, first, place = np.unique(key, return_index=True, return_inverse=True)
+    first, place = _distinct(codes, at)
     return codes[at[first][:, None] + np.arange(ORDER)], place, sizes
 
 
@@ -169,31 +190,33 @@ def smoothed(counts: DataFrame) -> DataFrame:
     The weight is that of the next lower order; its excess over one is kept, since contexts
     never seen have weight one.
     """
-    out = None
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:
-            counts = counts.select("lang", F.expr(f"substring(gram, 2, {order})").alias("gram")).groupBy("lang", "gram").agg(
-                F.count(F.lit(1)).alias("n")
-            )
-        seen = counts.groupBy("lang").agg(
-            F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).alias("twice")
-        )
-        # Without single n-grams there is nothing to learn a discount from; half a count is taken.
-        discount = F.when(F.col("once") > 0, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(F.lit(0.5))
-        context = counts.groupBy("lang", F.expr(f"substring(gram, 1, {order - 1})").alias("context")).agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
-        ).join(seen.select("lang", F.least(discount, F.lit(0.95)).alias("discount")), "lang")
-        share = counts.withColumn("context", F.expr(f"substring(gram, 1, {order - 1})")).join(context, ["lang", "context"]).select(
-            "lang", "gram", F.lit(order).alias("order"), F.lit(0).alias("kind"),
-            ((F.col("n") - F.col("discount")) / F.col("total")).alias("value"),
-        )
-        weight = context.select(
-            "lang", F.col("context").alias("gram"), F.lit(order).alias("order"), F.lit(1).alias("kind"),
-            (F.col("discount") * F.col("kinds") / F.col("total") - 1).alias("value"),
-        )
-        both = share.unionByName(weight)
-        out = both if out is None else out.unionByName(both)
-    return out
+    longer = F.array(*[F.expr(f"substring(gram, {ORDER - k}, {k + 1})") for k in range(1, ORDER)])
+    lower = counts.select("lang", F.explode(longer).alias("gram")).distinct().groupBy(
+        "lang", F.expr("substring(gram, 2)").alias("gram")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    every = stored(
+        counts.select("lang", "gram", "n").unionByName(lower)
+        .withColumn("order", F.length("gram")).withColumn("context", F.expr("substring(gram, 1, order - 1)")),
+        "grams",
+    )
+    times = every.groupBy("lang", "order").agg(
+        F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")
+    )
+    # Without single n-grams there is nothing to learn a discount from; half a count is taken.
+    discount = F.when(F.col("once") > 0, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(F.lit(0.5))
+    times = lookup(times.select("lang", "order", F.least(discount, F.lit(0.95)).alias("discount")))
+    # As many rows as the context is followed by different symbols, never more than the alphabet has.
+    of = Window.partitionBy("lang", "order", "context")
+    held = every.withColumns({"total": F.sum("n").over(of), "kinds": F.count(F.lit(1)).over(of)}).join(times, ["lang", "order"])
+    share = F.struct(F.col("gram"), F.lit(0).alias("kind"), ((F.col("n") - F.col("discount")) / F.col("total")).alias("value"))
+    weight = F.struct(
+        F.col("context").alias("gram"), F.lit(1).alias("kind"), (F.col("discount") * F.col("kinds") / F.col("total") - 1).alias("value")
+    )
+    first = F.row_number().over(of.orderBy("gram")) == 1
+    rows = held.withColumn("first", first).select(
+        "lang", "order", F.explode(F.when(F.col("first"), F.array(share, weight)).otherwise(F.array(share))).alias("r")
+    )
+    return rows.select("lang", "r.gram", "order", "r.kind", "r.value")
 
 
 @dataclass
@@ -206,7 +229,9 @@ class Shard:
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros((len(hashes), self.values.shape[1]))
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        order = np.argsort(hashes)  # neighbours are looked up one after another
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, hashes[order]), len(self.keys) - 1)
         return self.values[at] * (self.keys[at] == hashes)[:, None]
 
 
@@ -224,6 +249,43 @@ def log_likelihoods(grams: np.ndarray, shard: Shard, alphabet: int) -> np.ndarra
     return np.log2(p)
 
 
+class _Known:
+    """Log-likelihoods of n-grams a task has met, since most of them come again; lookups only, no effect on results."""
+
+    def __init__(self, compute, width: int):
+        self.compute, self.width = compute, width
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, width))
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        hashes = _hashes(grams, ORDER, 0)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        out = np.empty((len(grams), self.width))
+        missing = np.ones(len(grams), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            missing = self.keys[at] != hashes
+            out[order] = self.values[at]
+        if missing.any():
+            found = self.compute(grams[order[missing]])
+            out[order[missing]] = found
+            self.fresh.append((hashes[missing], found))
+            self.waiting += len(found)
+            if self.waiting * 4 > len(self.keys):
+                self._merge()
+        return out
+
+    def _merge(self) -> None:
+        if (len(self.keys) + self.waiting) * self.width > CHUNK_CELLS:
+            self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, self.width))
+        keys = np.concatenate([self.keys, *(k for k, _ in self.fresh)])
+        values = np.concatenate([self.values, *(v for _, v in self.fresh)])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.values, self.fresh, self.waiting = values[first], [], 0
+
+
 @dataclass
 class Model:
     """Languages, the alphabet's size and the table (place, key, values) of all numbers."""
@@ -289,16 +351,20 @@ def _shard_sums(texts: DataFrame, model: Model, number: int) -> DataFrame:
         *texts.schema.fields[:-1], T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("events", T.LongType()),
     ])
 
+    def compute(grams: np.ndarray) -> np.ndarray:
+        found = log_likelihoods(grams, sent.value, alphabet)
+        if shards > 1:
+            found[_places(grams) % shards != number] = 0.0
+        return found
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(compute, width)
         for batch in batches:
             sums, events = np.zeros((batch.num_rows, width)), np.zeros(batch.num_rows, np.int64)
 
             def add(parts: list[np.ndarray], rows: list[int]) -> None:
                 grams, place, sizes = _grams(parts)
-                found = log_likelihoods(grams, sent.value, alphabet)
-                if shards > 1:
-                    found[_places(grams) % shards != number] = 0.0
-                np.add.at(sums, rows, np.add.reduceat(found[place], np.cumsum(sizes) - sizes))
+                np.add.at(sums, rows, np.add.reduceat(known.get(grams)[place], np.cumsum(sizes) - sizes))
                 np.add.at(events, rows, sizes)
 
             parts, rows, held = [], [], 0
@@ -348,14 +414,15 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     second = F.array_min(F.filter(entropies, lambda e: e["i"] != F.col("best")["i"]))
     kept = [c for c in docs.columns if c != "text"]
     return found.select(
-        *kept, F.coalesce(names[F.col("best")["i"]], F.lit(UNKNOWN)).alias("lang_pred"), F.col("best")["h"].alias("entropy"),
+        *kept, F.coalesce(F.get(names, F.col("best")["i"]), F.lit(UNKNOWN)).alias("lang_pred"), F.col("best")["h"].alias("entropy"),
         F.when(F.col("events") > 0, F.coalesce((second["h"] - F.col("best")["h"]) * F.col("events"), F.lit(float("inf")))).alias("margin"),
     )
 
 
 def _bin(margin: Column) -> Column:
     """Bins of equal steps in the logarithm of the margin."""
-    return F.least(F.lit(BINS - 1), F.floor(128 * F.log2(1 + F.least(margin, F.lit(2.0**31))))).cast("int")
+    steps = F.floor(128 * F.log2(1 + F.least(margin, F.lit(2.0**31))))
+    return F.when(margin.isNotNull(), F.least(F.lit(BINS - 1), steps).cast("int"))
 
 
 def isotonic(right: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -373,7 +440,7 @@ def isotonic(right: np.ndarray, seen: np.ndarray) -> np.ndarray:
 def calibrate(judged_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bin, score) and (lang_pred, most_bits) from documents with a known ``lang`` that taught the model nothing."""
     spark = judged_docs.sparkSession
-    known = judged_docs.filter("margin is not null")
+    known = stored(judged_docs.filter("margin is not null"), "judged")
     right, seen = np.zeros(BINS), np.zeros(BINS)
     counted = known.groupBy(_bin(F.col("margin")).alias("bin")).agg(
         F.count(F.lit(1)), F.sum((F.col("lang") == F.col("lang_pred")).cast("long"))
@@ -384,7 +451,9 @@ def calibrate(judged_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     limits = known.groupBy(F.col("lang").alias("lang_pred")).agg(
         F.percentile_approx("entropy", 1 - ODD_SHARE, 100_000).alias("most_bits")
     )
-    return scores, spark.createDataFrame(limits.collect(), "lang_pred string, most_bits double")
+    limits = spark.createDataFrame(limits.collect(), "lang_pred string, most_bits double")
+    discard(known)
+    return scores, limits
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
