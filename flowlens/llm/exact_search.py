@@ -14,9 +14,13 @@ query.
 
 Defined cases: vectors that are null, or hold a null, infinite or NaN
 component, and rows with a null id take no part; vectors of other lengths than
-a query's are not compared with it; rows that repeat an id count once, with the
-smallest vector; ties go to the smaller id; an empty table gives an empty
+a query's are not compared with it; rows that repeat an id all take part, none
+against a row of its own id, and the answers of query rows that share an id are
+ranked together; ties go to the smaller id; an empty table gives an empty
 result; extra columns are ignored. Finite components may have any size.
+
+Whole numbers travel as integers where all of them fit, and blocks of queries are
+large, so that each vector is sent few times.
 """
 
 from __future__ import annotations
@@ -30,14 +34,15 @@ from flowlens.plans.workspace import stored
 
 SCALE = 64
 TOP = 20
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
+QUERY_STRIP = 1024
 SHARD = 8192
 STRIP = 2048
 FAN = 16
 
 
 def whole_vectors(table: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v): usable vectors as arrays of whole numbers, one per id.
+    """(id, v): usable vectors as arrays of whole numbers.
 
     They are doubles, since a long cannot hold every finite component; from 2^53 on every double is whole.
     """
@@ -49,9 +54,7 @@ def whole_vectors(table: DataFrame, vec_id: str, vector: str, scale: int = SCALE
     whole = F.transform(
         scaled, lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)
     )
-    return table.filter(usable).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(
-        F.min("v").alias("v")
-    )
+    return table.filter(usable).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -113,9 +116,11 @@ def _tile(k: int):
             q, own = _matrix(queries["q"]), queries["query"].to_numpy()
             for low in range(0, len(vectors), STRIP):
                 part = vectors.iloc[low:low + STRIP]
-                held = part["id"].to_numpy()
-                rows, ids, scores = best_of(_products(q, _matrix(part["v"]), own, held), held, own, k)
-                out.append(pd.DataFrame({"query_id": own[rows], "vec_id": ids, "score": scores}))
+                held, matrix = part["id"].to_numpy(), _matrix(part["v"])
+                for first in range(0, len(q), QUERY_STRIP):
+                    mine = own[first:first + QUERY_STRIP]
+                    rows, ids, scores = best_of(_products(q[first:first + QUERY_STRIP], matrix, mine, held), held, mine, k)
+                    out.append(pd.DataFrame({"query_id": mine[rows], "vec_id": ids, "score": scores}))
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if len(out) > 1:
             found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
@@ -130,15 +135,22 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best vectors of every row that ``is_query`` holds for."""
     vectors = stored(whole_vectors(table, vec_id, vector, scale).withColumn("size", F.size("v")), "vectors")
+    counts = vectors.agg(
+        F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max(F.array_max(F.transform("v", F.abs)))
+    ).first()
+    kind = "int" if (counts[2] or 0) < 2**31 else "double"
+    # Numbered rows: those of one id are dealt out like any others.
+    vectors = stored(
+        vectors.select("id", F.col("v").cast(f"array<{kind}>").alias("v"), "size", F.monotonically_increasing_id().alias("row")), "numbered"
+    )
     queries = vectors.filter(is_query)
-    counts = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = -(-counts[0] // SHARD) or 1, -(-counts[1] // QUERY_BLOCK) or 1
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(
         F.col("id").alias("query"), F.col("v").alias("q"), F.col("size").alias("qsize"),
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qblock"), span(shards).alias("qshard"),
+        F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("qblock"), span(shards).alias("qshard"),
     )
-    held = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", span(blocks))
+    held = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", span(blocks))
     tiles = asked.groupBy("qsize", "qblock", "qshard").cogroup(held.groupBy("size", "block", "shard"))
     lists = tiles.applyInPandas(_tile(k), "query_id long, vec_id long, score long, node long")
     nodes = shards

@@ -54,7 +54,7 @@ def canonical_json(value) -> str:
 
 _KINDS = {
     "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "null": lambda v: v is None,
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer(),
+    "integer": lambda v: not isinstance(v, bool) and (isinstance(v, int) or isinstance(v, float) and v.is_integer()),
     "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list),
 }
@@ -99,9 +99,11 @@ def checked_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         try:
             value = json.loads(text)
             shown = canonical_json(value)
+            shown.encode()  # lone surrogates have no UTF-8 form
+            faults = schema_faults(value, schemas[name]) if name in schemas else ["$: unknown tool"]
         except (TypeError, ValueError, RecursionError):
             return None, ["$: not JSON"]
-        return shown, schema_faults(value, schemas[name]) if name in schemas else ["$: unknown tool"]
+        return shown, faults
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

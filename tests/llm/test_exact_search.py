@@ -11,19 +11,18 @@ from flowlens.llm import exact_search as es
 
 
 def _brute(rows, k):
-    usable = {}
+    usable = []
     for vec_id, v in rows:
         if vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        whole = [math.floor(64 * x) for x in v]
-        usable[vec_id] = min(usable.get(vec_id, whole), whole)
+        usable.append((vec_id, [math.floor(64 * x) for x in v]))
     out = []
-    for q, a in usable.items():
-        if q % 20 == 0:
-            scored = sorted(
-                (-sum(x * y for x, y in zip(a, b)), c) for c, b in usable.items() if c != q and len(b) == len(a)
-            )
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
+    for q in sorted({i for i, _ in usable if i % 20 == 0}):
+        scored = sorted(
+            (-sum(x * y for x, y in zip(a, b)), c)
+            for i, a in usable if i == q for c, b in usable if c != q and len(b) == len(a)
+        )
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -32,6 +31,7 @@ def test_matches_brute_force(spark, monkeypatch, shard, fan):
     monkeypatch.setattr(es, "SHARD", shard)
     monkeypatch.setattr(es, "QUERY_BLOCK", 3)
     monkeypatch.setattr(es, "STRIP", 7)
+    monkeypatch.setattr(es, "QUERY_STRIP", 2)
     monkeypatch.setattr(es, "FAN", fan)
     rng = random.Random(4)
     rows = [(k * 4, [rng.choice([-0.5, 0.25, 0.3, 1.0, -1.01]) for _ in range(5)]) for k in range(-10, 90)]
@@ -43,6 +43,14 @@ def test_matches_brute_force(spark, monkeypatch, shard, fan):
     assert found == _brute(exact, 6)
 
 
+def test_repeated_ids_all_take_part(spark):
+    """The best candidate stands in a row whose id another row has with a smaller vector; a query id stands in two rows."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [-1.0, -1.0]), (7, [2.0, 0.5]), (9, [0.5, 0.5]), *[(11, [0.25, 3.0])] * 3]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted(tuple(r) for r in es.search(table, F.col("id") % 20 == 0, k=4).collect())
+    assert found == _brute(rows, 4) and (20, 4, 7, 64 * 128) in found
+
+
 def test_large_values_stay_exact():
     q = np.array([[2**40 + 1, 3]])
     assert es._products(q, np.array([[2**21 + 1, 5]]))[0, 0] == (2**40 + 1) * (2**21 + 1) + 15

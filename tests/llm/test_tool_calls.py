@@ -110,3 +110,14 @@ def test_repeated_rows_and_nulls(spark):
 
 def test_empty_tables(spark):
     assert tc.ordered(_linked(spark, [], [])).count() == 0
+
+
+@pytest.mark.parametrize("text,faults", [
+    ('{"q": "\\ud800"}', ["$: not JSON"]), ('{"\\ud800": 1}', ["$: not JSON"]), ('{"q": "x", "n": %s}' % ("9" * 400), ["$.n: too large"]),
+    ('{"q": "x", "n": 1e999}', ["$: not JSON"]), ('{"q": "x", "n": -%s}' % ("9" * 400), ["$.n: too small"]), ('{"q": "\\u00e9\\ud83d\\ude00"}', []),
+])
+def test_odd_json_does_not_end_the_job(spark, text, faults):
+    """Lone surrogates have no UTF-8 form, and whole numbers may have any size."""
+    calls = spark.createDataFrame([("find", text)], "name string, arguments string")
+    row = tc.checked_arguments(calls, SCHEMAS).first()
+    assert row["faults"] == faults and (row["canonical"] is None) == (faults == ["$: not JSON"])
