@@ -10,9 +10,10 @@ The search works on the histogram. The largest piece left opens a sequence, the
 undominated ways to fill its rest are enumerated (a filling is dominated if
 another holds, item for item, at least as much), best fit first, over numbers of
 pieces per length, and the chosen one is used as often as the counts allow, or
-once. The first descent gives a best-fit incumbent; branches whose waste already
-forces as many sequences as the incumbent are pruned, and the search ends when
-the incumbent meets the lower bound or after the choices of ``ROUNDS``.
+once. A best-fit packing is the incumbent; branches whose waste already forces as
+many sequences as the incumbent are pruned. While the gap to the lower bound is
+open, sequences with waste are opened again together with others; the search
+ends when the bound is met or after the choices of ``ROUNDS``.
 
 The chosen fillings are turned into ranges: the r-th piece of a length has its
 sequence and offset by a look-up in a table of at most ``capacity`` rows. Pieces
@@ -40,7 +41,8 @@ from flowlens.operators.ordering import number_rows
 from flowlens.plans.workspace import stored
 
 CAPACITY = 1024
-ROUNDS = ((6, 2_000), (16, 2_000), (64, 4_000))  # fillings a choice, choices
+ROUNDS = ((6, 1_500), (32, 1_500))  # fillings a choice, choices
+REOPENED = (0, 4, 16, 64, 256)  # sequences opened again beside those that hold the waste
 KEPT = 64  # fillings that later ones are compared with
 BUCKET_ROWS = 1_000
 
@@ -174,20 +176,73 @@ def _search(
     return incumbent or []
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The incumbent to begin with: every sequence takes the largest piece that still fits, again and again."""
+    left = {s: n for s, n in counts.items() if n > 0}
+    plan = []
+    while left:
+        room, lengths = capacity, []
+        for size in sorted(left, reverse=True):
+            lengths += [size] * min(left[size], room // size)
+            room = capacity - sum(lengths)
+        times = min(left[s] // n for s, n in Counter(lengths).items())
+        for size, n in Counter(lengths).items():
+            left[size] -= n * times
+            if not left[size]:
+                del left[size]
+        plan.append((tuple(lengths), times))
+    return plan
+
+
+def _reopened(plan: list[tuple[tuple[int, ...], int]], capacity: int, more: int):
+    """Sequences whose waste adds up to one sequence, with ``more`` of those that hold most pieces; and the rest. None without that waste."""
+    taken, rest, waste = [], [], 0
+    for lengths, times in sorted(plan, key=lambda r: (sum(r[0]), -len(r[0]))):
+        free = capacity - sum(lengths)
+        n = min(times, -(-(capacity - waste) // free)) if free and waste < capacity else 0
+        waste += n * free
+        taken += [(lengths, n)] if n else []
+        rest += [(lengths, times - n)] if times > n else []
+    if waste < capacity:
+        return None
+    kept = []
+    for lengths, times in sorted(rest, key=lambda r: -len(r[0])):
+        n = min(times, more)
+        more -= n
+        taken += [(lengths, n)] if n else []
+        kept += [(lengths, times - n)] if times > n else []
+    return taken, kept
+
+
+def _used(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
 def bin_completion(
     counts: dict[int, int], capacity: int = CAPACITY, rounds: Sequence[tuple[int, int]] = ROUNDS,
 ) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, how many such sequences), as few sequences as the search finds.
 
-    While the gap to the lower bound is open the search starts again from the
-    packing found, with more fillings a choice and more choices.
+    While the gap to the lower bound is open, the sequences that hold the waste are
+    opened again, with more and more others, and searched for a packing with one
+    less; then the whole histogram is, with more fillings a choice.
     """
-    bound, plan = lower_bound(counts, capacity), None
+    bound, plan = lower_bound(counts, capacity), best_fit(counts, capacity)
     for width, nodes in rounds:
-        plan = _search(counts, capacity, bound, width, nodes, plan)
-        if sum(times for _, times in plan) <= bound:
-            break
-    return plan or []
+        if _used(plan) > bound:
+            plan = _search(counts, capacity, bound, width, nodes, plan)
+        for more in REOPENED:
+            while _used(plan) > bound and (parts := _reopened(plan, capacity, more)) is not None:
+                taken, rest = parts
+                lengths: Counter = Counter()
+                for sequence, times in taken:
+                    for size, n in Counter(sequence).items():
+                        lengths[size] += n * times
+                found = _search(dict(lengths), capacity, _used(taken) - 1, width, nodes, taken)
+                if _used(found) == _used(taken):
+                    break
+                plan = rest + found
+    return plan
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int, int, int]]]:
