@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 END_ID = 2
 # What a worker remembers before it starts anew, and between tasks; no effect on results.
-MAX_PIECES = 900_000
-MAX_IDS = 6_000_000
-RESTING_PIECES = 900_000
+MAX_PIECES = 1_300_000
+MAX_IDS = 8_000_000
+RESTING_PIECES = 1_300_000
 MAX_PIECE_LENGTH = 64
 BLOCK_CHARS = 1 << 16
 PENDING_CHARS = 1 << 20
