@@ -231,9 +231,9 @@ def hydrate(alerts: DataFrame, payload: str = "payload_json") -> DataFrame:
     def ports(column: str, *keys: str) -> list[Column]:
         return [_nonzero(F.col(column)), *[_nonzero(F.col(slot[k])) for k in keys]]
 
-    # An attack score of zero falls back to the plain score.
+    # An attack score of zero gives way to the plain score, if there is one.
     score = finite_or_null(F.coalesce(
-        F.when(~F.col("__zero"), F.col(slot["attack_score"])), F.col(slot["score"])
+        F.when(~F.col("__zero"), F.col(slot["attack_score"])), F.col(slot["score"]), F.col(slot["attack_score"])
     ))
     filled = compute_once(split, {
         "src_ip": F.coalesce(*texts("src_ip", "src_ip", "source_ip", "Src IP"), parts["src_ip"]),

@@ -71,6 +71,13 @@ def test_hydration_priorities(spark):
     assert empty.flow_summary == "? -> ?" and empty.severity == "unknown" and empty.source_flow_id is None
 
 
+def test_a_zero_score_is_a_score(spark):
+    rows = al.hydrate(table(spark, alert(1, {"attack_score": 0.0}), alert(2, {"attack_score": "0"}), alert(3, {"attack_score": ""}),
+                            alert(4, {"attack_score": 0, "score": 0.5}), alert(5, {"score": 0.0}))).orderBy("id").collect()
+    assert [r.attack_score for r in rows] == [0.0, 0.0, None, 0.5, 0.0]
+    assert [r.severity for r in rows] == ["unknown", "unknown", "unknown", "low", "unknown"]
+
+
 def test_family_states(spark):
     base = {"attack_family": "DoS", "attack_family_confidence": 0.93, "attack_family_margin": 0.44}
     df = al.hydrate(table(
