@@ -19,7 +19,7 @@ from flowlens.operators.scoring import ScoringConfig, binary_columns
 from flowlens.plans import bindings as b
 from flowlens.plans.catalog import alerting
 from flowlens.plans.catalog.flows import CHECKS as FLOW_CHECKS
-from flowlens.plans.catalog.flows import _frames, _ID, sample_flows
+from flowlens.plans.catalog.flows import _frames, _ID, numbered_users, sample_flows
 from flowlens.plans.catalog.records import CONTRACT
 from flowlens.plans.catalog.registry import Registry
 from flowlens.plans.prepare import prepare
@@ -194,7 +194,7 @@ def prediction_sink_csv(spark, sf):
 
 @_r.query(FLOW_CHECKS["packet_decoding"].replace("SELECT event_id AS packet_ordinal", "SELECT CAST(1 AS BIGINT) AS packet_ordinal, event_id"))
 def capture_file_packets(spark, sf):
-    """Every event as a little-endian capture of two records, the second being its frame."""
+    """Every event as a little-endian capture ``<site>/<event>`` of two records, the second being its frame."""
     def little(value):
         text = F.lpad(F.hex(value.cast("long")), 8, "0")
         return F.concat(*[F.substring(text, i, 2) for i in (7, 5, 3, 1)])
@@ -207,15 +207,16 @@ def capture_file_packets(spark, sf):
         F.lit("D4C3B2A1020004000000000000000000FFFF000001000000"),
         stamp, F.lit("0400000004000000"), F.lit("DEADBEEF"), stamp, little(size), little(size), frame,
     )
-    files = _frames(spark, sf).select(F.col("packet_ordinal").cast("string").alias("window_path"), F.unhex(content).alias("content"))
-    packets = decode_frames(split_captures(files))
-    return packets.withColumn("event_id", F.col("window_path").cast("long")).drop("window_path", "ts")
+    files = _frames(spark, sf).select(F.concat_ws("/", "window_path", "packet_ordinal").alias("window_path"), F.unhex(content).alias("content"))
+    name = F.split("window_path", "/")
+    packets = numbered_users(decode_frames(split_captures(files)), name[0].cast("long"))
+    return packets.withColumn("event_id", name[1].cast("long")).drop("window_path", "ts")
 
 
 @_r.query(f"""WITH d AS ({FLOW_CHECKS["packet_decoding"]}) SELECT protocol, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes, CAST(sum(payload_length) AS BIGINT) AS payload,
   count(DISTINCT src_ip || ':' || src_port) AS senders FROM d GROUP BY 1""")
 def capture_range_packets(spark, sf):
-    """All frames in eight capture files, read back in ranges of 10,000 bytes that cut records anywhere."""
+    """All frames in eight capture files per site, read back in ranges of 10,000 bytes that cut records anywhere."""
     folder = work_folder(spark, "captures").removeprefix("file:")
 
     def write(part):
@@ -227,9 +228,11 @@ def capture_range_packets(spark, sf):
                     seconds, micros = divmod(round(r["ts"] * 1e6), 1_000_000)
                     handle.write(struct.pack("<IIII", seconds, micros, len(r["frame"]), len(r["frame"])) + bytes(r["frame"]))
 
-    frames = _frames(spark, sf).withColumn("file", F.pmod("packet_ordinal", F.lit(8)))
+    number = F.pmod("packet_ordinal", F.lit(8)).cast("string")
+    frames = _frames(spark, sf).withColumn("file", F.concat(F.lit("site-"), F.col("window_path"), F.lit("-"), number))
     frames.repartition("file").sortWithinPartitions("file", "packet_ordinal").foreachPartition(write)
     packets = read_packets(spark, folder, range_bytes=10_000)
+    packets = numbered_users(packets, F.regexp_extract("window_path", r"site-(\d+)-\d+\.pcap$", 1).cast("long"))
     return packets.groupBy("protocol").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("packet_length").alias("bytes"), F.sum("payload_length").alias("payload"),
         F.count_distinct(F.concat("src_ip", F.lit(":"), "src_port")).alias("senders"),

@@ -2,12 +2,15 @@
 
 import json
 
+import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.metadata import relative_path
 from flowlens.operators import alerts as al
 from flowlens.operators import views
+from flowlens.plans.catalog import all_checks, all_queries
 from flowlens.sources import flow_csv, jsonl
 from flowlens.streaming import runtime as rt
 
@@ -108,3 +111,14 @@ def test_many_unexpected_labels_are_reported(spark):
     rows = spark.range(12_000).select(F.concat(F.lit("L"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("derived_label_family"), F.lit("train").alias("split"))
     with pytest.raises(ValueError, match="unexpected labels in split train.*L000000"):
         views.derive_view(rows, views.ATTACK_ONLY)
+
+
+@pytest.mark.parametrize("name", ["packet_decoding", "capture_file_packets", "capture_range_packets"])
+def test_more_users_than_ports(spark, tmp_path, name):
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone = 'UTC'")
+    duck.execute(f"""COPY (SELECT * REPLACE (user_id * 9001 AS user_id) FROM '/root/testdata/sf0.001/events.parquet')
+      TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert duck.execute("SELECT max(user_id) FROM events").fetchone()[0] > 65_536
+    assert compare.difference(all_queries()[name](spark, str(tmp_path)), duck, all_checks()[name]) is None
