@@ -32,6 +32,7 @@ COLLECTOR_ID = "offline-window-extractor"
 CAPTURE_MODE = "closed-window"
 
 SLICE_PACKETS = 1 << 18
+TASK_PACKETS = 1 << 14  # a slice's row is far wider than a packet, so tasks are sized by packets, not by bytes
 CUTS = 63  # most cuts of a window
 KEY = ("window_path", "end_a", "end_b", "protocol")
 SIDES = ("all", "a", "b")
@@ -106,9 +107,9 @@ def with_slice(packets: DataFrame, slice_seconds: float, slice_packets: int) ->
     return joined.withColumn("slice", F.struct(period, part.alias("part"), share.alias("share"))).drop("cuts")
 
 
-def _slices(keyed: DataFrame, slice_seconds: float, gap_seconds: float, slice_packets: int) -> DataFrame:
+def _slices(keyed: DataFrame, slice_seconds: float, gap_seconds: float, slice_packets: int, tasks: int) -> DataFrame:
     """One row per (flow, time slice) with mergeable statistics."""
-    sliced = with_slice(keyed, slice_seconds, slice_packets)
+    sliced = with_slice(keyed, slice_seconds, slice_packets).repartition(tasks, *KEY, "slice")
     inside = Window.partitionBy(*KEY, "slice").orderBy("ts", "packet_ordinal")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     gaps = sliced.withColumns({
@@ -154,8 +155,9 @@ def _slices(keyed: DataFrame, slice_seconds: float, gap_seconds: float, slice_pa
     return sessions.groupBy(*KEY, "slice").agg(*aggregates)
 
 
-def _merge_slices(slices: DataFrame, gap_seconds: float) -> DataFrame:
+def _merge_slices(slices: DataFrame, gap_seconds: float, tasks: int) -> DataFrame:
     """Merge the slices of each flow, adding gaps and sessions that cross slices."""
+    slices = slices.repartition(tasks, *KEY)
     across = Window.partitionBy(*KEY).orderBy("slice")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*KEY)
@@ -341,7 +343,7 @@ def assemble_flows(
     packets: DataFrame,
     slice_seconds: float = 3600.0,
     gap_seconds: float = ACTIVE_GAP_SECONDS,
-    index_bucket: int = 1 << 20,
+    index_bucket: int = 1 << 16,
     slice_packets: int = SLICE_PACKETS,
 ) -> DataFrame:
     """One row per bidirectional flow and window: endpoints, metadata, 72 features.
@@ -351,10 +353,13 @@ def assemble_flows(
     their first packet, by ordinal ranges of ``index_bucket`` packets.
     """
     keyed = stored(with_flow_key(packets), "packets")
-    merged = stored(_merge_slices(_slices(keyed, slice_seconds, gap_seconds, slice_packets), gap_seconds), "flows")
+    tasks = keyed.count() // TASK_PACKETS + 1
+    slices = _slices(keyed, slice_seconds, gap_seconds, slice_packets, tasks)
+    merged = stored(_merge_slices(slices, gap_seconds, tasks), "flows")
     discard(keyed)
     numbered = number_rows(
         merged, ["window_path"], F.floor(F.col("first_ordinal") / index_bucket), [F.col("first_ordinal")], "flow_index",
+        partitions=tasks,
     )
     fwd = F.when(F.col("forward_is_a"), F.col("end_a")).otherwise(F.col("end_b"))
     bwd = F.when(F.col("forward_is_a"), F.col("end_b")).otherwise(F.col("end_a"))

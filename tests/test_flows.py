@@ -215,3 +215,18 @@ def test_broken_capture_files_fail(spark, tmp_path, content):
     (tmp_path / "bad.pcap").write_bytes(content)
     with pytest.raises(Exception, match="pcap"):
         pcap.read_frames(spark, str(tmp_path), range_bytes=64).count()
+
+
+def test_tasks_follow_the_number_of_packets(spark, monkeypatch):
+    """Rows of slices and flows are spread by packets, whatever the session's shuffle partitions, and give the same flows."""
+    from flowlens.operators import flows as module
+
+    rows = [packet(i, BASE + i * 0.7, ("10.0.1.1", 1000 + i % 40), B, payload=i % 9) for i in range(600)]
+    one_task = [tuple(r) for r in flows(spark, rows).orderBy("flow_index").collect()]
+    asked = []
+    write = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, purpose: asked.append((purpose, df.rdd.getNumPartitions())) or write(df, purpose))
+    monkeypatch.setattr(module, "TASK_PACKETS", 30)
+    many = flows(spark, rows)
+    assert dict(asked)["flows"] == 21
+    assert [tuple(r) for r in many.orderBy("flow_index").collect()] == one_task
