@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import strip
 from flowlens.functions.records import is_json, last_wins, parsed_array, parsed_object
-from flowlens.operators.ordering import number_rows
-from flowlens.operators.staging import compute_once
+from flowlens.operators.staging import compute_once, lookup
 from flowlens.schemas import INGEST_ERROR_PREVIEW
 
 TOO_LARGE = "jsonl_line_too_large"
@@ -33,10 +32,18 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFra
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """(source, line_number, value) of lines that still have their file block."""
+    """(source, line_number, value) of lines that still have their file block.
+
+    A task reads a block from its first line to its last, so a line's place in its
+    block is its row number there; lines stay where they are read, and only one row
+    per block is shuffled.
+    """
     placed = lines.withColumn("__seq", F.monotonically_increasing_id())
-    counted = number_rows(placed, ["source"], F.col("__block"), [F.col("__seq")], "line_number")
-    return counted.select("source", (F.col("line_number") + 1).alias("line_number"), "value")
+    blocks = placed.groupBy("source", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first"))
+    earlier = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("source", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.col("__seq") - F.col("__first") + 1
+    return placed.join(lookup(starts), ["source", "__block"]).select("source", number.alias("line_number"), "value")
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None, blocks: bool = False) -> DataFrame:

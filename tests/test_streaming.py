@@ -111,3 +111,21 @@ def test_training_outputs(spark, tmp_path):
     events = training_logs.read_log_events(spark, str(log))
     assert [tuple(r) for r in training_logs.progress_rows(events).collect()] == [(0, 0.91, 0.9, 1.5)]
     assert [r.event for r in training_logs.epoch_timeline(events, "MLP", "MLP epoch").collect()] == ["MLP epoch 3 done"]
+
+
+def test_numbered_lines_stay_in_their_blocks(spark, tmp_path):
+    """Lines of a file of many blocks are numbered where they are read."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("".join(f"line {i:05d}\n" for i in range(1, 2001)))
+    (tmp_path / "in" / "b.txt").write_text("line 00001\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        numbered = jsonl.read_lines(spark, str(tmp_path / "in"))
+        assert numbered.rdd.getNumPartitions() == spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 20
+        rows = numbered.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 2001 and all(r.value == f"line {r.line_number:05d}" for r in rows)
