@@ -205,10 +205,9 @@ def hydrate(alerts: DataFrame, payload: str = "payload_json") -> DataFrame:
     strict = {"allowSingleQuotes": "false"}
     slot = {k: f"__k{i}" for i, k in enumerate(_PAYLOAD_KEYS)}
     parsed = compute_once(alerts, {"__p": F.from_json(payload, "map<string,string>", strict)})
-    fields = compute_once(parsed, {
-        **{slot[k]: F.try_element_at("__p", F.lit(k)) for k in _PAYLOAD_KEYS},
-        "__pp": F.from_json(F.try_element_at("__p", F.lit("passthrough")), "map<string,string>", strict),
-    })
+    # A step that parses JSON runs interpreted, so the many lookups have a step of their own.
+    nested = compute_once(parsed, {"__pp": F.from_json(F.try_element_at("__p", F.lit("passthrough")), "map<string,string>", strict)})
+    fields = compute_once(nested, {slot[k]: F.try_element_at("__p", F.lit(k)) for k in _PAYLOAD_KEYS})
     plain = [k for k in _PAYLOAD_KEYS if k not in _PORT_KEYS and k not in _NUMBER_KEYS]
     typed = compute_once(fields, {
         **{slot[k]: text_or_null(F.col(slot[k])) for k in plain},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.alerting import port_summary, severity_rank, text_or_null
 from flowlens.operators.alerts import notification_candidates, recent, triage_alerts
+from flowlens.plans.workspace import stored
 
 MINUTE_PREFIX = 16
 
@@ -122,7 +123,9 @@ def recent_incidents(
         shown = notification_candidates(shown)
     if not exact:
         return recent(group_incidents(shown, prefix, with_ids=True), limit)
-    # The page is cut first; only its members are then gathered.
+    # The page is cut first; only its members are then gathered. Both read the hydrated alerts.
+    used = [*_LATEST, "severity", "attack_score"]
+    shown = stored(shown.select(*[c for c in dict.fromkeys(used) if c in shown.columns]), "shown-alerts")
     page = recent(group_incidents(shown, prefix), limit)
     keys = [F.col(c).alias(f"__{c}") for c in KEY_COLUMNS]
     wanted = page.select(*keys)

@@ -98,12 +98,11 @@ def candidates(incidents: DataFrame, target: str, channel: str = DEFAULT_CHANNEL
         F.col("id").alias("alert_id"), "event_ts", dedupe_key(prefix).alias("dedupe_key"),
         payload.alias("payload_json"),
     )
-    merged = rows.groupBy("dedupe_key").agg(
-        F.min_by(F.struct("alert_id", "payload_json"), F.struct("event_ts", "alert_id")).alias("r")
-    )
+    # Two aggregates, so that no message is written where only the ids are read.
+    order = F.struct("event_ts", "alert_id")
+    merged = rows.groupBy("dedupe_key").agg(*[F.min_by(c, order).alias(c) for c in ("alert_id", "payload_json")])
     return merged.select(
-        F.lit(channel).alias("channel"), F.lit(target).alias("target"), "dedupe_key",
-        F.col("r.alert_id").alias("alert_id"), F.col("r.payload_json").alias("payload_json"),
+        F.lit(channel).alias("channel"), F.lit(target).alias("target"), "dedupe_key", "alert_id", "payload_json",
     )
 
 

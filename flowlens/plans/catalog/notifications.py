@@ -9,6 +9,7 @@ from flowlens.operators import outbox as ob
 from flowlens.plans import bindings as b
 from flowlens.plans.catalog.alerting import DAY, INCIDENTS, incidents
 from flowlens.plans.catalog.registry import Registry
+from flowlens.plans.workspace import stored
 
 _r = Registry()
 QUERIES, CHECKS = _r.queries, _r.checks
@@ -41,7 +42,7 @@ def notification_texts(spark, sf):
     return rows.select("channel", "target", "dedupe_key", "alert_id", json_text(F.col("payload_json"), "text").alias("text"))
 
 
-def stored_outbox(spark, sf, known=None):
+def stored_outbox(rows, known=None):
     """Candidates as deliveries already stored, in mixed states, some without a key.
 
     ``known`` picks which of them are stored; the others then arrive as new.
@@ -49,7 +50,6 @@ def stored_outbox(spark, sf, known=None):
     number = F.col("alert_id")
     status = F.when(number % 4 == 0, "pending").when(number % 4 == 1, "retry").when(number % 4 == 2, "failed").otherwise("sent")
     created = F.concat(F.lit("2024-01-"), F.lpad((F.pmod(number, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T00:00:00+00:00"))
-    rows = candidates(spark, sf)
     return (rows if known is None else rows.filter(known)).select(
         number.alias("id"), number.alias("alert_id"), "channel", "target",
         F.when(number % 7 != 0, F.col("dedupe_key")).alias("dedupe_key"), F.lit("{}").alias("payload_json"),
@@ -74,8 +74,9 @@ _PART = _OUTBOX[:-1] + " WHERE alert_id % 3 <> 0)"
 SELECT coalesce(id, CAST('0x' || substr(md5('telegram' || chr(31) || '{TARGET}' || chr(31) || dedupe_key), 1, 15) AS BIGINT)) AS id, alert_id, dedupe_key, coalesce(status, 'pending') AS status, CASE WHEN status IS NULL THEN 0 ELSE attempt_count END AS attempt_count, coalesce(created_at, '{NOW}') AS created_at, '{NOW}' AS updated_at FROM j
 UNION ALL SELECT id, alert_id, dedupe_key, status, attempt_count, created_at, created_at FROM ob WHERE dedupe_key IS NULL""")
 def outbox_enqueue(spark, sf):
-    stored = stored_outbox(spark, sf, F.pmod(F.col("alert_id"), F.lit(3)) != 0)
-    after = ob.enqueue(stored, candidates(spark, sf), NOW)
+    rows = stored(candidates(spark, sf), "candidates")
+    known = stored_outbox(rows, F.pmod(F.col("alert_id"), F.lit(3)) != 0)
+    after = ob.enqueue(known, rows, NOW)
     return after.select("id", "alert_id", "dedupe_key", "status", "attempt_count", "created_at", "updated_at")
 
 
@@ -84,8 +85,8 @@ def outbox_enqueue(spark, sf):
   CASE alert_id % 3 WHEN 0 THEN 'm' || alert_id END AS provider_message_id FROM cand""")
 def outbox_round(spark, sf):
     """From an empty outbox: enqueue, find what is due, try it once, redrive what failed."""
-    empty = stored_outbox(spark, sf, F.lit(False))
-    filled = ob.enqueue(empty, candidates(spark, sf), NOW)
+    rows = candidates(spark, sf)
+    filled = stored(ob.enqueue(stored_outbox(rows, F.lit(False)), rows, NOW), "outbox")
     number = F.col("alert_id")
     results = ob.due_deliveries(filled, NOW, limit=None).select(
         "id", (number % 3 == 0).alias("ok"), (number % 3 == 1).alias("retryable"), F.lit("boom").alias("error"),
@@ -97,7 +98,7 @@ def outbox_round(spark, sf):
 
 @_r.query(f"""WITH {_OUTBOX} SELECT id, status, created_at FROM ob WHERE status IN ('pending', 'retry') AND (next_attempt_at IS NULL OR next_attempt_at <= '{NOW}') ORDER BY created_at, id LIMIT 100""")
 def outbox_due(spark, sf):
-    return ob.due_deliveries(stored_outbox(spark, sf), NOW).select("id", "status", "created_at")
+    return ob.due_deliveries(stored_outbox(candidates(spark, sf)), NOW).select("id", "status", "created_at")
 
 
 @_r.query(f"""WITH {_OUTBOX}, r AS (SELECT *, status IN ('pending', 'retry') AS tried, id % 6 < 2 AS ok, id % 6 < 4 AS retryable, CASE WHEN id % 16 = 4 THEN 77 END AS after FROM ob), s AS (
@@ -106,13 +107,13 @@ SELECT id, CASE WHEN NOT tried THEN status WHEN ok THEN 'sent' WHEN again THEN '
        CASE WHEN NOT tried THEN next_attempt_at WHEN again THEN strftime(make_timestamp((1706745600 + delay) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS next_attempt_at,
        CASE WHEN NOT tried THEN last_error WHEN NOT ok THEN 'boom' END AS last_error, CASE WHEN tried AND ok THEN 'new' || id ELSE provider_message_id END AS provider_message_id FROM s""")
 def outbox_retry(spark, sf):
-    stored = stored_outbox(spark, sf)
+    outbox = stored(stored_outbox(candidates(spark, sf)), "outbox")
     number = F.col("id")
-    results = stored.filter(F.col("status").isin("pending", "retry")).select(
+    results = outbox.filter(F.col("status").isin("pending", "retry")).select(
         "id", (number % 6 < 2).alias("ok"), (number % 6 < 4).alias("retryable"), F.lit("boom").alias("error"),
         F.when(number % 16 == 4, 77).alias("retry_after"), F.concat(F.lit("new"), number.cast("string")).alias("message_id"),
     )
-    after = ob.apply_attempts(stored, results, NOW, max_attempts=4)
+    after = ob.apply_attempts(outbox, results, NOW, max_attempts=4)
     return after.select("id", "status", "attempt_count", "next_attempt_at", "last_error", "provider_message_id")
 
 
@@ -120,7 +121,8 @@ def outbox_retry(spark, sf):
 SELECT id, CASE WHEN id IN (SELECT id FROM pick) THEN 'pending' ELSE status END AS status, CASE WHEN id IN (SELECT id FROM pick) THEN 0 ELSE attempt_count END AS attempt_count,
        CASE WHEN id NOT IN (SELECT id FROM pick) THEN last_error END AS last_error FROM ob""")
 def outbox_redrive(spark, sf):
-    return ob.redrive_failed(stored_outbox(spark, sf), NOW, limit=150).select("id", "status", "attempt_count", "last_error")
+    outbox = stored(stored_outbox(candidates(spark, sf)), "outbox")
+    return ob.redrive_failed(outbox, NOW, limit=150).select("id", "status", "attempt_count", "last_error")
 
 
 @_r.query(f"""WITH {_OUTBOX}, d AS (SELECT *, status IN ('pending', 'retry') AND (next_attempt_at IS NULL OR next_attempt_at <= '{NOW}') AS due FROM ob)
@@ -130,4 +132,4 @@ SELECT 'telegram' AS channel, count(*) FILTER (WHERE status = 'pending') AS pend
        arg_max(status, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error_status,
        arg_max(created_at, created_at || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE trim(last_error) <> '') AS last_error_at FROM d""")
 def outbox_summary(spark, sf):
-    return ob.delivery_summary(stored_outbox(spark, sf), NOW)
+    return ob.delivery_summary(stored_outbox(candidates(spark, sf)), NOW)

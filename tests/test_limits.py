@@ -122,3 +122,10 @@ def test_more_users_than_ports(spark, tmp_path, name):
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert duck.execute("SELECT max(user_id) FROM events").fetchone()[0] > 65_536
     assert compare.difference(all_queries()[name](spark, str(tmp_path)), duck, all_checks()[name]) is None
+
+
+@pytest.mark.parametrize("name", ["outbox_enqueue", "outbox_redrive", "outbox_retry", "outbox_round", "recent_incidents_exact"])
+def test_alerts_are_hydrated_once(spark, name):
+    """What a query reads several times is stored, so its result comes from the stored table alone."""
+    df = all_queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.inputFiles() and not [f for f in df.inputFiles() if "events.parquet" in f]
