@@ -8,9 +8,9 @@ driver ever sees, whatever the number of documents.
 
 The search works on the histogram. The largest piece left opens a sequence, the
 undominated ways to fill its rest are enumerated (a filling is dominated if
-another holds, item for item, at least as much), best fit first, over numbers of
-pieces per length, and the chosen one is used as often as the counts allow, or
-once. A best-fit packing is the incumbent; branches whose waste already forces as
+another holds, item for item, at least as much), best fit first and small pieces
+last, over numbers of pieces per length, and the chosen one is used as often as
+the counts allow, or once. A best-fit packing is the incumbent; branches whose waste already forces as
 many sequences as the incumbent are pruned. While the gap to the lower bound is
 open, sequences with waste are opened again together with others; the search
 ends when the bound is met or after the choices of ``ROUNDS``.
@@ -43,7 +43,8 @@ from flowlens.plans.workspace import stored
 CAPACITY = 1024
 ROUNDS = ((6, 1_500), (32, 1_500))  # fillings a choice, choices
 REOPENED = (0, 4, 16, 64, 256)  # sequences opened again beside those that hold the waste
-KEPT = 64  # fillings that later ones are compared with
+KEPT = 8  # fillings that later ones are compared with
+SKIPPED = 16  # dominated fillings passed over in a row; one more is taken as it is
 BUCKET_ROWS = 1_000
 
 
@@ -75,10 +76,10 @@ def _holds(larger: tuple[int, ...], smaller: tuple[int, ...]) -> bool:
 
 
 def _reachable(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
-    """For each place in ``sizes``, the sums up to ``room`` that this and later sizes can make, as bits."""
+    """For each place in ``sizes``, the sums up to ``room`` that the sizes before it can make, as bits."""
     limit = (1 << (room + 1)) - 1
     reach = [1]
-    for size in reversed(sizes):
+    for size in sizes:
         bits, left, step = reach[-1], min(counts[size], room // size), 1
         while left:
             step = min(step, left)
@@ -86,37 +87,45 @@ def _reachable(counts: dict[int, int], sizes: list[int], room: int) -> list[int]
             left -= step
             step *= 2
         reach.append(bits)
-    return reach[::-1]
+    return reach
 
 
 def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first, larger items first; all of them, one by one.
-
-    A length is taken any number of times at once, and only where the rest can
-    still reach the wanted sum, so the search meets no dead end.
+    """Undominated ways to fill ``room``, least waste first, then the largest smallest item; all of them, one by one.
+
+    So small pieces, which fill what nothing else can, are kept for the end. A
+    length is taken any number of times at once, and only where larger ones can
+    still reach the wanted sum, so the search meets no dead end. Where very many
+    lengths are left, nearly all fillings of a sum split the items of an earlier
+    one; after ``SKIPPED`` of them the next is yielded though dominated, so that
+    the work between two fillings is bounded and none is lost.
     """
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     reach = _reachable(counts, sizes, room)
 
-    def exact(left: int, at: int) -> Iterator[tuple[int, ...]]:
+    def exact(left: int, before: int) -> Iterator[tuple[int, ...]]:
         if not left:
             yield ()
             return
-        for k in range(at, len(sizes)):
+        for k in range(before):
             size = sizes[k]
-            for count in range(min(counts[size], left // size), 0, -1):
-                if reach[k + 1] >> (left - count * size) & 1:
-                    for rest in exact(left - count * size, k + 1):
-                        yield (size,) * count + rest
+            for count in range(1, min(counts[size], left // size) + 1):
+                if reach[k] >> (left - count * size) & 1:
+                    for rest in exact(left - count * size, k):
+                        yield rest + (size,) * count
 
     best: list[tuple[int, ...]] = []
+    skipped = 0
     for total in range(room, 0, -1):
-        if reach[0] >> total & 1:
-            for filling in exact(total, 0):
-                if len(filling) > 6 or not any(_holds(b, filling) for b in best):
-                    if len(filling) <= 6 and len(best) < KEPT:
-                        best.append(filling)
-                    yield filling
+        if reach[-1] >> total & 1:
+            for filling in exact(total, len(sizes)):
+                if len(filling) <= 6 and skipped < SKIPPED and any(_holds(b, filling) for b in best):
+                    skipped += 1
+                    continue
+                skipped = 0
+                if len(filling) <= 6 and len(best) < KEPT:
+                    best.append(filling)
+                yield filling
     if not sizes:
         yield ()
 
@@ -125,11 +134,15 @@ def _search(
     counts: dict[int, int], capacity: int, bound: int, width: int, nodes: int,
     incumbent: list[tuple[tuple[int, ...], int]] | None,
 ) -> list[tuple[tuple[int, ...], int]]:
-    """A packing at least as good as the incumbent: depth first, ``width`` fillings a choice, ``nodes`` choices."""
+    """A packing at least as good as the incumbent: depth first, ``width`` fillings a choice.
+
+    The first way down is free, so it ends in a packing however many lengths
+    there are; then ``nodes`` choices are tried.
+    """
     fewest = sum(times for _, times in incumbent) if incumbent is not None else 0
     start = {s: n for s, n in counts.items() if n > 0}
     path: list[tuple[tuple[int, ...], int]] = []
-    spent = 0
+    spent, back = 0, False
 
     def options(left: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
         largest = max(left)
@@ -160,11 +173,12 @@ def _search(
                 choices = stack[-1][3] = options(left)
             chosen = next(choices, None)
         if chosen is None:
+            back = True
             stack.pop()
             if path:
                 path.pop()
             continue
-        spent += 1
+        spent += back
         lengths, times = chosen
         after = dict(left)
         for size, n in Counter(lengths).items():

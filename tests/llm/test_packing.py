@@ -92,6 +92,29 @@ def test_fillings_are_all_and_in_order():
     assert sums == sorted(sums, reverse=True) and list(packing.fillings({9: 4}, 5)) == [()]
 
 
+@pytest.mark.parametrize("least", [100, 200])
+def test_fillings_dominated_without_end_are_not_waited_for(monkeypatch, least):
+    """One piece of each length: nearly every way to fill 1,000 splits an earlier one."""
+    holds, compared = packing._holds, itertools.count()
+
+    def counted(larger, smaller):
+        assert next(compared) < 20_000
+        return holds(larger, smaller)
+
+    monkeypatch.setattr(packing, "_holds", counted)
+    found = list(itertools.islice(packing.fillings(dict.fromkeys(range(least, 1024), 1), 1000), 32))
+    assert len(set(found)) == 32 and all(sum(f) == 1000 for f in found)
+
+
+def test_first_way_down_ends_in_a_packing_however_many_choices_it_takes():
+    """Small pieces are kept for the end, so thousands of choices leave almost no waste."""
+    rng = np.random.default_rng(7)
+    sizes = np.clip(rng.normal(260, 90, 50_000).astype(int), 1, 1024)
+    counts = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}
+    bound = packing.lower_bound(counts, 1024)
+    assert sum(times for _, times in packing._search(counts, 1024, bound, 6, 0, None)) <= bound + 1
+
+
 def test_clashing_column_names(spark):
     pieces = spark.createDataFrame([(k, 300, 5, 6, 7) for k in range(7)], "k int, length long, OFFSET int, `of` int, ranges int")
     packed = packing.pack_pieces(pieces)
