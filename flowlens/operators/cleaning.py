@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.functions.numeric import finite_or_null, is_finite, lenient_parse
+from flowlens.functions.numeric import LENIENT_NUMBER, WHITESPACE, finite_or_null, is_finite, lenient_parse
 from flowlens.operators.staging import compute_once
 from flowlens.schemas import LEAKAGE_COLUMNS
 
@@ -37,6 +40,42 @@ def coerce_numeric(df: DataFrame, features: Sequence[str], flag: str = "is_clean
     return coerced.withColumn(flag, complete)
 
 
+def finite_cells(text: pa.Array) -> pa.Array:
+    """The finite numbers among CSV cells, else null: ``lenient_number`` on a batch of one column."""
+    bare = pc.utf8_trim(text, WHITESPACE)
+    bare = pc.if_else(pc.match_substring_regex(bare, LENIENT_NUMBER), bare, pa.scalar(None, pa.string()))
+    try:
+        numbers = bare.cast(pa.float64())
+    except pa.ArrowInvalid:  # a plus sign, or beyond the range of a double
+        numbers = pa.array([None if v is None else float(v) for v in bare.to_pylist()], pa.float64())
+    return pc.if_else(pc.is_finite(numbers), numbers, pa.scalar(None, pa.float64()))
+
+
+def coerce_cells(df: DataFrame, features: Sequence[str], keys: Sequence[str], flag: str = "is_clean") -> DataFrame:
+    """``coerce_numeric`` of very many text columns, with ``keys`` beside them, a batch of a column at a time.
+
+    Generated code for some eighty parsed columns is too long to be compiled
+    and would be interpreted for each cell.
+    """
+    wide = df.select(*[quoted(c) for c in [*features, *keys]])
+    schema = T.StructType([
+        *[T.StructField(c, T.DoubleType()) for c in features],
+        *[T.StructField(f.name, f.dataType) for f in wide.schema.fields[len(features):]], T.StructField(flag, T.BooleanType()),
+    ])
+
+    def coerce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [finite_cells(batch.column(i)) for i in range(len(features))]
+            complete = np.ones(batch.num_rows, bool)
+            for column in cells:
+                complete &= column.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*cells, *batch.columns[len(features):], pa.array(complete)], names=schema.fieldNames()
+            )
+
+    return wide.mapInArrow(coerce, schema)
+
+
 def sanitize_numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Only rows whose features are all finite numbers."""
     return coerce_numeric(df, features, "__clean").filter("__clean").drop("__clean")

@@ -23,7 +23,7 @@ from flowlens.plans.catalog.flows import _frames, _ID, numbered_users, sample_fl
 from flowlens.plans.catalog.records import CONTRACT
 from flowlens.plans.catalog.registry import Registry
 from flowlens.plans.prepare import prepare
-from flowlens.plans.workspace import work_folder
+from flowlens.plans.workspace import stored, work_folder
 from flowlens.schemas import FAMILY_ORDER
 from flowlens.sources import jsonl, tables
 from flowlens.sources.flow_csv import flow_export
@@ -34,6 +34,7 @@ from flowlens.streaming import runtime as rt
 _r = Registry()
 QUERIES, CHECKS = _r.queries, _r.checks
 CONFIG = ScoringConfig(threshold=0.9)
+TREE_FILE_ROWS = 50_000  # rows in a file of the CSV tree; at least four files a family
 
 
 def value_scorer(rows):
@@ -251,18 +252,18 @@ SELECT family AS derived_label_family, CASE WHEN family = 'Benign' THEN 'Benign'
 def prepared_csv_tree(spark, sf):
     """Events written as a tree of 84-column CSV files, then prepared end to end."""
     folder = work_folder(spark, "prepare")
-    rows = b.scored_events(spark, sf)
+    # Narrow rows are stored and dealt out, and get their 84 columns where they are written.
+    rows = stored(b.scored_events(spark, sf).select("family", "event_id", "k", "value"), "prepare-rows")
+    counts = {r[0]: r[1] for r in rows.groupBy("family").count().collect()}
     broken = F.when(F.col("event_id") % 10 == 0, "oops").otherwise(F.floor("value").cast("string"))
     features = [F.col("k").alias("f1"), broken.alias("f2"), F.lit("7").alias("f3")]
     features += [(F.col("k") * i).alias(f"f{i}") for i in range(4, 80)]
-    wide = rows.select(
-        "family", F.col("event_id").alias("Flow ID"), F.lit("10.0.0.1").alias("Src IP"), F.lit("10.0.0.2").alias("Dst IP"),
-        F.lit("2024").alias("Timestamp"), *features, F.lit("-").alias("Label"),
-    )
-    columns = [c for c in wide.columns if c != "family"]
     for family in FAMILY_ORDER:
-        part = wide.filter(F.col("family") == family).select(*columns)
-        part.repartition(4).write.option("header", True).csv(f"{folder}/raw/{family}/scenario")
+        part = rows.filter(F.col("family") == family).repartition(max(4, -(-counts.get(family, 0) // TREE_FILE_ROWS)))
+        part.select(
+            F.col("event_id").alias("Flow ID"), F.lit("10.0.0.1").alias("Src IP"), F.lit("10.0.0.2").alias("Dst IP"),
+            F.lit("2024").alias("Timestamp"), *features, F.lit("-").alias("Label"),
+        ).write.option("header", True).csv(f"{folder}/raw/{family}/scenario")
     prepared = prepare(spark, f"{folder}/raw", f"{folder}/out", across_splits=True)
     return spark.read.parquet(prepared.splits).groupBy("derived_label_family", "derived_label_binary").agg(F.count(F.lit(1)).alias("rows"))
 

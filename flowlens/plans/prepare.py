@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators import cleaning, dedupe, splits, views
-from flowlens.operators.cleaning import quoted
 from flowlens.operators.reporting import pipeline_rollup
 from flowlens.schemas import LABEL_COLUMNS, METADATA_COLUMNS
 from flowlens.sources import flow_csv
@@ -44,9 +43,7 @@ def prepare(
     features = cleaning.feature_columns_of(header)
 
     rows = flow_csv.read_valid_rows(spark, root, header, checked)
-    flagged = cleaning.coerce_numeric(rows, features, "is_clean").select(
-        *[quoted(c) for c in features], *FILE_KEYS, "is_clean"
-    )
+    flagged = cleaning.coerce_cells(rows, features, FILE_KEYS, "is_clean")
     flagged.write.mode("overwrite").parquet(f"{out}/_stage/rows")
     staged = spark.read.parquet(f"{out}/_stage/rows")
 

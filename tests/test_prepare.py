@@ -133,3 +133,33 @@ def test_suffix_dispatch(spark, tmp_path):
         assert tables.read_scoring_input(spark, str(tmp_path / name), limit=5).count() == 1
     with pytest.raises(ValueError):
         tables.read_scoring_input(spark, "p.txt")
+
+
+def test_cells_of_many_columns_are_numbers_as_by_columns(spark):
+    """The batch rule for wide tables and the column rule agree on odd cells."""
+    cells = ["1", " 2.5\t", "+3", "-.5e2", "5.", ".", "", None, "1_000", "12d", "0x1p3", "inf", "NaN", "Infinity", "1e400", "-1e999",
+             "1e-400", "-0", "٣", "1 2", "\n7\x0b", "7\u0085", "7\u00a0", "0.1", "123456789012345678901234567890", "4.9e-324", "e5", "+"]
+    rows = spark.createDataFrame([(c, cells[-1 - i], f"file-{i}") for i, c in enumerate(cells)], "`a b` string, c string, source_file string")
+    want = cleaning.coerce_numeric(rows, ["a b", "c"], "ok").select("a b", "c", "source_file", "ok")
+    got = cleaning.coerce_cells(rows, ["a b", "c"], ["source_file"], "ok")
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.filter("`a b` IS NOT NULL").count() == 11
+
+
+def test_tree_gets_more_files_with_more_rows(spark, tmp_path, monkeypatch):
+    """A family of many rows is not written by four tasks, and the result is the same."""
+    from flowlens.plans.catalog import streams
+
+    spark.range(600).selectExpr(
+        "id event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, id % 28) ts", "id % 7 user_id",
+        "if(id % 3 = 0, 'view', 'click') event_type", "id % 11 + 0.5D value", "concat('{\"k\": ', id % 5, '}') props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    counted = []
+    for size in (50_000, 20):
+        monkeypatch.setattr(streams, "TREE_FILE_ROWS", size)
+        folder = tmp_path / f"size-{size}"
+        monkeypatch.setattr(streams, "work_folder", lambda spark, purpose: str(folder))
+        counted.append(sorted(map(tuple, streams.prepared_csv_tree(spark, str(tmp_path)).collect())))
+    assert counted[0] == counted[1] and sum(r[2] for r in counted[0]) == 110
+    assert len(list((tmp_path / "size-20/raw/DoS/scenario").glob("*.csv"))) == 20
