@@ -154,3 +154,13 @@ def test_curve_from_one_fit(spark, name):
         assert max(abs(one[r["a"]] - r["s"][0]) for r in found) < 1e-9
     curve = {r["stage"]: r for r in md.learning_curve(df, {"train": df, "val": df.limit(300)}, name, (1, 3, 6), ["a", "b", "c"], maxDepth=4).collect()}
     assert sorted(curve) == [1, 3, 6] and curve[6]["train_f1"] >= curve[1]["train_f1"] - 0.02 and curve[6]["stage_index"] == 2
+
+
+def test_search_rows_are_stored_in_more_files_than_a_small_scan_has(spark, monkeypatch):
+    from flowlens.operators import models
+
+    monkeypatch.setattr(models, "FILE_ROWS", 25)
+    rows = spark.range(0, 101, 1, 1).selectExpr("id", "'train' part")
+    held = models._dealt(rows)
+    assert len(held.inputFiles()) == 5 and sorted(map(tuple, held.collect())) == [(i, "train") for i in range(101)]
+    assert len(models._dealt(rows.filter("id < 20")).inputFiles()) == 1 and models._dealt(rows.filter("id < 0")).count() == 0
